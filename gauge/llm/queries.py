@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gauge.llm import content_store, jpeg_media, lsm_dedup, ngram_group_join, nnls_packing, secret_crf, source_mix, toxicity_ftrl
+from gauge.llm import content_store, importance_resampling, jpeg_media, lsm_dedup, ngram_group_join, nnls_packing, secret_crf, source_mix, toxicity_ftrl, wrapper_induction
 from gauge.llm.common import read_table
 
 
@@ -59,6 +59,15 @@ def op8_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_store.read(spark, folder)
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return importance_resampling.resample(documents, *importance_resampling.fit(documents, read_table(spark, sf_dir, "labels")))
+
+
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return found

@@ -26,7 +26,7 @@ from gauge.llm.common import Words, binary_column, mix, runs, text_bytes
 
 #: log2 of the number of buckets; labelled documents used at most, in expectation; documents of a shard.
 BITS, TRAINING_DOCUMENTS, SHARD_DOCUMENTS = 20, 24_000, 8_000
-PASSES, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.6, 0.5
+PASSES, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 6.0, 0.5
 THRESHOLD = 0.3
 PRIOR = 1 << BITS  # the position of the prior's weight
 
