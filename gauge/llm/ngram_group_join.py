@@ -130,7 +130,7 @@ def prefixes(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], words:
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, shingles) of the rows named by ``ids``, sorted hashes."""
+    """(doc_id, shingles) of the rows named by ``ids``, sorted hashes; made anew from the texts, not kept."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -139,11 +139,13 @@ def sets_of(documents: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), _long_lists(list(shingle_sets(*binary_column(batch.column(1)), words)))], names=["doc_id", "shingles"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi")
-    return chosen.mapInArrow(shingles, "doc_id long, shingles array<bigint>").dropDuplicates(["doc_id"])
+    return chosen.mapInArrow(shingles, "doc_id long, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
+def verified(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets reach the similarity, from a checkpoint."""
+    pairs = cut_lineage(pairs)
+    sets = sets_of(documents, pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct(), words)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +158,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}s")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "as", "bs").mapInArrow(check, "a long, b long")
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "as", "bs").mapInArrow(check, "a long, b long"))
+
+
+def joined(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links that join what all links among ``pairs`` join.
+
+    First each document is compared with its smallest partner; then only pairs whose ends are still apart.
+    """
+    pairs = cut_lineage(pairs)
+    forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = verified(forest, documents, words, percent)
+    state = components(found)
+    one, two = (state.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    apart = pairs.join(forest, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    return found.union(verified(apart.select("a", "b"), documents, words, percent))
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -166,7 +182,7 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 
 def links(documents: DataFrame, representatives: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Verified links (a, b) between representatives that join all that are linked, directly or by others."""
-    rows = prefixes(documents, known, words, percent).where("n > 0").join(representatives.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = prefixes(documents, known, words, percent).where("n > 0").join(representatives.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = cut_lineage(rows.withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64("prefix", F.lit("second"))}))
     groups = rows.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"), F.count(F.lit(1)).alias("members"))
     members = cut_lineage(rows.select("doc_id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("doc_id", "n", "g", "members"))
@@ -184,22 +200,20 @@ def links(documents: DataFrame, representatives: DataFrame, known: tuple[np.ndar
     expanded = pairs.join(one, "ga").join(two, "gb").select("a", "b")
     few = members.where((F.col("members") > 1) & (F.col("members") <= SMALL_BLOCK))
     expanded = expanded.union(few.alias("x").join(few.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select("x.doc_id", "y.doc_id"))
-    expanded = cut_lineage(expanded.distinct())
+    expanded = expanded.distinct()
     large = postings.where(F.col("size") > SMALL_BLOCK).select("g", "h").join(members, "g").select("doc_id", "n", "h")
     large = cut_lineage(large.union(members.where(F.col("members") > SMALL_BLOCK).select("doc_id", "n", F.xxhash64("g", F.lit("group")).alias("h"))).distinct())
-    ids = expanded.select("a").union(expanded.select("b")).union(large.select("doc_id")).toDF("doc_id").distinct()
-    sets = cut_lineage(sets_of(documents, ids, words))
-    found = cut_lineage(verified(expanded, sets, percent))
-    return found if large.isEmpty() else large_links(large, found, sets, percent)
+    found = joined(expanded, documents, words, percent)
+    return found if large.isEmpty() else large_links(large, found, documents, words, percent)
 
 
-def large_links(docs: DataFrame, found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def large_links(docs: DataFrame, found: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links that, with ``found``, join all linked documents of large blocks (doc_id, n, h).
 
     Pivots come first, then the pairs across components that a bound lets through.
     """
     # shingles that no other document of a large block has can be shared with none of them
-    shingles = sets.join(docs.select("doc_id").distinct(), "doc_id").select("doc_id", F.explode("shingles").alias("s"))
+    shingles = sets_of(documents, docs.select("doc_id").distinct(), words).select("doc_id", F.explode("shingles").alias("s"))
     own = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id")).where("times = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
     docs = docs.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     # the overlap is at most n - own, so the other document's size is at most this
@@ -215,12 +229,12 @@ def large_links(docs: DataFrame, found: DataFrame, sets: DataFrame, percent: int
         pivots = named.groupBy("h").agg(F.min(F.struct(*order, "doc_id", "c", "n", "reach")).alias("p"))
         stars = named.join(pivots, "h").where((F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.reach")) & (F.col("p.n") <= F.col("reach")) & _fits(F.col("n"), F.col("p.n"), percent))
         stars = stars.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
-        links = cut_lineage(links.union(verified(stars, sets, percent)).distinct())
+        links = cut_lineage(links.union(verified(stars, documents, words, percent)).distinct())
     # what is left is paired in full across components
     named = _open_blocks(docs, links)
     x, y = named.alias("x"), named.alias("y")
     rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    return links.union(verified(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, percent))
+    return links.union(verified(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), documents, words, percent))
 
 
 def _open_blocks(docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -240,7 +254,10 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     known = frequent(both.where("n is null").select("h", "times"))
     representatives = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     representatives = cut_lineage(representatives)
-    state = components(links(documents.where("doc_id is not null"), representatives, known, words, percent))
+    texts = documents.select("doc_id", "text").where("doc_id is not null")
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id"])  # repeated rows
+    state = components(links(texts, representatives, known, words, percent))
     named = representatives.join(state, representatives["rep"] == state["id"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(named, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
