@@ -15,6 +15,7 @@ if an address or root differs from what the stored bytes give.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
@@ -40,16 +41,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def _drawn() -> np.ndarray:
+    """A pseudorandom number for each of 65,536 ids."""
+    return mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def chunk_ends(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where chunks end in documents laid one after another: at marks, documents' ends, and MOST_IDS at the latest.
 
     The rolling hash is the sum of the last ROLL ids' hashes, of one document alone.
     """
-    total = np.concatenate([[0], np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)))]).astype(np.uint64)
-    at = np.arange(1, len(ids) + 1)
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(_drawn()[ids & 0xFFFF] + ids, out=total[1:], dtype=np.uint64)
     starts = np.concatenate([[0], ends[:-1]])
-    from_ = np.maximum(at - ROLL, np.repeat(starts, ends - starts))
-    marks = (mix(total[at] - total[from_]) >> np.uint64(64 - MARK_BITS)) == 0
+    from_ = np.maximum(np.arange(1 - ROLL, len(ids) + 1 - ROLL), np.repeat(starts, ends - starts))
+    marks = ((total[1:] - total[from_]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARK_BITS)) == 0
     marks[ends - 1] = True
     out = np.flatnonzero(marks) + 1
     gaps = np.diff(np.concatenate([[0], out]))
@@ -119,7 +126,7 @@ def write(documents: DataFrame, folder: str, path: str | None = None) -> None:
     rows = _encoded(documents, path or vocabulary())
     dealt = rows.repartition("place").sortWithinPartitions("kind", "digest", F.col("ids").isNull())
     dealt.drop("place").mapInArrow(once, "kind int, doc_id long, digest binary, root binary, seq long, rest long, n long, ids binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/chunks")
-    stored = spark.read.parquet(f"{folder}/chunks").where("kind = 1").select("doc_id", "n", F.col("digest").alias("root"))
+    stored = _stored(spark, folder).where("kind = 1").select("doc_id", "n", F.col("digest").alias("root"))
     ordered = cut_lineage(stored.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
     parts = ordered.groupBy("part").agg(F.sum("n").alias("n"))
     # one row a part
@@ -165,7 +172,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     A chunk's checksum is taken where its bytes lie, and documents join checksums, so no ids are shuffled.
     """
-    stored = spark.read.parquet(f"{folder}/chunks").where("kind = 0")
+    stored = _stored(spark, folder).where("kind = 0")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +196,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     # the chunks of one recipe: as many as one document has
     order = F.array_sort(F.collect_list(F.struct("seq", F.lower(F.hex("digest")).alias("d"))))
     whole = parts.groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_chunks"), F.sha2(F.array_join(F.transform(order, lambda x: x["d"]), "").cast("binary"), 256).alias("again"))
-    manifest = spark.read.parquet(f"{folder}/manifest")
+    manifest = _manifest(spark, folder)
     both = manifest.join(whole, "root", "left")
     good = (F.lower(F.hex("root")) == F.col("again")) & (F.col("n") == F.col("n_tokens"))
     checked = F.when(good, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe is damaged")).cast("long"))
@@ -199,7 +206,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def merkle_root(spark: SparkSession, folder: str) -> str:
     """The root over the whole store: of the roots of the manifest's parts, in order."""
     line = F.concat_ws(":", "doc_id", "start", "n_tokens", F.hex("root"))
-    manifest = spark.read.parquet(f"{folder}/manifest").withColumn("slice", F.floor(F.col("row") / 4096))
+    manifest = _manifest(spark, folder).withColumn("slice", F.floor(F.col("row") / 4096))
     slices = manifest.groupBy("part", "slice").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("row", line.alias("x")))).getField("x"), "\n").cast("binary"), 256).alias("h"), F.min("row").alias("row"))
     while (n := slices.count()) > 1:  # 4096 hashes become one in each round
         w = max(1, -(-n // 4096))
@@ -212,8 +219,8 @@ def merkle_root(spark: SparkSession, folder: str) -> str:
 
 def restore(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of the documents named by ``doc_ids``, put together from their chunks."""
-    stored = spark.read.parquet(f"{folder}/chunks").where("kind = 0")
-    wanted = spark.read.parquet(f"{folder}/manifest").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    stored = _stored(spark, folder).where("kind = 0")
+    wanted = _manifest(spark, folder).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     chunks = stored.where("ids is not null").select("digest", "ids")
     recipes = stored.select("root", "seq", "digest").distinct().join(wanted.select("root").distinct(), "root", "left_semi").join(chunks, "digest")
     whole = recipes.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
@@ -226,5 +233,13 @@ def restore(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
     return wanted.join(whole, "root").select("doc_id", "start", "parts").mapInArrow(join, "doc_id long, start long, ids array<bigint>")
 
 
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("doc_id long, digest binary, root binary, seq long, rest long, n long, ids binary, kind int").parquet(f"{folder}/chunks")
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("part int, row long, doc_id long, start long, n_tokens long, root binary").parquet(f"{folder}/manifest")
+
+
 def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"

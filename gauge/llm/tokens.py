@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
 Both vocabularies split texts before they merge: at white space, and between letters and punctuation. So a
-text's ids are those of its words one after another, and each word is encoded once per Python worker.
+text's ids are those of its words one after another, and each word is encoded once per Python worker. The
+words of many texts are numbered by Arrow, so Python only handles distinct ones, and ids are gathered by numpy.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words a worker keeps at most; then it starts afresh.
+#: Words, and stems, that a worker keeps at most; then it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Letters that both vocabularies treat as letters and that no normalisation joins, then closing punctuation.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-#: A space with more white space, or an end of the text, beside it.
-_ODD = re.compile(r"\s\s|^\s|\s$")
 
 
 class WordEncoder:
@@ -32,59 +33,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Adds words, each with the space before it if words are spaced."""
-        if len(self.words) > CACHE_WORDS or len(self.stems) > CACHE_WORDS:
-            self.words.clear(), self.stems.clear()
-        lead = " " if self.spaced else ""
-        split = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
-        if not self.spaced:
-            split = {w: (a.lower(), b) for w, (a, b) in split.items()}
-        new = list({a for a, _ in split.values()} - self.stems.keys())
-        self.stems.update(zip(new, self._encode([lead + x for x in new]), strict=True))
-        marks = list({b for _, b in split.values() if b} - self.stems.keys())
-        self.stems.update(zip(marks, self._encode(marks), strict=True))
-        stems = self.stems
-        self.words.update((w, stems[a] + stems[b] if b else stems[a]) for w, (a, b) in split.items())
-        other = list(words - split.keys())
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        lead, stems, spaced = " " if self.spaced else "", self.stems, self.spaced
+        split, other = [], []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                split.append((w, m[1] if spaced else m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        new = {stem for _, stem, _ in split if stem not in stems}
+        # plain ASCII letters need no normalising and are one unit for the merges; a space before them is U+0120 there
+        merge, mark = self.model.tokenize, "\u0120" if spaced else ""
+        for stem in new:
+            if stem.isascii():
+                ids = [t.id for t in merge(mark + stem)]
+                stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
+        rest = [stem for stem in new if not stem.isascii()] + list({m for _, _, m in split if m and m not in stems})
+        stems.update(zip(rest, self._encode([x if x[0] in ".," else lead + x for x in rest]), strict=True))
+        self.words.update((w, stems[stem] + stems[m] if m else stems[stem]) for w, stem, m in split)
         self.words.update(zip(other, self._encode([lead + x for x in other]), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return self._spaced(texts) if self.spaced else self._dropped(texts)
-
-    def _dropped(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.words.get
-        found = [[get(p) for p in own] for own in parts]
-        if missing := {p for own, got in zip(parts, found, strict=True) if None in got for p, g in zip(own, got, strict=True) if g is None}:
+        column = pa.array(texts, pa.large_string())
+        parts = pc.split_pattern(column if self.spaced else pc.replace_substring(column, "\n", " "), " ")
+        offsets, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = [w for w, f in zip(words, found, strict=True) if f is None]
+            if len(self.words) + len(missing) > CACHE_WORDS:
+                self.words.clear()
+                missing = words
             self._learn(missing)
-            get = self.words.get
-            found = [[get(p) if g is None else g for p, g in zip(own, got, strict=True)] if None in got else got for own, got in zip(parts, found, strict=True)]
-        return [b"".join(got) for got in found]
-
-    def _spaced(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not t or _ODD.search(t)]
-        for i in odd:
-            out[i] = b"".join(self._encode(list(_chunks(texts[i]))))
-        plain = [i for i in range(len(texts)) if out[i] is None]
-        parts = [texts[i].split(" ") for i in plain]
-        heads = self._encode([own[0] for own in parts])
-        get = self.words.get
-        found = [[get(p) for p in own[1:]] for own in parts]
-        if missing := {p for own, got in zip(parts, found, strict=True) if None in got for p, g in zip(own[1:], got, strict=True) if g is None}:
-            self._learn(missing)
-            get = self.words.get
-            found = [[get(p) if g is None else g for p, g in zip(own[1:], got, strict=True)] if None in got else got for own, got in zip(parts, found, strict=True)]
-        for i, head, got in zip(plain, heads, found, strict=True):
-            out[i] = head + b"".join(got)
-        return out
+            found = list(map(self.words.get, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        counts = size[at]
+        if self.spaced:
+            counts[offsets[:-1]] = 0  # the first word has no space before it
+        ends = np.cumsum(counts)
+        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - counts), counts)].tobytes()
+        bound = (np.concatenate([[0], ends])[offsets] * 4).tolist()
+        if not self.spaced:
+            return [out[bound[i] : bound[i + 1]] for i in range(len(texts))]
+        heads = self._encode([t.partition(" ")[0] for t in texts])
+        found = [head + out[bound[i] : bound[i + 1]] for i, head in enumerate(heads)]
+        # words are only cut at single spaces between other characters
+        bad = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+        if bad.any():
+            for i in np.unique(np.searchsorted(offsets, np.flatnonzero(bad[at]), side="right") - 1).tolist():
+                found[i] = b"".join(self._encode(list(_chunks(texts[i]))))
+        return found
 
 
 def _chunks(text: str) -> Iterator[str]:
@@ -113,8 +122,8 @@ def strings(column) -> list[str]:
     return ["" if x is None else x if isinstance(x, str) else x.decode("utf-8", "replace") for x in column.to_pylist()]
 
 
-def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``most`` characters together."""
+def groups(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters together, or one longer text."""
     ends = np.cumsum([len(t) for t in texts])
     at = 0
     while at < len(texts):
