@@ -255,7 +255,7 @@ def _decode_alike(images: list[Image], media: list[bytes]) -> list[np.ndarray]:
     per = some.interval or None
     lanes, todo = [], []
     for image in images:
-        n = image.units if per is None else -(-image.units // per)
+        n = 1 if per is None else -(-image.units // per)
         lanes.append(n)
         todo += [image.units] if per is None else [per] * (n - 1) + [image.units - per * (n - 1)]
     todo, n_blocks = np.array(todo, np.int64), len(some.blocks)
