@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gauge.llm.common import binary_column, cut_lineage, set_digest, shingle_sets, text_bytes
+from gauge.llm.common import binary_column, cut_lineage, release, set_digest, shingle_sets, text_bytes
 from gauge.llm.components import components
 
 #: Words of a shingle; the least similarity, in percent.
@@ -145,6 +145,7 @@ def sets_of(documents: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
 def verified(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity, from a checkpoint."""
     pairs = cut_lineage(pairs)
+    release(documents.sparkSession)
     sets = sets_of(documents, pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct(), words)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,6 @@ def joined(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent:
 
     First each document is compared with its smallest partner; then only pairs whose ends are still apart.
     """
-    pairs = cut_lineage(pairs)
     forest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = verified(forest, documents, words, percent)
     state = components(found)
@@ -203,6 +203,8 @@ def links(documents: DataFrame, representatives: DataFrame, known: tuple[np.ndar
     expanded = expanded.distinct()
     large = postings.where(F.col("size") > SMALL_BLOCK).select("g", "h").join(members, "g").select("doc_id", "n", "h")
     large = cut_lineage(large.union(members.where(F.col("members") > SMALL_BLOCK).select("doc_id", "n", F.xxhash64("g", F.lit("group")).alias("h"))).distinct())
+    expanded = cut_lineage(expanded)
+    del rows, groups, heads, blocks, postings, small, x, y, pairs, one, two, members, few
     found = joined(expanded, documents, words, percent)
     return found if large.isEmpty() else large_links(large, found, documents, words, percent)
 
