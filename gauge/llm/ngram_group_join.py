@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gauge.llm.common import binary_column, cut_lineage, release, set_digest, shingle_sets, text_bytes
+from gauge.llm.common import binary_column, cut_lineage, release, runs, set_digest, shingle_sets, text_bytes
 from gauge.llm.components import components
 
 #: Words of a shingle; the least similarity, in percent.
@@ -129,37 +129,50 @@ def prefixes(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], words:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(prefix, "doc_id long, n long, prefix array<bigint>")
 
 
-def sets_of(documents: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, shingles) of the rows named by ``ids``, sorted hashes; made anew from the texts, not kept."""
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows named by ``ids``, texts as bytes."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi")
+
+
+def sets_of(documents: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, shingles) of the rows named by ``ids``, sorted hashes; made anew from the texts, not kept."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _long_lists(list(shingle_sets(*binary_column(batch.column(1)), words)))], names=["doc_id", "shingles"])
 
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi")
-    return chosen.mapInArrow(shingles, "doc_id long, shingles array<bigint>")
+    return texts_of(documents, ids).mapInArrow(shingles, "doc_id long, shingles array<bigint>")
+
+
+def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The shingle set of each text; of equal texts it is made once."""
+    coded = texts.dictionary_encode()
+    sets = list(shingle_sets(*binary_column(coded.dictionary), words))
+    return [sets[i] for i in coded.indices.to_numpy()]
 
 
 def verified(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity, from a checkpoint."""
+    """The pairs (a, b) whose whole shingle sets reach the similarity, from a checkpoint.
+
+    Texts travel to their pairs, not shingle sets: they are smaller, and repeats of one text compress.
+    """
     pairs = cut_lineage(pairs)
     release(documents.sparkSession)
-    sets = sets_of(documents, pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct(), words)
+    texts = texts_of(documents, pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, xo), (y, yo) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column(2), batch.column(3)))
             good = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                p, q = x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                good[i] = 100 * both >= percent * (len(p) + len(q) - both)
+            for lo, hi in runs(binary_column(batch.column(2))[1] + binary_column(batch.column(3))[1], 8 << 20):
+                for i, p, q in zip(range(lo, hi), _sets(batch.column(2)[lo:hi], words), _sets(batch.column(3)[lo:hi], words), strict=True):
+                    both = len(p) + len(q) - len(np.union1d(p, q))
+                    good[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}s")) for k in "ab")
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "as", "bs").mapInArrow(check, "a long, b long"))
+    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"))
 
 
 def joined(pairs: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
