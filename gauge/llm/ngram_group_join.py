@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gauge.llm.common import binary_column, cut_lineage, release, runs, set_digest, shingle_sets, text_bytes
@@ -35,7 +36,8 @@ WORDS, PERCENT = 5, 80
 FREQUENT, SMALL_BLOCK = 1_000_000, 48
 #: Documents whose ids are broadcast to select their texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-PIVOT_ROUNDS = 4
+#: Rounds of pivots; blocks that a document remembers ahead of each of its blocks.
+PIVOT_ROUNDS, BEFORE = 4, 32
 
 _LONGS = pa.list_(pa.int64())
 
@@ -214,8 +216,9 @@ def links(documents: DataFrame, representatives: DataFrame, known: tuple[np.ndar
     few = members.where((F.col("members") > 1) & (F.col("members") <= SMALL_BLOCK))
     expanded = expanded.union(few.alias("x").join(few.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select("x.doc_id", "y.doc_id"))
     expanded = expanded.distinct()
-    large = postings.where(F.col("size") > SMALL_BLOCK).select("g", "h").join(members, "g").select("doc_id", "n", "h")
-    large = cut_lineage(large.union(members.where(F.col("members") > SMALL_BLOCK).select("doc_id", "n", F.xxhash64("g", F.lit("group")).alias("h"))).distinct())
+    large = postings.where(F.col("size") > SMALL_BLOCK).select("g", "h", "at").join(members, "g").select("doc_id", "n", "h", "at")
+    # members of a large group meet in a block of their own, which comes before all others
+    large = cut_lineage(large.union(members.where(F.col("members") > SMALL_BLOCK).select("doc_id", "n", F.xxhash64("g", F.lit("group")).alias("h"), F.lit(-1))))
     expanded = cut_lineage(expanded)
     del rows, groups, heads, blocks, postings, small, x, y, pairs, one, two, members, few
     found = joined(expanded, documents, words, percent)
@@ -223,9 +226,12 @@ def links(documents: DataFrame, representatives: DataFrame, known: tuple[np.ndar
 
 
 def large_links(docs: DataFrame, found: DataFrame, documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links that, with ``found``, join all linked documents of large blocks (doc_id, n, h).
+    """Links that, with ``found``, join all linked documents of large blocks (doc_id, n, h, at: h's place in the prefix).
 
-    Pivots come first, then the pairs across components that a bound lets through.
+    Pivots come first, then the pairs across components that bounds let through. Two documents need only be
+    paired in the block of the first shingle that both prefixes have, so the overlap is at most what follows
+    it in either; ``before`` holds the blocks just ahead of a block, and a pair that meets in one of them is
+    left to it. Pairs that meet first in a small block were among the candidates there.
     """
     # shingles that no other document of a large block has can be shared with none of them
     shingles = sets_of(documents, docs.select("doc_id").distinct(), words).select("doc_id", F.explode("shingles").alias("s"))
@@ -233,25 +239,36 @@ def large_links(docs: DataFrame, found: DataFrame, documents: DataFrame, words:
     docs = docs.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     # the overlap is at most n - own, so the other document's size is at most this
     docs = docs.withColumn("reach", F.floor((100 + percent) * (F.col("n") - F.col("own")) / percent) - F.col("n")).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
-    docs = cut_lineage(docs)
+    docs = cut_lineage(docs.withColumn("before", F.collect_list("h").over(W.partitionBy("doc_id").orderBy("at").rowsBetween(-BEFORE, -1))))
     links = found
     for turn in range(PIVOT_ROUNDS):
         named = _open_blocks(docs, links)
         if named.isEmpty():
             return links
+        before = links.count()
         # the pivot: first the document with the fewest shingles of its own, then one of a component drawn by hash
         order = ["own", F.xxhash64("doc_id").alias("x")] if not turn else [F.xxhash64("c", F.lit(turn)).alias("x"), "own"]
-        pivots = named.groupBy("h").agg(F.min(F.struct(*order, "doc_id", "c", "n", "reach")).alias("p"))
-        stars = named.join(pivots, "h").where((F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.reach")) & (F.col("p.n") <= F.col("reach")) & _fits(F.col("n"), F.col("p.n"), percent))
+        pivots = named.groupBy("h").agg(F.min(F.struct(*order, "doc_id", "c", "n", "reach", "at")).alias("p"))
+        fit = (F.col("c") != F.col("p.c")) & (F.col("n") <= F.col("p.reach")) & (F.col("p.n") <= F.col("reach")) & _fits(F.col("n"), F.col("p.n"), percent)
+        stars = named.join(pivots, "h").where(fit & _follow("", "p.", percent))
         stars = stars.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
         links = cut_lineage(links.union(verified(stars, documents, words, percent)).distinct())
+        if turn and links.count() == before:  # what pivots can join is joined
+            break
     # what is left is paired in full across components
     named = _open_blocks(docs, links)
     x, y = named.alias("x"), named.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & _fits(F.col("x.n"), F.col("y.n"), percent))
+    fit = (F.col("x.c") != F.col("y.c")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & _fits(F.col("x.n"), F.col("y.n"), percent)
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.doc_id") < F.col("y.doc_id")) & fit & _follow("x.", "y.", percent) & ~F.arrays_overlap("x.before", "y.before"))
     return links.union(verified(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), documents, words, percent))
 
 
+def _follow(x: str, y: str, percent: int) -> Column:
+    """Whether what follows a common shingle, the first one of both, can reach the similarity."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    return (100 + percent) * F.least(n - F.col(f"{x}at"), m - F.col(f"{y}at")) >= percent * (n + m)
+
+
 def _open_blocks(docs: DataFrame, links: DataFrame) -> DataFrame:
     """Members, with their component c, of the blocks that hold several components and can still have links."""
     state = components(links)
