@@ -34,7 +34,8 @@ def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "bloc
     ``words`` needs t and y. ``fuzzy``: blocks (a UDF on the words that match in no other way), dice or None.
     """
     theirs = literal_variants(query)
-    found = words.withColumn("v", text.variants(F.col("t"))).withColumn("mode", text.match(F.col("v"), theirs))
+    # a vocabulary is far smaller than its text: each distinct word is compared once
+    found = words.select("t").distinct().withColumn("v", text.variants(F.col("t"))).withColumn("mode", text.match(F.col("v"), theirs))
     if fuzzy == "blocks":
         # only where the better tiers failed; rows with a mode pass an empty array
         similar = matching_blocks(F.when(F.col("mode").isNull(), F.col("v")).otherwise(F.array().cast("array<string>")), theirs)
@@ -43,10 +44,11 @@ def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "bloc
     else:
         similar = F.lit(0.0)
     score = F.when(F.col("mode") == "exact", 3.0).when(F.col("mode") == "partial", 2.0).otherwise(similar)
-    hits = found.withColumn("score", score).where(F.col("mode").isNotNull() | (F.col("score") >= text.SIMILAR))
+    good = found.withColumn("score", score).where(F.col("mode").isNotNull() | (F.col("score") >= text.SIMILAR)).select("t", "mode", "score")
+    hits = words.join(good, "t")
     hits = hits.withColumn("tier", F.when(F.col("mode") == "exact", 1).when(F.col("mode") == "partial", 2).otherwise(3))
     best = hits.groupBy(*by).agg(F.min("tier").alias("tier"))
-    return hits.join(best, [*by, "tier"], "left_semi").withColumn("mode", F.coalesce("mode", F.lit("approximate"))).drop("v", "tier")
+    return hits.join(best, [*by, "tier"], "left_semi").withColumn("mode", F.coalesce("mode", F.lit("approximate"))).drop("tier")
 
 
 def ranked(hits: DataFrame, n: int = 10) -> DataFrame:

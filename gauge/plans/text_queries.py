@@ -73,8 +73,10 @@ def u4_tiers(spark, sf_dir):
 
 @query(WORDS + ", " + FORMS + f", h AS (SELECT w.*, CASE WHEN list_has_any(forms, ['mark']) THEN 3.0 ELSE 2.0 END AS score FROM w JOIN f ON w.t = f.t WHERE list_has_any(forms, ['mark']) OR {PARTIAL}) SELECT doc_id, i, t, score FROM h ORDER BY score DESC, y, i, doc_id LIMIT 10")
 def l8_top10(spark, sf_dir):
-    own = words(spark, sf_dir).withColumn("score", F.when(text.match(text.variants(F.col("t")), search.literal_variants("mark")) == "exact", 3.0).when(text.match(text.variants(F.col("t")), search.literal_variants("mark")) == "partial", 2.0))
-    return own.where("score is not null").orderBy(F.desc("score"), "y", "i", "doc_id").limit(10).select("doc_id", "i", "t", "score")
+    own = words(spark, sf_dir)
+    mode = text.match(text.variants(F.col("t")), search.literal_variants("mark"))
+    good = own.select("t").distinct().withColumn("mode", mode).where("mode is not null").select("t", F.when(F.col("mode") == "exact", 3.0).otherwise(2.0).alias("score"))
+    return own.join(good, "t").orderBy(F.desc("score"), "y", "i", "doc_id").limit(10).select("doc_id", "i", "t", "score")
 
 
 @query(WORDS + " SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y * 2, 0), x) AS place FROM w WHERE i < 1000")
