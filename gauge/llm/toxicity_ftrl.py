@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +61,7 @@ def train_shard(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> np.
     for _ in range(passes):
         for i in order.permutation(len(rows)):
             x, y = rows[i]
-            x = np.append(x, PRIOR)
+            x = np.append(x.astype(np.int64), PRIOR)
             own_z, own_n = z[x], n[x]
             step = (BETA + np.sqrt(own_n)) / ALPHA
             own_w = np.where(np.abs(own_z) <= L1, 0.0, (np.sign(own_z) * L1 - own_z) / (step + L2))
@@ -95,14 +94,16 @@ def fit(documents: DataFrame, labels: DataFrame, n_documents: int = TRAINING_DOC
             x = [f.astype(np.int32).tobytes() for f in features(*binary_column(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], names=["doc_id", "x", "toxic"])
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        w = train_shard([(np.frombuffer(x, np.int32).astype(np.int64), y) for x, y in zip(pdf["x"], pdf["toxic"], strict=True)])
+    def shard(rows: pa.Table) -> pa.Table:
+        rows = rows.select(["doc_id", "x", "toxic"]).sort_by("doc_id").combine_chunks()
+        # the features stay where Arrow has them
+        x = [np.frombuffer(b.as_buffer(), np.int32) for c in rows["x"].chunks for b in c]
+        w = train_shard(list(zip(x, rows["toxic"].to_pylist(), strict=True)))
         on = np.flatnonzero(w)
-        return pd.DataFrame({"position": on, "weight": w[on]})
+        return pa.table({"position": pa.array(on, pa.int64()), "weight": pa.array(w[on])})
 
     ready = rows.mapInArrow(hashed, "doc_id long, x binary, toxic int").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    weights = ready.groupBy("shard").applyInPandas(shard, "position long, weight double").groupBy("position").agg((F.sum("weight") / shards).alias("weight"))
+    weights = ready.groupBy("shard").applyInArrow(shard, "position long, weight double").groupBy("position").agg((F.sum("weight") / shards).alias("weight"))
     found = weights.orderBy("position").toPandas()
     return found["position"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
