@@ -60,8 +60,14 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+#: Caches that outlive a task in its Python worker; tasks that read bytes, which need none, empty them.
+worker_caches: list[dict] = []
+
+
 def binary_column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary Arrow array, one after another, and the offsets of its values."""
+    for cache in worker_caches:
+        cache.clear()
     array = array.cast(pa.large_binary()) if not pa.types.is_large_binary(array.type) else array
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1]

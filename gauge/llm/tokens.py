@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gauge.llm.common import worker_caches
+
 #: Words, and stems, that a worker keeps at most; then it starts afresh.
 CACHE_WORDS = 1_000_000
 #: Letters that both vocabularies treat as letters and that no normalisation joins, then closing punctuation.
@@ -107,10 +109,11 @@ def _chunks(text: str) -> Iterator[str]:
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
+worker_caches.append(_encoders)
 
 
 def encoder(path: str, spaced: bool) -> WordEncoder:
-    """This worker's encoder; its cache outlives tasks."""
+    """This worker's encoder; its cache outlives tasks, until another operator's tasks need the memory."""
     if (path, spaced) not in _encoders:
         _encoders.clear()
         _encoders[path, spaced] = WordEncoder(path, spaced)
