@@ -252,9 +252,9 @@ def d_j12_next_sample(spark, sf_dir):
     return found.where("event_type = 'error'").select("event_id", "user_id", "next_event_id")
 
 
-@query("SELECT event_id, p_partkey AS name FROM events JOIN part ON abs(sqrt(value * value + CAST(event_id % 97 AS DOUBLE) * CAST(event_id % 97 AS DOUBLE)) - p_size * 4) < 3 AND abs(value * 2 - (p_retailprice - 900) * 3) < 3 WHERE p_partkey <= 200")
+@query("SELECT event_id, p_partkey AS name FROM events JOIN part ON abs(sqrt(value * value + CAST(event_id % 97 AS DOUBLE) * CAST(event_id % 97 AS DOUBLE)) - p_size * 4) < 3 AND abs(value * 2 - (p_retailprice - 900) * 3) < 3")
 def d_j13_anchor(spark, sf_dir):
-    nominal = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("name"), (F.col("p_size") * 4).cast("double").alias("radius"), ((F.col("p_retailprice") - 900) * 3).alias("height"))
+    nominal = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_size") * 4).cast("double").alias("radius"), ((F.col("p_retailprice") - 900) * 3).alias("height"))
     return points.anchored(event_points(spark, sf_dir), nominal, 3.0).select("event_id", "name")
 
 

@@ -79,11 +79,11 @@ def l8_top10(spark, sf_dir):
     return own.join(good, "t").orderBy(F.desc("score"), "y", "i", "doc_id").limit(10).select("doc_id", "i", "t", "score")
 
 
-@query(WORDS + " SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y * 2, 0), x) AS place FROM w WHERE i < 1000")
+@query(WORDS + " SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y * 2, 0), x) AS place FROM w")
 def l9_reading_order(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    own = words(spark, sf_dir).where("i < 1000")  # a page of words
+    own = words(spark, sf_dir)
     return own.select("doc_id", "i", F.row_number().over(W.partitionBy("doc_id").orderBy(*search.reading_order())).alias("place"))
 
 
