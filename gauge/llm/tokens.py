@@ -22,6 +22,9 @@ from gauge.llm.common import worker_caches
 CACHE_WORDS = 1_000_000
 #: Letters that both vocabularies treat as letters and that no normalisation joins, then closing punctuation.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Byte-level vocabularies write a byte as itself where that is a visible character, else as the next one from U+0100.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 class WordEncoder:
@@ -38,6 +41,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        #: Words that texts cannot be cut at: empty, or with other white space at an end.
+        self.odd: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
@@ -54,27 +59,29 @@ class WordEncoder:
             else:
                 other.append(w)
         new = {stem for _, stem, _ in split if stem not in stems}
-        # plain ASCII letters need no normalising and are one unit for the merges; a space before them is U+0120 there
-        merge, mark = self.model.tokenize, "\u0120" if spaced else ""
+        # plain letters are one unit for the merges; those beyond ASCII only need no normalising in byte-level vocabularies
+        merge = self.model.tokenize
         for stem in new:
-            if stem.isascii():
-                ids = [t.id for t in merge(mark + stem)]
+            if spaced or stem.isascii():
+                ids = [t.id for t in merge((lead + stem).encode().decode("latin-1").translate(_BYTE_LEVEL) if spaced else stem)]
                 stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
-        rest = [stem for stem in new if not stem.isascii()] + list({m for _, _, m in split if m and m not in stems})
+        rest = [stem for stem in new if stem not in stems] + list({m for _, _, m in split if m and m not in stems})
         stems.update(zip(rest, self._encode([x if x[0] in ".," else lead + x for x in rest]), strict=True))
         self.words.update((w, stems[stem] + stems[m] if m else stems[stem]) for w, stem, m in split)
         self.words.update(zip(other, self._encode([lead + x for x in other]), strict=True))
+        if spaced:
+            self.odd.update(w for w in other if not w or w[0].isspace() or w[-1].isspace())
 
     def ids(self, texts: list[str]) -> list[bytes]:
         column = pa.array(texts, pa.large_string())
         parts = pc.split_pattern(column if self.spaced else pc.replace_substring(column, "\n", " "), " ")
         offsets, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
-        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, words))
         if None in found:
             missing = [w for w, f in zip(words, found, strict=True) if f is None]
             if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear()
+                self.words.clear(), self.odd.clear()
                 missing = words
             self._learn(missing)
             found = list(map(self.words.get, words))
@@ -91,8 +98,8 @@ class WordEncoder:
         heads = self._encode([t.partition(" ")[0] for t in texts])
         found = [head + out[bound[i] : bound[i + 1]] for i, head in enumerate(heads)]
         # words are only cut at single spaces between other characters
-        bad = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
-        if bad.any():
+        if self.odd:
+            bad = np.fromiter(map(self.odd.__contains__, words), bool, len(words))
             for i in np.unique(np.searchsorted(offsets, np.flatnonzero(bad[at]), side="right") - 1).tolist():
                 found[i] = b"".join(self._encode(list(_chunks(texts[i]))))
         return found
