@@ -38,13 +38,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a document of which it takes k times its words, rounded, k times.
+    """What the mix takes, so that each source has the words of its target: a row for each passage of a document.
 
-    Every document of a source that the mix takes in full stays; one of which the mix takes less than half goes.
+    A document of which the mix takes every block stays whole, once for each time; of others the passages stay
+    that are taken, with the document's doc_id and their own n_chars. Texts without words are never taken.
     """
     docs = docs.select(*COLUMNS)
-    taken = source_mix.taken_words(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.join(taken.where("times > 0"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    taken = source_mix.taken_texts(docs)
+    length = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return taken.withColumn("n_chars", length).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,12 +12,15 @@ own, sorted last; repeated rows are documents of their own; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import cut_lineage
+from gauge.llm.common import Words, binary_column, cut_lineage, runs, text_bytes
 
 #: Weights of the sources in code-point order, repeating; how many times its size a source may be taken.
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3
@@ -152,3 +155,61 @@ def mixed_texts(documents: DataFrame, seed: int = 5) -> DataFrame:
     # a block holds at most BLOCK_WORDS words, so the pieces collected for it are as few
     blocks = parts.groupBy("sid", "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), " ").alias("text"))
     return slots.join(blocks, ["sid", "block_no"]).select("shard", "sid", "slot", "text")
+
+
+def passages(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words (first, end) that together hold each word as often as its piece is taken, as few as that allows.
+
+    ``pieces`` are (first word, words, times) in order; pieces that follow one another without a gap are joined.
+    """
+    out = []
+    for turn in range(max((times for _, _, times in pieces), default=0)):
+        at = None
+        for first, words, times in pieces:
+            if times <= turn:
+                continue
+            if at is not None and at[1] == first:
+                at = (at[0], first + words)
+                continue
+            if at is not None:
+                out.append(at)
+            at = (first, first + words)
+        if at is not None:
+            out.append(at)
+    return out
+
+
+def taken_texts(documents: DataFrame, seed: int = 5) -> DataFrame:
+    """What the mix takes of each document: its columns, a row for each passage, and ``whole``: whether it is the whole text.
+
+    A passage keeps the white space between its words, and a whole text all of it. ``documents`` must hold each
+    doc_id once.
+    """
+    _, cut, slots = mix(documents, seed)
+    used = slots.groupBy("sid", "block_no").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    # a document has as many pieces as blocks that it meets
+    pieces_of = cut.join(used, ["sid", "block_no"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias("pieces"))
+
+    def passage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, taken = batch.schema.get_field_index("text"), batch.schema.get_field_index("pieces")
+            names = [n for n in batch.schema.names if n not in ("text", "pieces")]
+            data, offsets = binary_column(batch.column(text))
+            for lo, hi in runs(offsets):
+                words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                bound = np.searchsorted(words.text, np.arange(hi - lo + 1))
+                rows, texts, whole = [], [], []
+                for i in range(lo, hi):
+                    a, n = bound[i - lo], bound[i - lo + 1] - bound[i - lo]
+                    for first, end in passages([(p["first_word"], p["words"], p["times"]) for p in batch.column(taken)[i].as_py()]):
+                        full = first == 0 and end == n
+                        begin, stop = (offsets[i], offsets[i + 1]) if full else (offsets[lo] + words.start[a + first], offsets[lo] + words.end[a + end - 1])
+                        rows.append(i), texts.append(data[begin:stop].tobytes()), whole.append(full)
+                own = [batch.column(batch.schema.get_field_index(n)).take(pa.array(rows, pa.int64())) for n in names]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.binary()), pa.array(whole, pa.bool_())], names=[*names, "text", "whole"])
+
+    rest = [c for c in documents.columns if c != "text"]
+    rows = documents.select(*rest, text_bytes().alias("text")).join(pieces_of, "doc_id").select(*rest, "text", "pieces")
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+    found = rows.mapInArrow(passage, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text binary", "whole boolean"]))
+    return found.withColumn("text", F.col("text").cast("string")).select(*documents.columns, "whole")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from gauge.llm import source_mix
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,3 +26,29 @@ def test_each_stage_acts_on_what_is_left(spark, tmp_path):
     assert ids[-1] == ids[-2]
     texts = [r.text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for r in spark.read.parquet(str(tmp_path / "near_dedup")).collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_mixing_meets_the_targets(spark):
+    stage = dict(corpus_pipeline.STAGES)["mix_sources"]
+    words = [f"w{i}" for i in range(97)]
+    # long and short documents of sources whose targets are below, above and far above their sizes
+    sizes = {"a": [40, 300] * 6, "b": [20, 900, 3000] * 8, "c": [50, 2500, 6000] * 8}
+    rows = [(f"{source}{i}", source, "\n ".join(words[(i + j) % 97] for j in range(n))) for source, ns in sizes.items() for i, n in enumerate(ns)]
+    rows = [(k, text, "en", source, len(text)) for k, (_, source, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out, given = stage(spark, docs, SMALL).collect(), {r[0]: r for r in rows}
+    target = {r.source: (r.target, r.source_size) for r in source_mix.taken_words(docs).select("source", "target", "source_size").distinct().collect()}
+    assert any(t < 0.5 * s for t, s in target.values()) and any(t > 1.5 * s for t, s in target.values())
+    for source, (wanted, _) in target.items():
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - wanted) <= 2 * source_mix.BLOCK_WORDS
+    taken = {r.doc_id: r.taken for r in source_mix.taken_words(docs).collect()}
+    for doc_id, (_, text, *_) in given.items():
+        own = [r for r in out if r.doc_id == doc_id]
+        assert sum(len(r.text.split()) for r in own) == taken[doc_id]
+        assert all(r.text in text and r.n_chars == len(r.text) and r.lang == "en" for r in own)
+
+
+def test_passages():
+    assert source_mix.passages([]) == []
+    assert source_mix.passages([(0, 5, 1), (5, 64, 1), (69, 3, 1)]) == [(0, 72)]
+    assert source_mix.passages([(0, 5, 2), (5, 64, 1), (133, 3, 2)]) == [(0, 69), (133, 136), (0, 5), (133, 136)]
