@@ -2,6 +2,10 @@
 
 Each stage takes the documents that its predecessor kept, as a DataFrame of the columns of ``documents``,
 and is written as Parquet and read again before the next one.
+
+Defined results: a row without doc_id is a document of its own. Toxicity, mixing and packing treat repeated rows
+as documents of their own; of rows that repeat a text, or nearly, the dedup stages keep one, also where they carry
+one doc_id. A doc_id goes before none: a row without one only stays if no row of its text, or near it, has one.
 """
 
 from __future__ import annotations
@@ -25,16 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: the one with the largest doc_id."""
-    docs = docs.select(*COLUMNS)
-    return _kept(docs, lsm_dedup.dedup(docs).where("kept"))
+    """One row of each text: the one with the largest doc_id."""
+    docs, repeats = _keyed(docs, largest=True)
+    return _kept(docs, lsm_dedup.dedup(_by_key(docs)).where("kept"), repeats)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id."""
-    docs = docs.select(*COLUMNS)
-    found = ngram_group_join.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id") == F.col("component_id")))
+    """One row of each component of near duplicates: the one with the smallest doc_id."""
+    docs, repeats = _keyed(docs, largest=False)
+    found = ngram_group_join.near_duplicates(_by_key(docs))
+    return _kept(docs, found.where(F.col("doc_id") == F.col("component_id")), repeats)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which the mix takes every block stays whole, once for each time; of others the passages stay
     that are taken, with the document's doc_id and their own n_chars. Texts without words are never taken.
     """
-    docs = docs.select(*COLUMNS)
-    taken = source_mix.taken_texts(docs)
+    docs, repeats = _keyed(docs, largest=False)
+    sizes = docs.select(F.col("key").alias("doc_id"), "source", "text")
+    texts = docs.dropDuplicates(["key"]) if repeats else docs
+    taken = source_mix.taken_texts(sizes, texts.withColumnRenamed("doc_id", "own_id").withColumnRenamed("key", "doc_id"))
+    taken = taken.drop("doc_id").withColumnRenamed("own_id", "doc_id")
     length = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return taken.withColumn("n_chars", length).select(*COLUMNS)
 
@@ -54,8 +61,31 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(docs)
 
 
-def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame, largest: bool) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``key`` that stands for doc_id in an operator, and whether rows can share one.
+
+    The key is the doc_id where each row has one of its own. Otherwise one row of each doc_id, with all rows equal
+    to it, keeps the doc_id; the others, and rows without one, get a number made from their columns, which only
+    equal rows share. It is beyond those that doc_id has: below where the ``largest`` stays, else above.
+    """
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long")), False
+    docs = docs.withColumn("number", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first")).where("n > 1")
+    docs = docs.join(first.drop("n"), "doc_id", "left")
+    number = F.col("number").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    own = F.col("doc_id").isNotNull() & (F.coalesce("first", "number") == F.col("number"))
+    return docs.select(*COLUMNS, F.when(own, F.col("doc_id").cast("long")).otherwise(-number if largest else number).alias("key")), True
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("key").alias("doc_id"), "text")
+
+
+def _kept(docs: DataFrame, kept: DataFrame, repeats: bool) -> DataFrame:
+    docs = docs.join(kept.select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+    return (docs.dropDuplicates(["key"]) if repeats else docs).select(*COLUMNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -179,16 +179,17 @@ def passages(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def taken_texts(documents: DataFrame, seed: int = 5) -> DataFrame:
+def taken_texts(documents: DataFrame, texts: DataFrame | None = None, seed: int = 5) -> DataFrame:
     """What the mix takes of each document: its columns, a row for each passage, and ``whole``: whether it is the whole text.
 
-    A passage keeps the white space between its words, and a whole text all of it. ``documents`` must hold each
-    doc_id once.
+    A passage keeps the white space between its words, and a whole text all of it. The columns come from ``texts``,
+    or from ``documents``: there each doc_id stands once. Rows of ``documents`` that share a doc_id are alike.
     """
     _, cut, slots = mix(documents, seed)
+    texts = documents if texts is None else texts
     used = slots.groupBy("sid", "block_no").agg(F.count(F.lit(1)).cast("int").alias("times"))
     # a document has as many pieces as blocks that it meets
-    pieces_of = cut.join(used, ["sid", "block_no"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias("pieces"))
+    pieces_of = cut.join(used, ["sid", "block_no"]).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias("pieces")).drop("row")
 
     def passage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +209,8 @@ def taken_texts(documents: DataFrame, seed: int = 5) -> DataFrame:
                 own = [batch.column(batch.schema.get_field_index(n)).take(pa.array(rows, pa.int64())) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.binary()), pa.array(whole, pa.bool_())], names=[*names, "text", "whole"])
 
-    rest = [c for c in documents.columns if c != "text"]
-    rows = documents.select(*rest, text_bytes().alias("text")).join(pieces_of, "doc_id").select(*rest, "text", "pieces")
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+    rest = [c for c in texts.columns if c != "text"]
+    rows = texts.select(*rest, text_bytes().alias("text")).join(pieces_of, "doc_id").select(*rest, "text", "pieces")
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
     found = rows.mapInArrow(passage, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text binary", "whole boolean"]))
-    return found.withColumn("text", F.col("text").cast("string")).select(*documents.columns, "whole")
+    return found.withColumn("text", F.col("text").cast("string")).select(*texts.columns, "whole")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from gauge.llm import source_mix
+from gauge.llm import lsm_dedup, source_mix
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +54,25 @@ def test_passages():
     assert source_mix.passages([]) == []
     assert source_mix.passages([(0, 5, 1), (5, 64, 1), (69, 3, 1)]) == [(0, 72)]
     assert source_mix.passages([(0, 5, 2), (5, 64, 1), (133, 3, 2)]) == [(0, 69), (133, 136), (0, 5), (133, 136)]
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    stages, rng = dict(corpus_pipeline.STAGES), random.Random(3)
+    text = [" ".join(f"word{rng.randrange(5000)}" for _ in range(150)) for _ in range(7)]
+    near = text[5] + " end"
+    rows = [(1, text[0]), (1, text[0]), (1, text[0]), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[3].upper()), (None, text[4]), (3, text[5]), (None, text[5]), (None, near), (None, text[6]), (None, text[6] + " end"), (4, text[0].upper())]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = stages["exact_dedup"](spark, docs, SMALL).localCheckpoint()
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in exact.collect())
+    assert got == sorted([(4, text[0]), (2, text[1]), (2, text[2]), (0, text[3]), (0, text[4]), (3, text[5]), (0, near), (0, text[6]), (0, text[6] + " end")])
+    same = lsm_dedup.dedup(docs).where("kept").count()
+    assert len(got) == same
+    for given in (docs, exact):
+        found = [(r.doc_id or 0, r.text.lower()) for r in stages["near_dedup"](spark, given, SMALL).collect()]
+        assert len(found) == 7 and {(1 if i == 4 else i, t) for i, t in found if t not in (text[6], text[6] + " end")} == {(1, text[0]), (2, text[1]), (2, text[2]), (0, text[3]), (0, text[4]), (3, text[5])}
+    # one source is taken in full: each row once, equal rows as often as they stand there
+    mixed = stages["mix_sources"](spark, docs, SMALL).localCheckpoint()
+    wanted, words = sum(len(t.split()) for _, t in rows), sum(len(r.text.split()) for r in mixed.collect())
+    assert abs(words - wanted) <= source_mix.BLOCK_WORDS
+    assert sorted((r.doc_id or 0, r.text) for r in mixed.collect()) == sorted((i or 0, t) for i, t in rows)
+    assert stages["packing"](spark, mixed, SMALL).where("start = 0").count() == len(rows)
