@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +27,12 @@ NOT_WHITE[list(WHITE_SPACE)] = False
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a local one, if this machine is all there is."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = LOCAL_CHECKPOINTS
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -42,13 +45,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver drop plans that nothing refers to, so that Spark removes their shuffle files and checkpoints.
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Spark's cleaner only acts when the driver collects its garbage, which a small driver seldom does by itself.
+
+class Tables:
+    """Named Parquet tables in a folder of their own below the shared one; they outlive any executor.
+
+    A table is removed when nothing reads it any more: a name that is kept again, or dropped, loses its old rows.
+    Few rows in many files are read in few partitions.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "none").parquet(path)  # numbers and hashes, which do not compress
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove(self.spark, self.paths.pop(name))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +91,7 @@ def binary_column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary Arrow array, one after another, and the offsets of its values."""
     for cache in worker_caches:
         cache.clear()
+    pa.default_memory_pool().release_unused()
     array = array.cast(pa.large_binary()) if not pa.types.is_large_binary(array.type) else array
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1]
