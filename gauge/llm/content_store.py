@@ -3,14 +3,17 @@
 A rolling hash over the ids cuts each document's stream where it meets a mark, so equal passages give equal
 chunks. A chunk's address is the SHA-256 of its stored bytes; each address is stored once. A recipe lists a
 document's chunks in order; its root is the SHA-256 of their addresses. The manifest lists documents in
-ascending doc_id order with the place of their first id, their root, and the root of every manifest part.
+ascending doc_id order with the place of their first id and their root; slices of it are hashed, and the
+store's root is the hash of those hashes.
 
 Layout below a folder: ``chunks/`` (address, ids, and rows that only refer to an address: which recipe holds
-it where), ``recipes`` being those references, and ``manifest/`` (doc_id, start, n_tokens, root).
+it where), ``recipes`` being those references, ``manifest/`` (doc_id, start, n_tokens, root), ``slices/`` (the
+hash of each slice of the manifest) and ``root/``.
 
 Defined results: null and empty texts are the end id alone; repeated rows are documents of their own, one
-after another; an empty table gives an empty result; further columns pass by unread. Reading raises an error
-if an address or root differs from what the stored bytes give.
+after another; rows without doc_id come first; an empty table gives an empty result; further columns pass by
+unread. Reading raises an error if an address, a recipe, a slice or the store's root differs from what the
+stored bytes give.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gauge.llm.common import cut_lineage, mix, shared_folder, text_bytes
-from gauge.llm.tokens import encoder, groups, strings
+from gauge.llm.tokens import encoder, groups
 
 END_ID = 2
 #: Ids that the rolling hash sees; a mark comes every 2 ** MARK_BITS ids in the mean; ids of a chunk at most.
@@ -77,33 +80,56 @@ def _encoded(documents: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced=True)
+        wide = encode.tokenizer.get_vocab_size() > 1 << 16
+        width, mark = (4, b"\x04") if wide else (2, b"\x02")
         roots, addresses = set(), set()
+
+        def new(known: set, keys: list[bytes]) -> np.ndarray:
+            out = []
+            for i, k in enumerate(keys):
+                if k not in known:
+                    known.add(k)
+                    out.append(i)
+            return np.array(out, np.int64)
+
+        def batch_of(rows: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for lo, hi in groups(texts):
-                raw = [x + end for x in encode.ids(texts[lo:hi])]
-                ids = np.frombuffer(b"".join(raw), "<u4")
-                ends = np.cumsum([len(x) // 4 for x in raw])
+            doc_ids = batch.column(0)
+            for lo, hi, texts in groups(batch.column(1)):
+                raw = encode.ids(texts)
+                ids = np.frombuffer(end.join(raw) + end, "<u4")
+                ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4 + 1)
                 cuts = chunk_ends(ids, ends)
+                begins = np.concatenate([[0], cuts[:-1]])
+                last = np.searchsorted(cuts, ends, side="right")
+                first = np.concatenate([[0], last[:-1]])
                 # a stored chunk: its width in bytes, then its ids
-                narrow = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else None
-                rows, at, a = [], 0, 0
-                for doc_id, stop in zip(doc_ids[lo:hi], ends.tolist(), strict=True):
-                    first, own = a, []
-                    for b in cuts[np.searchsorted(cuts, a, side="right") : np.searchsorted(cuts, stop, side="right")].tolist():
-                        stored = b"\x02" + narrow[2 * a : 2 * b] if narrow is not None else b"\x04" + ids[a:b].tobytes()
-                        own.append((hashlib.sha256(stored).digest(), b - a, stop - b, stored))
-                        a = b
-                    root = hashlib.sha256("".join(x[0].hex() for x in own).encode()).digest()
-                    rows.append((1, hash(doc_id), doc_id, root, None, None, None, stop - first, None))
-                    if root not in roots:
-                        roots.add(root)
-                        for i, (address, n, rest, stored) in enumerate(own):
-                            rows.append((0, int.from_bytes(address[:8], "little", signed=True), None, address, root, i, rest, n, None if address in addresses else stored))
-                            addresses.add(address)
-                    if len(addresses) > 500_000:  # bounds a task's memory; an address given twice is stored once all the same
-                        roots.clear(), addresses.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                data = memoryview(ids.tobytes() if wide else ids.astype("<u2").tobytes())
+                spans = list(zip((begins * width).tolist(), (cuts * width).tolist(), strict=True))
+                digests = [hashlib.sha256(mark + data[x:y]).digest() for x, y in spans]
+                hexes = [d.hex() for d in digests]
+                own = [hashlib.sha256("".join(hexes[x:y]).encode()).digest() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                yield batch_of(hi - lo, kind=np.ones(hi - lo, np.int32), place=np.frombuffer(b"".join(own), "<i8")[::4] ^ np.arange(hi - lo), doc_id=doc_ids[lo:hi], digest=own, n=ends - np.concatenate([[0], ends[:-1]]))
+                some = new(roots, own)
+                if not len(some):
+                    continue
+                many = (last - first)[some]
+                seq = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                at = np.repeat(first[some], many) + seq
+                picked = [digests[i] for i in at.tolist()]
+                kept = new(addresses, picked)
+                stored: list[bytes | None] = [None] * len(at)
+                for i, j in zip(kept.tolist(), at[kept].tolist(), strict=True):
+                    stored[i] = mark + data[spans[j][0] : spans[j][1]]
+                # rows with ids meet by address; others only refer to it, and go anywhere
+                root = np.repeat(some, many)
+                place = np.frombuffer(b"".join(own), "<i8")[::4][root] ^ seq
+                place[kept] = np.frombuffer(b"".join(picked), "<i8")[::4][kept]
+                yield batch_of(len(at), kind=np.zeros(len(at), np.int32), place=place, digest=picked, root=[own[i] for i in root.tolist()], seq=seq, rest=(np.repeat(ends, last - first) - cuts)[at], n=(cuts - begins)[at], ids=stored)
+                if len(addresses) > 500_000:  # bounds a task's memory; an address given twice is stored once all the same
+                    roots.clear(), addresses.clear()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(encode, "kind int, place long, doc_id long, digest binary, root binary, seq long, rest long, n long, ids binary")
 
@@ -112,20 +138,11 @@ def write(documents: DataFrame, folder: str, path: str | None = None) -> None:
     """Encodes and stores ``documents`` below ``folder``."""
     spark = documents.sparkSession
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # rows come by address, those with ids first: the first row of an address keeps them
-        for batch in batches:
-            at = batch.schema.get_field_index("digest")
-            digest, kind, ids = batch.column(at).to_pylist(), batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            for i, d in enumerate(digest):
-                if kind[i] == 0:
-                    ids[i] = None if d == last else ids[i]
-                    last = d
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=batch.schema.names)
-
     rows = _encoded(documents, path or vocabulary())
-    dealt = rows.repartition("place").sortWithinPartitions("kind", "digest", F.col("ids").isNull())
-    dealt.drop("place").mapInArrow(once, "kind int, doc_id long, digest binary, root binary, seq long, rest long, n long, ids binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/chunks")
+    # rows with the ids of one address have one place; the first of them keeps the ids. Each task gave an address once or so
+    first = F.row_number().over(W.partitionBy("place", "kind", "digest").orderBy(F.col("ids").isNull()))
+    once = rows.repartition("place").withColumn("ids", F.when(first == 1, F.col("ids")))
+    once.drop("place").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/chunks")
     stored = _stored(spark, folder).where("kind = 1").select("doc_id", "n", F.col("digest").alias("root"))
     ordered = cut_lineage(stored.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
     parts = ordered.groupBy("part").agg(F.sum("n").alias("n"))
@@ -134,6 +151,8 @@ def write(documents: DataFrame, folder: str, path: str | None = None) -> None:
     before = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     manifest = ordered.withColumn("before", before).join(F.broadcast(ahead), "part")
     manifest.select("part", "row", "doc_id", (F.col("ahead") + F.col("before")).cast("long").alias("start"), F.col("n").alias("n_tokens"), "root").sortWithinPartitions("part", "row").write.parquet(f"{folder}/manifest")
+    _slices(spark, folder).write.parquet(f"{folder}/slices")
+    spark.createDataFrame([(merkle_root(spark, folder),)], "h string").coalesce(1).write.parquet(f"{folder}/root")
 
 
 def _shift_tables() -> np.ndarray:
@@ -173,6 +192,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     A chunk's checksum is taken where its bytes lie, and documents join checksums, so no ids are shuffled.
     """
     stored = _stored(spark, folder).where("kind = 0")
+    was, now = spark.read.schema(SLICES).parquet(f"{folder}/slices"), _slices(spark, folder)
+    same = was.alias("x").join(now.alias("y"), ["part", "slice"], "full").where(~F.col("x.h").eqNullSafe(F.col("y.h")))
+    if not same.isEmpty() or spark.read.schema("h string").parquet(f"{folder}/root").first()["h"] != merkle_root(spark, folder):
+        raise ValueError("the manifest is damaged")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,15 +226,24 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"), F.lower(F.hex("root")).alias("root"), "n_chunks")
 
 
-def merkle_root(spark: SparkSession, folder: str) -> str:
-    """The root over the whole store: of the roots of the manifest's parts, in order."""
+SLICES = "part int, slice long, row long, h string"
+
+
+def _slices(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash of each 4096 rows of the manifest, made from its files."""
     line = F.concat_ws(":", "doc_id", "start", "n_tokens", F.hex("root"))
     manifest = _manifest(spark, folder).withColumn("slice", F.floor(F.col("row") / 4096))
-    slices = manifest.groupBy("part", "slice").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("row", line.alias("x")))).getField("x"), "\n").cast("binary"), 256).alias("h"), F.min("row").alias("row"))
-    while (n := slices.count()) > 1:  # 4096 hashes become one in each round
-        w = max(1, -(-n // 4096))
-        slices = slices.withColumn("row", F.row_number().over(W.orderBy("part", "slice")) - 1) if w == 1 else slices
-        slices = slices.groupBy(F.lit(0).alias("part"), F.floor(F.col("row") / (4096 if w > 1 else n)).alias("slice")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("row", "h"))).getField("h"), "").cast("binary"), 256).alias("h"), F.min("row").alias("row"))
+    return manifest.groupBy("part", "slice").agg(F.min("row").alias("row"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("row", line.alias("x")))).getField("x"), "\n").cast("binary"), 256).alias("h"))
+
+
+def merkle_root(spark: SparkSession, folder: str) -> str:
+    """The root over the whole store: of the hashes of the manifest's slices, in order."""
+    slices, at = spark.read.schema(SLICES).parquet(f"{folder}/slices"), F.struct("row", "h")
+    while (n := slices.count()) > 1:  # about 4096 hashes become one in each round
+        parts = -(-n // 4096)
+        bounds = slices.approxQuantile("row", [i / parts for i in range(1, parts)], 0.0) if parts > 1 else []
+        own = F.lit(0) if not bounds else F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("row")))
+        slices = slices.groupBy(own.alias("part")).agg(F.min("row").alias("row"), F.sha2(F.array_join(F.array_sort(F.collect_list(at)).getField("h"), "").cast("binary"), 256).alias("h"))
         slices = cut_lineage(slices)
     found = slices.first()
     return found["h"] if found else hashlib.sha256(b"").hexdigest()

@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 
 from gauge.llm.common import worker_caches
 
-#: Words, and stems, that a worker keeps at most; then it starts afresh.
-CACHE_WORDS = 1_000_000
-#: Letters that both vocabularies treat as letters and that no normalisation joins, then closing punctuation.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Words that a worker keeps before the ones met since the last such moment become the older half, which goes next; stems at most.
+CACHE_WORDS, CACHE_STEMS = 400_000, 300_000
+#: Letters that both vocabularies treat as letters and that no normalisation joins; punctuation that no contraction begins with.
+_STEM, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN = f"^(?P<stem>{_STEM})(?P<marks>{_MARKS})$"
+_TWO_LINES = f"^(?P<stem>{_STEM})(?P<marks>{_MARKS})\n(?P<stem2>{_STEM})(?P<marks2>{_MARKS})$"
 #: Byte-level vocabularies write a byte as itself where that is a visible character, else as the next one from U+0100.
 _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -39,38 +41,64 @@ class WordEncoder:
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.model = self.tokenizer.model
+        self.one = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Ids of stems, in spaced vocabularies after a space; and of those that begin a line.
         self.stems: dict[str, bytes] = {}
+        self.line_stems: dict[str, bytes] = {}
         #: Words that texts cannot be cut at: empty, or with other white space at an end.
         self.odd: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words, each with the space before it if words are spaced."""
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        lead, stems, spaced = " " if self.spaced else "", self.stems, self.spaced
-        split, other = [], []
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                split.append((w, m[1] if spaced else m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        new = {stem for _, stem, _ in split if stem not in stems}
-        # plain letters are one unit for the merges; those beyond ASCII only need no normalising in byte-level vocabularies
-        merge = self.model.tokenize
-        for stem in new:
-            if spaced or stem.isascii():
-                ids = [t.id for t in merge((lead + stem).encode().decode("latin-1").translate(_BYTE_LEVEL) if spaced else stem)]
-                stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
-        rest = [stem for stem in new if stem not in stems] + list({m for _, _, m in split if m and m not in stems})
-        stems.update(zip(rest, self._encode([x if x[0] in ".," else lead + x for x in rest]), strict=True))
-        self.words.update((w, stems[stem] + stems[m] if m else stems[stem]) for w, stem, m in split)
-        self.words.update(zip(other, self._encode([lead + x for x in other]), strict=True))
-        if spaced:
+    def _merged(self, stems: list[str], lead: str) -> list[bytes]:
+        """Ids of stems that are one unit for the merges: plain letters; those beyond ASCII in byte-level vocabularies only."""
+        merge, one, join = self.model.tokenize, self.one, b"".join
+        if not self.spaced:
+            return [join([one[t.id] for t in merge(x)]) for x in stems]
+        head = chr(_BYTE_LEVEL[0x20]) if lead else ""
+        return [join([one[t.id] for t in merge(head + (x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LEVEL)))]) for x in stems]
+
+    def _units(self, stems: pa.Array, marks: pa.Array, lead: str) -> list[bytes]:
+        """Ids of words: a stem, with ``lead`` before it, then marks."""
+        known = self.stems if lead or not self.spaced else self.line_stems
+        stems, marks = (stems if self.spaced else pc.utf8_lower(stems)).dictionary_encode(), marks.dictionary_encode()
+        texts, tails = stems.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        new = [x for x in texts if x not in known]
+        direct = [x for x in new if self.spaced or x.isascii()]
+        known.update(zip(direct, self._merged(direct, lead), strict=True))
+        rest = [x for x in new if x not in known]
+        known.update(zip(rest, self._encode([lead + x for x in rest]), strict=True))
+        found, tails = list(map(known.__getitem__, texts)), self._encode(tails)
+        return [found[i] + tails[j] for i, j in zip(stems.indices.to_pylist(), marks.indices.to_pylist(), strict=True)]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Adds words, each with the space before it if words are spaced, and gives their ids."""
+        for known in (self.stems, self.line_stems):
+            if len(known) > CACHE_STEMS:
+                known.clear()
+        lead, out, left = " " if self.spaced else "", [b""] * len(words), np.arange(len(words))
+        column = pa.array(words, pa.large_string())
+        for pattern in (_PLAIN, _TWO_LINES) if self.spaced else (_PLAIN,):
+            parts = pc.extract_regex(column, pattern)
+            fits = parts.is_valid()
+            parts, own = parts.filter(fits), left[fits.to_numpy(zero_copy_only=False)]
+            ids = self._units(parts.field("stem"), parts.field("marks"), lead)
+            if pattern is _TWO_LINES:  # the line break is a unit of its own, and no space is before the second stem
+                end = self._encode(["\n"])[0]
+                ids = [x + end + y for x, y in zip(ids, self._units(parts.field("stem2"), parts.field("marks2"), ""), strict=True)]
+            for i, x in zip(own.tolist(), ids, strict=True):
+                out[i] = x
+            column, left = column.filter(pc.invert(fits)), left[~fits.to_numpy(zero_copy_only=False)]
+        other = column.to_pylist()
+        for i, x in zip(left.tolist(), self._encode([lead + x for x in other]), strict=True):
+            out[i] = x
+        self.words.update(zip(words, out, strict=True))
+        if self.spaced:
             self.odd.update(w for w in other if not w or w[0].isspace() or w[-1].isspace())
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         column = pa.array(texts, pa.large_string())
@@ -79,19 +107,28 @@ class WordEncoder:
         at, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, words))
         if None in found:
-            missing = [w for w, f in zip(words, found, strict=True) if f is None]
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear(), self.odd.clear()
-                missing = words
-            self._learn(missing)
-            found = list(map(self.words.get, words))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+            new = [i for i, f in enumerate(found) if f is None]
+            if self.older:
+                again = {words[i]: f for i in new if (f := self.older.get(words[i])) is not None}
+                self.words.update(again)
+                found = [again.get(w) if f is None else f for w, f in zip(words, found, strict=True)]
+                new = [i for i in new if found[i] is None]
+            if len(self.words) > CACHE_WORDS:
+                self.older, self.words = self.words, {}
+                self.odd = {w for w in self.odd if w in self.older}.union(self.odd.intersection(words))
+            for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
+                found[i] = x
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ids, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size, dtype=np.int64) - size
         counts = size[at]
         if self.spaced:
             counts[offsets[:-1]] = 0  # the first word has no space before it
-        ends = np.cumsum(counts)
-        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - counts), counts)].tobytes()
+        ends = np.cumsum(counts, dtype=np.int64)
+        n = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(n, len(ids)) < 1 << 30 else np.int64
+        places = np.repeat((start[at] - (ends - counts)).astype(kind), counts)
+        places += np.arange(n, dtype=kind)
+        out = ids[places].tobytes()
         bound = (np.concatenate([[0], ends])[offsets] * 4).tolist()
         if not self.spaced:
             return [out[bound[i] : bound[i + 1]] for i in range(len(texts))]
@@ -124,19 +161,20 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     if (path, spaced) not in _encoders:
         _encoders.clear()
         _encoders[path, spaced] = WordEncoder(path, spaced)
+    pa.default_memory_pool().release_unused()
     return _encoders[path, spaced]
 
 
-def strings(column) -> list[str]:
+def strings(column: pa.Array) -> list[str]:
     """An Arrow column's texts; null is empty, and bytes that are no UTF-8 become U+FFFD."""
     return ["" if x is None else x if isinstance(x, str) else x.decode("utf-8", "replace") for x in column.to_pylist()]
 
 
-def groups(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``most`` characters together, or one longer text."""
-    ends = np.cumsum([len(t) for t in texts])
+def groups(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of texts with about ``most`` bytes together, or one longer text, and the texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
-    while at < len(texts):
-        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
-        yield at, max(end, at + 1)
-        at = max(end, at + 1)
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, end, strings(column[at:end])
+        at = end
