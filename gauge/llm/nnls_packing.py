@@ -22,11 +22,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gauge.llm.common import cut_lineage, text_bytes
-from gauge.llm.tokens import encoder, groups, strings
+from gauge.llm.tokens import encoder, groups
 
 WINDOW, BIN, END_ID = 2048, 8, 1
-#: Rows of a bucket when pieces are ranked within a bin.
-BUCKET_ROWS = 50_000
+#: Rows of a bucket, about, when pieces are ranked within a bin.
+BUCKET_ROWS = 1024
 
 
 def vocabulary() -> str:
@@ -43,10 +43,10 @@ def pieces(documents: DataFrame, path: str | None = None, window: int = WINDOW)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced=False)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for lo, hi in groups(texts):
+            doc_ids = batch.column(0).to_pylist()
+            for lo, hi, texts in groups(batch.column(1)):
                 rows = []
-                for doc_id, ids in zip(doc_ids[lo:hi], encode.ids(texts[lo:hi]), strict=True):
+                for doc_id, ids in zip(doc_ids[lo:hi], encode.ids(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     rows += [(doc_id, at, min(window, n - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
@@ -126,10 +126,13 @@ def plan(histogram: np.ndarray, rounds: int = 3000) -> list[tuple[tuple[int, ...
     return out
 
 
-def ranked(rows: DataFrame, key: str, order: list[str], total: int) -> DataFrame:
-    """``rows`` with ``rank``, from 0, within ``key``, counted in buckets so that no key is ordered in one task."""
-    buckets = max(1, total // BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+def ranked(rows: DataFrame, key: str, order: list[str], sizes: dict[int, int]) -> DataFrame:
+    """``rows`` with ``rank``, from 0, within ``key``, counted in buckets, the more the larger a key is: no key is ordered in one task.
+
+    ``sizes`` has the number of rows of each key; there are few keys.
+    """
+    table = rows.sparkSession.createDataFrame([(k, max(1, n // BUCKET_ROWS)) for k, n in sizes.items()], f"{key} int, buckets long")
+    rows = rows.join(F.broadcast(table), key).withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets"))).drop("buckets")
     counts = rows.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = counts.select(key, "bucket", F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     within = F.row_number().over(W.partitionBy(key, "bucket").orderBy(*order)) - 1
@@ -167,7 +170,7 @@ def pack(documents: DataFrame, path: str | None = None, window: int = WINDOW, bi
                 out[own] = base[at] + (ranks[own] - first[at]) // each[at]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "sequence_id"])
 
-    ordered = ranked(rows, "bin", ["doc_id", "start", "row"], int(histogram.sum()))
+    ordered = ranked(rows, "bin", ["doc_id", "start", "row"], counts)
     placed = ordered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "bin", "rank").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long, bin int, rank long, sequence_id long")
     # a sequence has at most window / bin_size pieces
     before = W.partitionBy("sequence_id").orderBy(F.desc("bin"), "rank").rowsBetween(W.unboundedPreceding, -1)

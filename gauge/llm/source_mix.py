@@ -7,7 +7,8 @@ of its own pseudorandom permutation, so that no block is used again before all o
 blocks then meet in a join on (source, block).
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source of its
-own, sorted last; repeated rows are documents of their own; an empty table gives an empty result.
+own, sorted last; repeated rows, rows that share a doc_id and rows without one are documents of their own; an
+empty table gives an empty result; further columns pass by unread.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from gauge.llm.common import Words, binary_column, cut_lineage, runs, text_bytes
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3
 #: Words of a block at most, and blocks of a source at least (small sources get shorter blocks).
 BLOCK_WORDS, LEAST_BLOCKS = 64, 256
+#: Slots that one row of the plan is spread to at once.
+SLOTS_EACH = 1 << 16
 #: Slots of an output shard at least; shards at most; rows of the plan (shards x sources) at most.
 SHARD_SLOTS, MOST_SHARDS, MOST_PLAN_ROWS = 4096, 4096, 4_000_000
 #: Documents of a bucket when sizes are summed up along a source.
@@ -56,7 +59,7 @@ def permuted(k: F.Column, n: F.Column, key: F.Column, rounds: int = 4) -> F.Colu
     """A pseudorandom permutation of 0 .. n-1 for each key: a Feistel network over the least square a * a >= n.
 
     Values beyond n walk on. Fewer than 2a + 1 values lie there, so 24 steps end every walk of n up to 121;
-    beyond that a step fails with a probability below 0.2.
+    beyond that a step fails with a probability below 0.2, and a walk that has not ended by then raises an error.
     """
     a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
 
@@ -66,7 +69,10 @@ def permuted(k: F.Column, n: F.Column, key: F.Column, rounds: int = 4) -> F.Colu
             left, right = right, (left + F.pmod(F.xxhash64(right, key, F.lit(r)), a)) % a
         return left * a + right
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), once(k), lambda acc, _: F.when(acc < n, acc).otherwise(once(acc)))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(24)), once(k), lambda acc, _: F.when(acc < n, acc).otherwise(once(acc)))
+    # in a loop over one value the walk is made once
+    checked = F.transform(F.array(found), lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a permutation's walk did not end")).cast("long")))
+    return F.element_at(checked, 1)
 
 
 def plan_sources(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[dict]:
@@ -113,13 +119,13 @@ def pieces(documents: DataFrame, plan: DataFrame, n_documents: int) -> DataFrame
     first, last = F.floor(F.col("at") / F.col("block")).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")).cast("long")
     cut = placed.where(F.col("size") > 0).withColumn("block_no", F.explode(F.sequence(first, last)))
     begin, end = F.greatest(F.col("at"), F.col("block_no") * F.col("block")), F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * F.col("block"))
-    return cut.select("doc_id", "row", "sid", "block_no", (begin - F.col("block_no") * F.col("block")).alias("block_word"), (begin - F.col("at")).alias("first_word"), (end - begin).alias("words"))
+    return cut.select("doc_id", "row", "m1", "m2", "sid", "block_no", (begin - F.col("block_no") * F.col("block")).alias("block_word"), (begin - F.col("at")).alias("first_word"), (end - begin).alias("words"))
 
 
 def mix(documents: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, pieces, slots): documents with source figures, pieces of blocks, and the mix as (shard, sid, slot, block_no)."""
     spark = documents.sparkSession
-    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), *text_marks())
     sizes = cut_lineage(sizes.withColumn("row", F.monotonically_increasing_id()))
     plan = plan_sources(sizes)
     table = spark.createDataFrame([(p["source"], p["sid"], p["source_size"], p["target"], p["block"], p["blocks"]) for p in plan], "p_source string, sid int, source_size long, target double, block long, blocks long")
@@ -129,7 +135,9 @@ def mix(documents: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame, Data
     before = np.concatenate([np.zeros((1, len(plan)), np.int64), np.cumsum(counts, axis=0)])[:-1] if len(counts) else counts
     drawn = [(int(s), int(i), int(before[s, i]), int(counts[s, i]), int(plan[i]["blocks"])) for s in range(len(counts)) for i in np.flatnonzero(counts[s])]
     shards = spark.createDataFrame(drawn, "shard int, sid int, first_slot long, n long, blocks long").repartition(max(1, min(len(drawn), spark.sparkContext.defaultParallelism * 4)))
-    slots = shards.withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("n") - 1)))
+    # a shard's slots are counted out in parts of a bounded size
+    parts = shards.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS_EACH).cast("long")))).withColumn("from", F.col("first_slot") + F.col("k") * SLOTS_EACH)
+    slots = parts.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SLOTS_EACH, F.col("first_slot") + F.col("n")) - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     slots = slots.select("shard", "sid", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.concat_ws(":", F.lit(seed), "sid", turn)).alias("block_no"))
     return sizes.join(table, sizes["source"].eqNullSafe(F.col("p_source"))).drop("p_source", "block", "blocks"), pieces(sizes, table.select("p_source", "sid", "block"), sum(p["n"] for p in plan)), slots
@@ -143,15 +151,19 @@ def taken_words(documents: DataFrame, seed: int = 5) -> DataFrame:
     return sizes.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "row")
 
 
-def mixed_texts(documents: DataFrame, seed: int = 5) -> DataFrame:
-    """The mix itself: shard, sid, slot and text, the block's words joined by single spaces.
+def text_marks() -> list[F.Column]:
+    """Two hashes that tell texts of one doc_id apart."""
+    return [F.xxhash64("text", F.lit(i)).alias(f"m{i}") for i in (1, 2)]
 
-    ``documents`` must hold each doc_id once.
-    """
+
+def mixed_texts(documents: DataFrame, seed: int = 5) -> DataFrame:
+    """The mix itself: shard, sid, slot and text, the block's words joined by single spaces."""
     _, cut, slots = mix(documents, seed)
-    words = documents.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *text_marks(), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    words = words.dropDuplicates(["doc_id", "m1", "m2"])
     part = F.array_join(F.slice("w", F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ")
-    parts = cut.join(words, "doc_id").select("sid", "block_no", F.struct("block_word", part.alias("part")).alias("p"))
+    same = [cut[c].eqNullSafe(words[c]) for c in ("m1", "m2", "doc_id")]
+    parts = cut.join(words, same).select("sid", "block_no", F.struct("block_word", part.alias("part")).alias("p"))
     # a block holds at most BLOCK_WORDS words, so the pieces collected for it are as few
     blocks = parts.groupBy("sid", "block_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), " ").alias("text"))
     return slots.join(blocks, ["sid", "block_no"]).select("shard", "sid", "slot", "text")
