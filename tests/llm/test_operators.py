@@ -11,8 +11,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gauge.llm import components, content_store, importance_resampling, jpeg_media, lsm_dedup, ngram_group_join, nnls_packing, secret_crf, source_mix, toxicity_ftrl, wrapper_induction
+from gauge.llm.common import Tables
 from gauge.llm.tokens import WordEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, digest string, n long, size long, spans string"
@@ -139,6 +141,30 @@ def test_mix(spark, documents, empty, texts):
     assert words == sum(taken.values())
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(7, "one two three four five", "a"), (7, "six seven eight", "a"), (7, "six seven eight", "a"), (None, "nine ten", "a"), (None, "eleven twelve thirteen", "a"), (None, None, "a")]
+    docs = table(spark, rows)
+    taken = source_mix.taken_words(docs).collect()
+    assert sum(r.taken for r in taken) == 16 and all(r.taken == r["size"] for r in taken)  # one source is taken in full
+    words = sorted(w for r in source_mix.mixed_texts(docs).collect() for w in r.text.split())
+    assert words == sorted(w for _, t, _ in rows for w in (t or "").split())
+
+
+def test_mix_is_what_a_plain_loop_over_its_slots_gives(spark, documents, texts):
+    """``taken`` beside a count, word by word, of the blocks that the slots name."""
+    _, cut, slots = source_mix.mix(documents)
+    blocks = defaultdict(list)
+    for r in cut.collect():
+        blocks[r.sid, r.block_no] += [(r.block_word + k, r.doc_id) for k in range(r.words)]
+    taken = defaultdict(int)
+    for r in slots.collect():
+        own = sorted(blocks[r.sid, r.block_no])
+        assert [w for w, _ in own] == list(range(len(own)))  # a block has each of its words once
+        for _, i in own:
+            taken[i] += 1
+    assert {r.doc_id: r.taken for r in source_mix.taken_words(documents).collect()} == {i: taken[i] for i, _, _ in texts}
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -160,12 +186,38 @@ def test_exact_dedup(spark, documents, empty, texts):
     assert sorted((r.keep_id, r.group_size, r.kept) for r in repeated) == [(1, 4, False)] * 3 + [(1, 4, True)]
 
 
-def test_digest_runs_merge(spark, tmp_path):
-    index = lsm_dedup.DigestIndex(spark, str(tmp_path), largest=False)
-    for ids in ((5, 3), (4, 1)):
-        index.flush(spark.createDataFrame([(i, bytearray(b"d")) for i in ids], "doc_id long, digest binary"))
-    assert index.read().count() == 2
-    assert [tuple(r)[1:] for r in index.compact().collect()] == [(1, 4)] and len(index.runs) == 1
+def test_digest_runs_merge(spark, texts, monkeypatch):
+    docs = table(spark, texts).repartition(2)
+    whole = {tuple(r) for r in lsm_dedup.dedup(docs).drop("row").collect()}
+    assert whole == {tuple(r) for r in lsm_dedup.dedup(docs, size=3).drop("row").collect()}
+    # a memtable of three rows flushes many runs, which overlap; each is sorted
+    rows = docs.select("doc_id", lsm_dedup.digest_of(lsm_dedup.folded()).alias("digest"), F.monotonically_increasing_id().alias("row")).withColumn("rank", -F.col("doc_id"))
+    sizes = lsm_dedup.memtables(rows, 3).groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("group_size").alias("rows"), F.countDistinct("digest").alias("digests")).first()
+    assert sizes["rows"] == len(texts) and sizes["n"] > sizes["digests"]
+    # two loads, compacted one after the other, give what one load gives
+    tables = Tables(spark, "dedup")
+    index = lsm_dedup.DigestIndex(spark, tables)
+    for part in (0, 1):
+        index.flush(rows.where(F.col("doc_id") % 2 == part), 3)
+        merged = index.compact()
+    want = {}
+    for i, t, _ in texts:
+        t = fold(t)
+        n, m = want.get(t, (0, -1))
+        want[t] = n + 1, max(m, i)
+    assert {bytes(r.digest): (r.group_size, r.keep_id) for r in merged.collect()} == {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+    # the filter lets every hit through, and hardly anything else
+    let = {bytes(r.digest) for r in index.probable(merged.select("digest")).where("may").collect()}
+    hits = {hashlib.sha256(t.encode()).digest() for t, (n, _) in want.items() if n > 1}
+    assert hits <= let and len(let - hits) <= 3
+    # digests that unlike texts share are told apart by the texts
+    monkeypatch.setattr(lsm_dedup, "digest_of", lambda t: F.unhex(F.rpad(F.substring(F.sha2(t.cast("binary"), 256), 1, 1), 64, "0")))
+    weak = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in lsm_dedup.dedup(docs).collect()}
+    assert weak == {(i, want[fold(t)][1], want[fold(t)][0], i == want[fold(t)][1]) for i, t, _ in texts}
+
+
+def fold(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
 def test_media(spark, documents, empty, texts):
@@ -244,6 +296,17 @@ def test_near_duplicates_in_a_large_block(spark, monkeypatch):
     assert found == brute_components(rows)
 
 
+def test_rows_that_share_an_id(spark):
+    """A row links by its own text, also where another row has its doc_id, and where it has none."""
+    r = random.Random(11)
+    a, b, c = ([f"{x}{r.randint(0, 999)}" for _ in range(60)] for x in "abc")
+    more = lambda t: " ".join([*t, "end"])
+    a, b, c = " ".join(a), " ".join(b), " ".join(c)
+    rows = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (5, more(a.split()), "s"), (6, more(b.split()), "s"), (None, c, "s"), (9, more(c.split()), "s"), (None, "alone here without any other", "s"), (None, None, "s")]
+    found = sorted(((x.doc_id or 0, x.n_shingles, x.component_id) for x in ngram_group_join.near_duplicates(table(spark, rows)).collect()), key=repr)
+    assert found == sorted([(1, 56, 1), (1, 56, 1), (1, 56, 1), (5, 57, 1), (6, 57, 1), (0, 56, 9), (9, 57, 9), (0, 1, None), (0, 0, None)], key=repr)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7)]
