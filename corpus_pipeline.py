@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gauge.llm import lsm_dedup, ngram_group_join, nnls_packing, source_mix, toxicity_ftrl
-from gauge.llm.common import read_table, shared_folder
+from gauge.llm.common import Tables, read_table, remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that go, at most, whose keys are sent to the documents; beyond, both are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +33,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text: the one with the largest doc_id."""
     docs, repeats = _keyed(docs, largest=True)
-    return _kept(docs, lsm_dedup.dedup(_by_key(docs)).where("kept"), repeats)
+    found = lsm_dedup.dedup(_by_key(docs))
+    return _kept(docs, found.select(F.col("doc_id").alias("key"), "kept"), repeats)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: the one with the smallest doc_id."""
     docs, repeats = _keyed(docs, largest=False)
     found = ngram_group_join.near_duplicates(_by_key(docs))
-    return _kept(docs, found.where(F.col("doc_id") == F.col("component_id")), repeats)
+    return _kept(docs, found.select(F.col("doc_id").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("kept")), repeats)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +86,13 @@ def _by_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("key").alias("doc_id"), "text")
 
 
-def _kept(docs: DataFrame, kept: DataFrame, repeats: bool) -> DataFrame:
-    docs = docs.join(kept.select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
-    return (docs.dropDuplicates(["key"]) if repeats else docs).select(*COLUMNS)
+def _kept(docs: DataFrame, found: DataFrame, repeats: bool) -> DataFrame:
+    """The rows of ``docs`` whose key has a row in ``found`` that is kept; one row of each key."""
+    if repeats:
+        return docs.join(found.where("kept").select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    # each row has a key of its own, so the rows that go name what is left out; few enough, they are sent to the documents
+    gone = Tables(docs.sparkSession, "gone").keep("keys", found.where("not kept").select("key"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "key", "left_anti").select(*COLUMNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -102,7 +109,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:  # nothing reads it any more
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs
