@@ -138,6 +138,39 @@ def initials(name: Column) -> Column:
 
 
 def scan_name(path: Column) -> Column:
-    """(project, lot, cavity) of a scan named ``project-lot-cavity``."""
-    parts = F.split(stem(path), "-")
-    return F.struct(F.get(parts, F.lit(0)).alias("project"), F.get(parts, F.lit(1)).alias("lot"), F.get(parts, F.lit(2)).alias("cavity"))
+    """(project, lot, cavity, date) of a scan named ``project-lot-cavity``, or ``day-month-year_cavity-project``; fixed patterns."""
+    name, dated = stem(path), r"^(\d{2}-\d{2}-\d{4})_([^-]+)-(.+)$"
+    parts, other = F.split(name, "-"), name.rlike(dated)
+    from_date = lambda k: F.regexp_extract(name, dated, k)
+    part = lambda k: F.get(parts, F.lit(k))
+    return F.struct(F.when(other, from_date(3)).otherwise(part(0)).alias("project"), F.when(~other, part(1)).alias("lot"), F.when(other, from_date(2)).otherwise(part(2)).alias("cavity"), F.when(other, from_date(1)).alias("date"))
+
+
+def element(profile: Column, index: Column) -> Column:
+    """Name of a contour's element, such as ``PA_3``."""
+    return F.concat(F.lit("P"), profile, F.lit("_"), index.cast("string"))
+
+
+def shortened(text: Column, most: int = 60) -> Column:
+    return F.substring(text, 1, most)
+
+
+def role(header: Column) -> Column:
+    """Whether a header's dimension is a smallest or largest value, or both."""
+    least, most = header.rlike(r"\bMIN\b"), header.rlike(r"\bMAX\b")
+    return F.when(least & most, "min/max").when(least, "min").when(most, "max")
+
+
+def or_else(text: Column, default: str) -> Column:
+    """A text to show: the default where it is missing or empty."""
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
+
+
+def given(value: Column) -> Column:
+    """A search parameter as text; an empty one is none."""
+    return F.nullif(value.cast("string"), F.lit(""))
+
+
+def new_part(code: Column, name: Column) -> tuple[Column, Column]:
+    """Code and name as typed, without white space around them; an empty name is none."""
+    return F.trim(code), F.nullif(F.trim(name), F.lit(""))

@@ -56,6 +56,18 @@ def in_band(value: Column, upper: Column) -> Column:
     return F.abs(value) <= F.coalesce(F.nullif(upper, F.lit(0.0)), F.lit(CONTOUR_BAND))
 
 
+def scaled(value: Column, upper: Column, lower_deviation: Column, upper_deviation: Column) -> Column:
+    """Place of a value on a bar from 0 to 100 with 0 in its middle, wide enough for both deviations and four bands."""
+    band = F.coalesce(F.nullif(upper, F.lit(0.0)), F.lit(CONTOUR_BAND))
+    size = lambda d: F.abs(F.coalesce(d, F.lit(0.0)))
+    return 50 + 50 * value / (F.greatest(4 * band, size(lower_deviation), size(upper_deviation)) * 1.15)
+
+
+def reworked(delta: Column) -> Column:
+    """A change that noise does not make."""
+    return F.abs(delta) >= REWORK_MM
+
+
 def position(dx: Column, dz: Column) -> Column:
     """Position tolerance that a shift uses: the diameter around the nominal place."""
     return 2 * F.hypot(dx, dz)

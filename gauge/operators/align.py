@@ -12,10 +12,40 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def align(reference: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
-    """One row for each of the reference's keys: its value and the other's, null where it has none."""
-    right = other.select(key, F.col(value).alias(f"{value}_other"))
-    return reference.select(key, F.col(value)).join(right, key, "left")
+def once(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row a key; an error where several rows have it. The key's rows meet where a join on it needs them anyway."""
+    single = F.count(F.lit(1)) > 1
+    error = F.raise_error(F.concat(F.lit("repeated key "), F.first(F.col(key).cast("string"))))
+    checked = [F.when(single, error.cast(dict(df.dtypes)[c])).otherwise(F.first(c)).alias(c) for c in columns]
+    return df.groupBy(key).agg(*checked)
+
+
+def align(reference: DataFrame, other: DataFrame, key: str, value: str, name: str | None = None) -> DataFrame:
+    """One row for each of the reference's keys: its columns and the other's value, null where it has none.
+
+    A key that the other has twice is an error, also where the reference lacks it.
+    """
+    name = name or f"{value}_other"
+    return reference.join(once(other, key, value).withColumnRenamed(value, name), key, "left")
+
+
+def opposite(points: DataFrame, by: str, angle: str, value: str, step: float = 1.0) -> DataFrame:
+    """Largest and smallest distance between opposite points: values at an angle and half a turn further, in cells of ``step`` degrees."""
+    cell = F.pmod(F.round(F.col(angle) / step), F.lit(360 / step)).cast("int")
+    cells = points.select(by, cell.alias("cell"), F.col(value).alias("v")).groupBy(by, "cell").agg(F.avg("v").alias("v"))
+    other = cells.select(by, F.pmod(F.col("cell") + int(180 / step), F.lit(int(360 / step))).alias("cell"), F.col("v").alias("w"))
+    return cells.join(other, [by, "cell"]).groupBy(by).agg(F.max(F.col("v") + F.col("w")).alias("most"), F.min(F.col("v") + F.col("w")).alias("least"))
+
+
+def reference(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The reference of each group: its smallest cavity, or earliest sample."""
+    return df.groupBy(*by).agg(F.min(name).alias("reference"))
+
+
+def tree(df: DataFrame, by: str, item: str, order: str, payload: str) -> DataFrame:
+    """(by, items): the items of each group with their payload, by name; of a repeated item the last one counts."""
+    last = df.groupBy(by, item).agg(F.max_by(payload, order).alias(payload))
+    return last.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(item, payload))).alias("items"))
 
 
 def ranges(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -52,8 +82,9 @@ def threshold_counts(changes: DataFrame, by: list[str], limits: dict[str, float]
 
 def next_matching(df: DataFrame, key: str, order: list[str], wanted: Column, value: str) -> DataFrame:
     """For each row the value of the next row of its key for which ``wanted`` holds, or null."""
-    later = W.partitionBy(key).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    return df.withColumn(f"next_{value}", F.first(F.when(wanted, F.col(value)), ignorenulls=True).over(later))
+    # seen from the end, what is needed is the last one so far: a frame that only grows
+    later = W.partitionBy(key).orderBy(*(F.desc(c) for c in order)).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn(f"next_{value}", F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(later))
 
 
 def all_out(df: DataFrame, key: str, flag: str) -> DataFrame:

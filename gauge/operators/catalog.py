@@ -76,6 +76,17 @@ def total(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total"))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, in an order without ties: counted in ranges of it, so no task orders all rows."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    within = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33) + 1
+    parts = parts.withColumn("_within", within)
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range
+    ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return parts.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_within")).drop("_part", "_row", "_within", "_ahead")
+
+
 def nested(features: DataFrame, tables: Catalog) -> DataFrame:
     """Features with arrays of their assets in position order and of their linked parts in code order."""
     assets = tables.asset.groupBy(F.col("feature_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "kind", "part_id"))).alias("assets"))
@@ -119,6 +130,27 @@ def visible(items: DataFrame, user: object, superuser: bool) -> DataFrame:
     return items if superuser else items.where(F.col("owner_id") == user)
 
 
+def may_change(item_owner: Column, user: object, superuser: bool) -> Column:
+    """Whether a user may read, change or delete an item: its owner, or a superuser; nobody else owns one without owner."""
+    return F.lit(True) if superuser else F.coalesce(item_owner == user, F.lit(False))
+
+
+def public(users: DataFrame, secret: tuple[str, ...] = ("hashed_password",), me: object = None) -> DataFrame:
+    """Users without what must not be shown, and which of them is the one who asks."""
+    return users.drop(*secret).withColumn("is_current_user", F.col("id").eqNullSafe(F.lit(me)))
+
+
+def of_kind(children: DataFrame, kind: str) -> DataFrame:
+    return children.where(F.col("kind") == kind)
+
+
+def files_of_parts(tables: Catalog) -> DataFrame:
+    """Number of assets of each part of each feature, parts without any included."""
+    declared = tables.link.select("feature_id", "part_id").union(tables.asset.where("part_id is not null").select("feature_id", "part_id")).distinct()
+    counted = tables.asset.where("part_id is not null").groupBy("feature_id", "part_id").agg(F.count(F.lit(1)).alias("n"))
+    return declared.join(counted, ["feature_id", "part_id"], "left").select("feature_id", "part_id", F.coalesce("n", F.lit(0)).alias("files"))
+
+
 def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table with the rows whose key it lacks; of equal new keys one is added."""
     return table.unionByName(rows.dropDuplicates([key]).join(table, key, "left_anti").select(*table.columns))
@@ -170,9 +202,9 @@ def remapped(table: DataFrame, foreign: str, keys: DataFrame, old: str, new: str
 
 
 def most_common(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The most frequent value of each key; of equally frequent ones the one seen first."""
+    """The most frequent value of each key; of equally frequent ones the one seen first, then the smaller."""
     counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    best = counted.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("first"))).alias("b"))
+    best = counted.groupBy(key).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), "first", value)).alias("b"))
     return best.select(key, F.col(f"b.{value}").alias(value), F.col("b.n").alias("n"))
 
 

@@ -6,73 +6,110 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gauge.functions import text
 
 #: Gap between neighbours of a phrase, in percent of the page; vertical shift in heights of a word.
 GAP_LEAST, GAP_MOST, SHIFT = -0.3, 1.6, 0.7
+#: Side of the cells by which words meet, in percent of the page; what rounding may add.
+CELL, SLACK = 2.0, 1e-6
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_blocks(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Best matching-block ratio between two arrays of spellings; built-ins have no such measure."""
-    for ours, theirs in pairs:
-        yield pd.Series([max((difflib.SequenceMatcher(None, f, o).ratio() for f in a for o in b), default=0.0) for a, b in zip(ours, theirs, strict=True)], dtype=float)
+def spellings(spark: SparkSession, term: str) -> list[str]:
+    """The few spellings of a query's word, as values; a Column of them would be worked out for every row."""
+    return spark.range(1).select(text.variants(F.lit(term))).first()[0]
 
 
-def literal_variants(term: str) -> Column:
-    return text.variants(F.lit(term))
+def literal_variants(spark: SparkSession, term: str) -> Column:
+    return F.array(*map(F.lit, spellings(spark, term))).cast("array<string>")
+
+
+def block_ratio(ours: list[str], theirs: list[str]) -> float:
+    """Best matching-block ratio between two lists of spellings; built-ins have no such measure."""
+    return max((difflib.SequenceMatcher(None, f, o).ratio() for f in ours for o in theirs), default=0.0)
+
+
+def _matched(distinct: DataFrame, theirs: list[str]) -> DataFrame:
+    """(t, v, score): words with their spellings, and 3 for an exact, 2 for a partial match, else null.
+
+    Spellings are rows, so each is made once and compared by plain expressions.
+    """
+    f = F.col("f")
+    inside = F.lit(False)
+    for o in theirs:
+        if len(o) >= text.PARTIAL_LENGTH:
+            inside = inside | f.contains(o) | F.lit(o).contains(f)
+    points = F.when(f.isin(*theirs), 3.0).when((F.length(f) >= text.PARTIAL_LENGTH) & inside, 2.0)
+    forms = distinct.select("t", F.explode(text.variants(F.col("t"))).alias("f"))
+    return forms.groupBy("t").agg(F.collect_list("f").alias("v"), F.max(points).alias("score"))
 
 
 def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "blocks") -> DataFrame:
     """Hits of one word, best tier of each group of ``by`` only: exact, else partial, else approximate.
 
-    ``words`` needs t and y. ``fuzzy``: blocks (a UDF on the words that match in no other way), dice or None.
+    ``words`` needs t. ``fuzzy``: blocks (Python on the words that match in no other way), dice or None. A
+    query or word without spellings matches nothing.
     """
-    theirs = literal_variants(query)
+    theirs = spellings(words.sparkSession, query)
     # a vocabulary is far smaller than its text: each distinct word is compared once
-    found = words.select("t").distinct().withColumn("v", text.variants(F.col("t"))).withColumn("mode", text.match(F.col("v"), theirs))
+    found = _matched(words.select("t").distinct(), theirs)
     if fuzzy == "blocks":
-        # only where the better tiers failed; rows with a mode pass an empty array
-        similar = matching_blocks(F.when(F.col("mode").isNull(), F.col("v")).otherwise(F.array().cast("array<string>")), theirs)
+
+        def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                bare = frame["score"].isna()
+                frame.loc[bare, "score"] = [block_ratio(v, theirs) for v in frame.loc[bare, "v"]]
+                yield frame[["t", "score"]]
+
+        found = found.mapInPandas(similar, "t string, score double")
     elif fuzzy == "dice":
-        similar = F.array_max(F.flatten(F.transform("v", lambda a: F.transform(theirs, lambda b: text.dice(a, b)))))
-    else:
-        similar = F.lit(0.0)
-    score = F.when(F.col("mode") == "exact", 3.0).when(F.col("mode") == "partial", 2.0).otherwise(similar)
-    good = found.withColumn("score", score).where(F.col("mode").isNotNull() | (F.col("score") >= text.SIMILAR)).select("t", "mode", "score")
-    hits = words.join(good, "t")
-    hits = hits.withColumn("tier", F.when(F.col("mode") == "exact", 1).when(F.col("mode") == "partial", 2).otherwise(3))
+        best = F.array_max(F.flatten(F.transform("v", lambda a: F.array(*(text.dice(a, F.lit(o)) for o in theirs)))))
+        found = found.select("t", F.coalesce("score", best).alias("score"))
+    good = found.where(F.col("score") >= text.SIMILAR).select("t", "score")
+    hits = words.join(good, "t").withColumn("tier", F.when(F.col("score") == 3, 1).when(F.col("score") == 2, 2).otherwise(3))
     best = hits.groupBy(*by).agg(F.min("tier").alias("tier"))
-    return hits.join(best, [*by, "tier"], "left_semi").withColumn("mode", F.coalesce("mode", F.lit("approximate"))).drop("tier")
+    mode = F.when(F.col("tier") == 1, "exact").when(F.col("tier") == 2, "partial").otherwise("approximate")
+    return hits.join(best, [*by, "tier"], "left_semi").withColumn("mode", mode).drop("tier")
+
+
+def ranked(hits: DataFrame, n: int = 10, ties: tuple[str, ...] = ("i",)) -> DataFrame:
+    """The first hits by score, then from the top of the page, then by ``ties``."""
+    return hits.orderBy(F.desc("score"), "y", *ties).limit(n)
 
 
-def ranked(hits: DataFrame, n: int = 10) -> DataFrame:
-    """The first hits by score, then from the top of the page; ties by position."""
-    return hits.orderBy(F.desc("score"), "y", "i").limit(n)
+def marked(hits: DataFrame, by: str, width: int, height: int, n: int = 10) -> DataFrame:
+    """The first ``n`` hits of each page with their rank, whether they are the best, and their boxes in whole pixels."""
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "y", "i"))
+    px = lambda c, of: (F.col(c) / 100 * of).cast("int").alias(f"{c}_px")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= n).select(by, "i", "t", "rank", (F.col("rank") == 1).alias("best"), px("x", width), px("y", height), px("w", width), px("h", height))
 
 
 def phrase(words: DataFrame, terms: list[str], by: str) -> DataFrame:
     """Chains of words that match the terms one after another, with the box around each chain.
 
     Words (by, i, t, x, y, w, h). From each word that matches the first term the nearest one on the same line
-    that matches the next is taken, and so on; a chain that cannot go on is dropped. One join a term, on the page.
+    that matches the next is taken, and so on; a chain that cannot go on is dropped. One join a term, on the page
+    and on cells that a neighbour can lie in, so only words near one another meet.
     """
+    spark = words.sparkSession
     seen = words.withColumn("v", text.variants(F.col("t")))
     chain = None
     for k, term in enumerate(terms):
-        mode = text.match(F.col("v"), literal_variants(term))
+        mode = text.match(F.col("v"), literal_variants(spark, term))
         fit = seen.withColumn("m", mode).where("m is not null")
         if chain is None:
             chain = fit.select(by, F.col("i").alias("i0"), "i", "x", "y", "w", "h", F.col("t").alias("found"), (F.col("m") == "exact").alias("exact"), F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("bottom"))
             continue
         after = fit.select(by, *(F.col(c).alias(f"n_{c}") for c in ("i", "t", "x", "y", "w", "h", "m")))
         gap = F.col("n_x") - (F.col("x") + F.col("w"))
-        near = chain.join(after, by).where(gap.between(GAP_LEAST, GAP_MOST) & (F.abs(F.col("n_y") - F.col("y")) <= F.col("h") * SHIFT))
+        cell = lambda v: F.floor(v / CELL).cast("int")
+        across = F.sequence(cell(F.col("x") + F.col("w") + GAP_LEAST - SLACK), cell(F.col("x") + F.col("w") + GAP_MOST + SLACK))
+        down = F.sequence(cell(F.col("y") - F.col("h") * SHIFT - SLACK), cell(F.col("y") + F.col("h") * SHIFT + SLACK))
+        after = after.withColumns({"cell": cell(F.col("n_x")), "band": cell(F.col("n_y"))})
+        near = chain.withColumn("cell", F.explode(across)).withColumn("band", F.explode(down)).join(after, [by, "cell", "band"]).where(gap.between(GAP_LEAST, GAP_MOST) & (F.abs(F.col("n_y") - F.col("y")) <= F.col("h") * SHIFT))
         first = F.row_number().over(W.partitionBy(by, "i0").orderBy("n_x", "n_i"))
         near = near.withColumn("turn", first).where("turn = 1")
         chain = near.select(by, "i0", F.col("n_i").alias("i"), F.col("n_x").alias("x"), F.col("n_y").alias("y"), F.col("n_w").alias("w"), F.col("n_h").alias("h"), F.concat_ws(" ", "found", "n_t").alias("found"), (F.col("exact") & (F.col("n_m") == "exact")).alias("exact"), F.least("left", "n_x").alias("left"), F.least("top", "n_y").alias("top"), F.greatest("right", F.col("n_x") + F.col("n_w")).alias("right"), F.greatest("bottom", F.col("n_y") + F.col("n_h")).alias("bottom"))

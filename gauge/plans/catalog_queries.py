@@ -8,6 +8,7 @@ from gauge.functions import names
 from gauge.operators import catalog
 from gauge.plans.measurements import table
 from gauge.plans.registry import query
+from gauge.sources import reports
 
 
 def tables(spark, sf_dir) -> catalog.Catalog:
@@ -84,10 +85,10 @@ def j1_disjunctive_in(spark, sf_dir):
     return t.feature.join(catalog.features_of(t, t.part.where("id < 4")), "id", "left_semi").select("id")
 
 
-@query(T + "SELECT id FROM feature WHERE id IN (SELECT feature_id FROM asset WHERE part_id IN (SELECT id FROM code WHERE name ILIKE '%an%')) OR id IN (SELECT feature_id FROM link WHERE part_id IN (SELECT id FROM code WHERE name ILIKE '%an%'))")
+@query(T + "SELECT id FROM feature WHERE id IN (SELECT feature_id FROM asset WHERE part_id IN (SELECT id FROM code WHERE name ILIKE '%on\\_1%' ESCAPE '\\')) OR id IN (SELECT feature_id FROM link WHERE part_id IN (SELECT id FROM code WHERE name ILIKE '%on\\_1%' ESCAPE '\\'))")
 def j2_nested_semi(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return t.feature.join(catalog.features_of(t, t.part.where(F.col("name").ilike("%an%"))), "id", "left_semi").select("id")
+    return t.feature.join(catalog.features_of(t, t.part.where(F.col("name").ilike("%on\\_1%"))), "id", "left_semi").select("id")
 
 
 @query(T + "SELECT f.id, coalesce(a.s, '') AS assets, coalesce(l.s, '') AS parts FROM feature f LEFT JOIN (SELECT feature_id, string_agg(position || ':' || kind, ',' ORDER BY position, kind) AS s FROM asset GROUP BY 1) a ON f.id = a.feature_id LEFT JOIN (SELECT feature_id, string_agg(code.code, ',' ORDER BY code.code) AS s FROM link JOIN code ON part_id = code.id GROUP BY 1) l ON f.id = l.feature_id")
@@ -157,11 +158,8 @@ def l3_page(spark, sf_dir):
 
 @query("SELECT c, row_number() OVER (ORDER BY TRY_CAST(c AS BIGINT) NULLS LAST, c) AS place FROM (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS c FROM part)")
 def l10_numeric_code(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     codes = table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string")).alias("c")).distinct()
-    # a catalogue's distinct codes are few: one ordered list is the result
-    return codes.select("c", F.row_number().over(W.orderBy(*names.code_order(F.col("c")))).alias("place"))
+    return catalog.numbered(codes, names.code_order(F.col("c"))).select("c", "place")
 
 
 @query(T + ", s AS (SELECT feature_id, list_sort(list(part_id)) AS ids FROM link GROUP BY 1) SELECT feature_id, array_to_string(ids[1:3], ',') AS first_codes, greatest(len(ids) - 3, 0) AS more FROM s")
@@ -215,18 +213,19 @@ def m2_partial_update(spark, sf_dir):
     return catalog.update(have, "p_partkey", changes)
 
 
-@query("SELECT s_name FROM supplier WHERE s_suppkey < 4")
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
 def m3_unique(spark, sf_dir):
-    have = table(spark, sf_dir, "supplier").select("s_name")
-    return catalog.conflicts(have, table(spark, sf_dir, "supplier").where("s_suppkey < 4").select("s_name"), "s_name")
+    have, new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey")), table(spark, sf_dir, "customer").select("c_custkey")
+    return catalog.conflicts(have, new, "c_custkey")
 
 
-@query(T + "SELECT feature_id, part_id FROM link WHERE feature_id % 2 = 0 UNION SELECT id, 1 FROM feature WHERE id < 20")
+@query(T + "SELECT feature_id, part_id FROM link WHERE feature_id % 2 = 0 UNION SELECT id, 1 FROM feature WHERE id % 2 = 0")
 def m4_link(spark, sf_dir):
+    """Links every feature with the first part, again where it has that link, and unlinks those with odd ids."""
     t = tables(spark, sf_dir)
-    added = catalog.link(t.link, t.feature.where("id < 20").select(F.col("id").alias("feature_id"), F.lit(1).cast("long").alias("part_id")))
-    gone = t.link.where("feature_id % 2 = 1").join(t.feature.where("id < 20").select(F.col("id").alias("feature_id")).withColumn("one", F.lit(1).cast("long")), "feature_id", "left").where("one is null or part_id <> one").select("feature_id", "part_id")
-    return catalog.unlink(added, gone)
+    first = t.feature.select(F.col("id").alias("feature_id"), F.lit(1).cast("long").alias("part_id"))
+    added = catalog.link(t.link, first)
+    return catalog.unlink(added, added.where("feature_id % 2 = 1"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -251,9 +250,7 @@ def m7_referential(spark, sf_dir):
 @query("WITH o AS (SELECT l_orderkey AS id, l_orderkey * 10 AS n FROM lineitem GROUP BY 1), c AS (SELECT l_partkey AS key, l_suppkey AS value, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2) SELECT key, value, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, first, value) AS r FROM c) WHERE r = 1")
 def a13_mode(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("value"), "l_orderkey")
-    counted = item.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first"))
-    best = counted.groupBy("key").agg(F.max_by(F.struct("value", "n"), F.struct("n", -F.col("first"), -F.col("value"))).alias("b"))
-    return best.select("key", "b.value", "b.n")
+    return catalog.most_common(item, "key", "value", "l_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, 'S' || s.s_suppkey AS l_suppkey FROM lineitem LEFT JOIN supplier s ON l_suppkey = s.s_suppkey")
@@ -266,3 +263,80 @@ def j8_key_remap(spark, sf_dir):
 def j10_update_from(spark, sf_dir):
     named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), names.rebuilt_reference(F.col("p_brand"), F.col("p_name")).alias("part_ref"))
     return table(spark, sf_dir, "lineitem").join(named, "l_partkey").select("l_orderkey", "l_linenumber", "part_ref")
+
+
+@query(T + S + _q("l_%"))
+def f1_wildcards(spark, sf_dir):
+    return _shown(catalog.search(tables(spark, sf_dir), q="l_%"))
+
+
+@query(T + S + _q("N\\_2"))
+def f1_escaped(spark, sf_dir):
+    return _shown(catalog.search(tables(spark, sf_dir), q="N\\_2"))
+
+
+@query("SELECT o_orderkey, o_custkey AS owner_id FROM orders")
+def f8_superuser(spark, sf_dir):
+    return catalog.visible(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("owner_id")), 7, True)
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_custkey END = 7, false) AS mine FROM orders")
+def f9_ownership(spark, sf_dir):
+    owner = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", catalog.may_change(owner, 7, False).alias("mine"))
+
+
+@query(T + "SELECT feature_id, position FROM asset WHERE kind = 'O'")
+def f12_kind(spark, sf_dir):
+    return catalog.of_kind(tables(spark, sf_dir).asset, "O").select("feature_id", "position")
+
+
+@query(T + ", d AS (SELECT feature_id, part_id FROM link UNION SELECT feature_id, part_id FROM asset WHERE part_id IS NOT NULL) SELECT d.feature_id, d.part_id, count(asset.feature_id) AS files FROM d LEFT JOIN asset ON d.feature_id = asset.feature_id AND d.part_id = asset.part_id GROUP BY 1, 2")
+def a12_files_of_parts(spark, sf_dir):
+    return catalog.files_of_parts(tables(spark, sf_dir))
+
+
+@query("SELECT p_partkey, substr(p_type || ' ' || p_name || ' of the ' || p_brand || ' line, made to order and tested', 1, 60) AS label FROM part")
+def p16_shortened(spark, sf_dir):
+    text = F.concat_ws(" ", "p_type", "p_name", F.lit("of the"), "p_brand", F.lit("line, made to order and tested"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.shortened(text).alias("label"))
+
+
+@query("SELECT c_custkey AS id, c_name AS full_name, c_custkey = 7 AS is_current_user FROM customer")
+def p17_public(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("hashed_password"))
+    return catalog.public(users, me=7)
+
+
+@query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN p_name END, ''), 'N/A') AS shown FROM part")
+def p20_defaults(spark, sf_dir):
+    text = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.or_else(text, "N/A").alias("shown"))
+
+
+@query("SELECT p_partkey, nullif(CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END, '') AS q, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN p_brand END AS category FROM part")
+def p21_parameters(spark, sf_dir):
+    size = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("")
+    known = F.when(names.given(F.col("p_brand")).isin("Brand#1", "Brand#2"), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.given(size).alias("q"), known.alias("category"))
+
+
+@query("SELECT p_partkey, trim(p_brand || ' ') AS code, nullif(trim(CASE WHEN p_size % 2 = 0 THEN ' ' || p_name ELSE '  ' END), '') AS name FROM part")
+def p34_new_part(spark, sf_dir):
+    typed = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise("  ")
+    code, name = names.new_part(F.concat("p_brand", F.lit(" ")), typed)
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), name.alias("name"))
+
+
+@query("WITH f AS (SELECT p_partkey AS id, unnest([CAST(p_size AS VARCHAR), CAST(p_size + 1 AS VARCHAR)]) AS nr FROM part) SELECT f.id, f.nr, l_orderkey, l_linenumber FROM f JOIN lineitem ON CAST(CAST(l_quantity AS INT) AS VARCHAR) = f.nr WHERE l_linenumber = 7")
+def j14_features_by_number(spark, sf_dir):
+    features = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")).alias("n_numbers"))
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_quantity").cast("int").cast("string").alias("nr"), "l_orderkey", "l_linenumber")
+    return reports.of_dimensions(features, rows)
+
+
+@query("SELECT p_partkey AS path, CAST(p_size AS VARCHAR) AS lot, s_suppkey AS sample FROM part JOIN supplier ON p_size % 50 = s_suppkey % 50")
+def j16_lots(spark, sf_dir):
+    scans = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("string").alias("size"), (F.col("p_size") % 50).cast("string").alias("lot"))
+    samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_suppkey") % 50).cast("string").alias("lot"))
+    return reports.of_lots(scans, samples).select("path", F.col("size").alias("lot"), "sample")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gauge.functions import names, tolerance
 from gauge.operators import align, points
 from gauge.plans.registry import query
+from gauge.sources import reports
 
 YEARS = [str(y) for y in range(1995, 2002)]
 
@@ -87,10 +88,11 @@ def p12_in_band(spark, sf_dir):
     return measurements(spark, sf_dir).select("l_orderkey", "l_linenumber", "key", tolerance.in_band(F.col("deviation"), F.col("tol_sup")).alias("inside"))
 
 
-@query(M + f", f AS (SELECT *, CAST({FRACTION} AS DOUBLE) AS fraction FROM m) SELECT sample, cavity, count(*) AS n, count(*) FILTER ({NOK}) AS nok, round(avg(greatest(least(fraction, 3.0), -3.0)) FILTER (fraction IS NOT NULL), 6) AS mean_use FROM f GROUP BY ALL")
+@query(M + f", f AS (SELECT *, CAST({FRACTION} AS DOUBLE) AS fraction FROM m) SELECT sample, cavity, count(*) AS n, count(*) FILTER ({NOK}) AS nok, count(*) FILTER ({SUSPECT.replace('turned', '(CASE WHEN key % 3 = 0 THEN -measured ELSE measured END)')}) AS suspect, round(avg(greatest(least(fraction, 3.0), -3.0)) FILTER (fraction IS NOT NULL), 6) AS mean_use FROM f GROUP BY ALL")
 def a5_nok_by_sample_cavity(spark, sf_dir):
     use = tolerance.clipped(tolerance.fraction(F.col("deviation"), F.col("tol_sup"), F.col("tol_inf")))
-    return measurements(spark, sf_dir).groupBy("sample", "cavity").agg(F.count(F.lit(1)).alias("n"), F.count_if(nok()).alias("nok"), F.round(F.avg(use), 6).alias("mean_use"))
+    suspect = tolerance.sign_suspect(F.col("nominal"), F.col("turned"))
+    return _turned(spark, sf_dir).groupBy("sample", "cavity").agg(F.count(F.lit(1)).alias("n"), F.count_if(nok()).alias("nok"), F.count_if(suspect).alias("suspect"), F.round(F.avg(use), 6).alias("mean_use"))
 
 
 @query(M + f"SELECT sample, cavity, count(*) FILTER ({NOK}) AS out, bool_and({NOK}) AS every FROM m GROUP BY ALL")
@@ -101,7 +103,7 @@ def a10_out_by_sample_cavity(spark, sf_dir):
 @query(V + "SELECT r.key, r.value, o.value AS value_other FROM (SELECT * FROM v WHERE sample = '1995') r LEFT JOIN (SELECT * FROM v WHERE sample = '1997') o ON r.key = o.key")
 def j3_align(spark, sf_dir):
     v = values(spark, sf_dir)
-    return align.align(v.where("sample = '1995'"), v.where("sample = '1997'"), "key", "value")
+    return align.align(v.where("sample = '1995'").drop("sample"), v.where("sample = '1997'"), "key", "value")
 
 
 @query(V + "SELECT key, max(value) - min(value) AS range, count(value) AS n FROM v GROUP BY key")
@@ -124,7 +126,7 @@ def u5_column_bind(spark, sf_dir):
     v = values(spark, sf_dir)
     out = v.where("sample = '1995'").select("key", "value")
     for year in ("1996", "1997"):
-        out = out.join(v.where(F.col("sample") == year).select("key", F.col("value").alias(f"value_{year}")), "key", "left")
+        out = align.align(out, v.where(F.col("sample") == year), "key", "value", f"value_{year}")
     return out
 
 
@@ -262,3 +264,53 @@ def d_j13_anchor(spark, sf_dir):
 def d_a22_circle(spark, sf_dir):
     found = points.circle(event_points(spark, sf_dir), "user_id").where("n > 5")
     return found.select("user_id", *(F.round(c, 3).alias(c) for c in ("x", "z", "radius")), "n")
+
+
+@query(M + "SELECT l_orderkey, l_linenumber, key, round(50 + 50 * deviation / (greatest(4 * coalesce(nullif(tol_sup, 0), 0.025), abs(coalesce(tol_inf, 0)), abs(coalesce(excess, 0))) * 1.15), 6) AS place FROM m")
+def p12_scaled(spark, sf_dir):
+    place = tolerance.scaled(F.col("deviation"), F.col("tol_sup"), F.col("tol_inf"), F.col("excess"))
+    return measurements(spark, sf_dir).select("l_orderkey", "l_linenumber", "key", F.round(place, 6).alias("place"))
+
+
+@query(V + "SELECT key, string_agg(sample || '=' || CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY sample) AS items FROM v GROUP BY key")
+def a9_tree(spark, sf_dir):
+    found = align.tree(values(spark, sf_dir), "key", "sample", "sample", "value")
+    return found.select("key", F.array_join(F.transform("items", lambda x: F.concat(x["sample"], F.lit("="), x["value"].cast("long").cast("string"))), ",").alias("items"))
+
+
+@query("SELECT source, count(*) AS files, round(sum(n_chars) / 1048576.0, 6) AS mb FROM documents GROUP BY 1")
+def a18_totals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("n_chars") / 1048576, 6).alias("mb"))
+
+
+@query(V + "SELECT key, min(sample) AS reference FROM v GROUP BY key")
+def l12_reference(spark, sf_dir):
+    return align.reference(values(spark, sf_dir), ["key"], "sample")
+
+
+@query("WITH s AS (SELECT user_id, value, coalesce(CAST(value - lag(value) OVER w > 0.3 AS INT), 0) AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value)), l AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY value ROWS UNBOUNDED PRECEDING) AS level FROM s), c AS (SELECT user_id, level, avg(value) AS mean, count(*) AS n FROM l GROUP BY ALL) SELECT user_id, count(*) AS levels, CASE WHEN count(*) <= 8 THEN string_agg(printf('Y=%.1f (%d pts)', mean, n), ', ' ORDER BY level) ELSE 'continuous' END AS said FROM c GROUP BY 1")
+def a7_summary(spark, sf_dir):
+    return points.level_summary(points.levels(table(spark, sf_dir, "events"), "user_id", "value"), "user_id")
+
+
+@query(M + "SELECT sample, " + ", ".join(f"round(avg(excess) FILTER (cavity = '{c}'), 6) AS \"{c}\"" for c in "ANR") + " FROM m GROUP BY 1")
+def d_a19_by_cavity(spark, sf_dir):
+    return measurements(spark, sf_dir).groupBy("sample").pivot("cavity", list("ANR")).agg(F.round(F.avg("excess"), 6))
+
+
+@query(V + ", o AS (SELECT key, sample, lead(value) OVER (PARTITION BY key ORDER BY sample) - value AS delta FROM v) SELECT key, sample, abs(delta) >= 0.1 AS reworked FROM o WHERE delta IS NOT NULL")
+def d_f18_rework(spark, sf_dir):
+    d = align.deltas(values(spark, sf_dir), "key", "sample", "value")
+    return d.select("key", "sample", tolerance.reworked(F.col("delta")).alias("reworked"))
+
+
+@query("WITH c AS (SELECT user_id, CAST(event_id % 360 AS INT) AS cell, avg(value) AS v FROM events GROUP BY 1, 2) SELECT a.user_id, round(max(a.v + b.v), 6) AS most, round(min(a.v + b.v), 6) AS least FROM c a JOIN c b ON a.user_id = b.user_id AND b.cell = (a.cell + 180) % 360 GROUP BY 1")
+def d_a21_opposite(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("angle", (F.col("event_id") % 360).cast("double"))
+    return align.opposite(e, "user_id", "angle", "value").select("user_id", F.round("most", 6).alias("most"), F.round("least", 6).alias("least"))
+
+
+@query(V + f", y AS (SELECT unnest({YEARS}) AS sample), k AS (SELECT DISTINCT key FROM v) SELECT k.key, y.sample AS cavity, v.value FROM k CROSS JOIN y LEFT JOIN v ON v.key = k.key AND v.sample = y.sample")
+def d_s19_wide(spark, sf_dir):
+    wide = align.evolution(values(spark, sf_dir), "key", "sample", "value", YEARS)
+    return reports.wide_cavities(wide, "key")

@@ -37,18 +37,18 @@ def variants(spark, sf_dir):
     return words(spark, sf_dir).select("t").distinct().select("t", F.array_join(F.array_sort(text.variants(F.col("t"))), "|").alias("forms"))
 
 
-@query(WORDS + ", " + FORMS + " SELECT t FROM f WHERE list_has_any(forms, ['market'])")
+@query(WORDS + ", " + FORMS + " SELECT t FROM f WHERE list_has_any(forms, ['thing'])")
 def u3_exact(spark, sf_dir):
     own = words(spark, sf_dir).select("t").distinct()
-    return own.where(text.match(text.variants(F.col("t")), search.literal_variants("market")) == "exact")
+    return own.where(text.match(text.variants(F.col("t")), search.literal_variants(spark, "thing")) == "exact")
 
 
-PARTIAL = "len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'mark') OR contains('mark', v)))) > 0"
+PARTIAL = "len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'thing') OR contains('thing', v)))) > 0"
 
 
-@query(WORDS + ", " + FORMS + f" SELECT t, CASE WHEN list_has_any(forms, ['mark']) THEN 'exact' WHEN {PARTIAL} THEN 'partial' END AS mode FROM f WHERE list_has_any(forms, ['mark']) OR {PARTIAL}")
+@query(WORDS + ", " + FORMS + f" SELECT t, CASE WHEN list_has_any(forms, ['thing']) THEN 'exact' WHEN {PARTIAL} THEN 'partial' END AS mode FROM f WHERE list_has_any(forms, ['thing']) OR {PARTIAL}")
 def casa_partial(spark, sf_dir):
-    own = words(spark, sf_dir).select("t").distinct().withColumn("mode", text.match(text.variants(F.col("t")), search.literal_variants("mark")))
+    own = words(spark, sf_dir).select("t").distinct().withColumn("mode", text.match(text.variants(F.col("t")), search.literal_variants(spark, "thing")))
     return own.where("mode is not null")
 
 
@@ -62,21 +62,50 @@ def dice(spark, sf_dir):
 
 @query()
 def difflib(spark, sf_dir):
-    own = words(spark, sf_dir).select("t").distinct().withColumns({"i": F.lit(0), "y": F.lit(0.0), "one": F.lit(1)})
-    return search.tiers(own, "reportz", ["one"]).select("t", "mode", F.round("score", 6).alias("score"))
+    own = words(spark, sf_dir).select("t").distinct()
+    return search.tiers(own, "thingz", ["t"]).select("t", "mode", F.round("score", 6).alias("score"))
 
 
-@query(WORDS + ", " + FORMS + f", h AS (SELECT w.doc_id, w.i, w.t, CASE WHEN list_has_any(forms, ['mark']) THEN 1 WHEN {PARTIAL} THEN 2 END AS tier FROM w JOIN f ON w.t = f.t), b AS (SELECT doc_id, min(tier) AS tier FROM h GROUP BY 1) SELECT h.doc_id, i, t, CASE h.tier WHEN 1 THEN 'exact' ELSE 'partial' END AS mode FROM h JOIN b ON h.doc_id = b.doc_id AND h.tier = b.tier")
+@query(WORDS + ", " + FORMS + f", h AS (SELECT w.doc_id, w.i, w.t, CASE WHEN list_has_any(forms, ['thing']) THEN 1 WHEN {PARTIAL} THEN 2 END AS tier FROM w JOIN f ON w.t = f.t), b AS (SELECT doc_id, min(tier) AS tier FROM h GROUP BY 1) SELECT h.doc_id, i, t, CASE h.tier WHEN 1 THEN 'exact' ELSE 'partial' END AS mode FROM h JOIN b ON h.doc_id = b.doc_id AND h.tier = b.tier")
 def u4_tiers(spark, sf_dir):
-    return search.tiers(words(spark, sf_dir), "mark", ["doc_id"], fuzzy=None).select("doc_id", "i", "t", "mode")
+    return search.tiers(words(spark, sf_dir), "thing", ["doc_id"], fuzzy=None).select("doc_id", "i", "t", "mode")
 
 
-@query(WORDS + ", " + FORMS + f", h AS (SELECT w.*, CASE WHEN list_has_any(forms, ['mark']) THEN 3.0 ELSE 2.0 END AS score FROM w JOIN f ON w.t = f.t WHERE list_has_any(forms, ['mark']) OR {PARTIAL}) SELECT doc_id, i, t, score FROM h ORDER BY score DESC, y, i, doc_id LIMIT 10")
+@query(WORDS + ", " + FORMS + f", h AS (SELECT w.*, CASE WHEN list_has_any(forms, ['thing']) THEN 3.0 ELSE 2.0 END AS score FROM w JOIN f ON w.t = f.t WHERE list_has_any(forms, ['thing']) OR {PARTIAL}) SELECT doc_id, i, t, score FROM h ORDER BY score DESC, y, i, doc_id LIMIT 10")
 def l8_top10(spark, sf_dir):
-    own = words(spark, sf_dir)
-    mode = text.match(text.variants(F.col("t")), search.literal_variants("mark"))
-    good = own.select("t").distinct().withColumn("mode", mode).where("mode is not null").select("t", F.when(F.col("mode") == "exact", 3.0).otherwise(2.0).alias("score"))
-    return own.join(good, "t").orderBy(F.desc("score"), "y", "i", "doc_id").limit(10).select("doc_id", "i", "t", "score")
+    hits = search.tiers(words(spark, sf_dir), "thing", ["doc_id", "i"], fuzzy=None)
+    return search.ranked(hits, 10, ("i", "doc_id")).select("doc_id", "i", "t", "score")
+
+
+HITS = f"h AS (SELECT w.*, CASE WHEN list_has_any(forms, ['thing']) THEN 3.0 ELSE 2.0 END AS score FROM w JOIN f ON w.t = f.t WHERE list_has_any(forms, ['thing']) OR {PARTIAL})"
+
+
+@query(WORDS + ", " + FORMS + ", " + HITS + " SELECT doc_id, i, score FROM h ORDER BY score DESC, y, i, doc_id LIMIT 500")
+def l7_rank(spark, sf_dir):
+    hits = search.tiers(words(spark, sf_dir), "thing", ["doc_id", "i"], fuzzy=None)
+    return search.ranked(hits, 500, ("i", "doc_id")).select("doc_id", "i", "score")
+
+
+@query(WORDS + ", " + FORMS + ", " + HITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, y, i) AS rank FROM h) SELECT doc_id, i, t, rank, rank = 1 AS best, CAST(trunc(x / 100 * 1600) AS INT) AS x_px, CAST(trunc(y / 100 * 1200) AS INT) AS y_px, CAST(trunc(w / 100 * 1600) AS INT) AS w_px, CAST(trunc(h / 100 * 1200) AS INT) AS h_px FROM r WHERE rank <= 10")
+def s17_marks(spark, sf_dir):
+    hits = search.tiers(words(spark, sf_dir), "thing", ["doc_id", "i"], fuzzy=None)
+    return search.marked(hits, "doc_id", 1600, 1200)
+
+
+@query(WORDS + " SELECT doc_id, i, printf('%3d  %6.2f %6.2f   %s', CAST(c AS INT), CAST(x AS DOUBLE), CAST(y AS DOUBLE), t) AS line FROM w")
+def s16_text_dump(spark, sf_dir):
+    return words(spark, sf_dir).select("doc_id", "i", search.printed().alias("line"))
+
+
+# neighbours on a line are half a percent apart, so a pair of terms is a pair of words that follow one another
+CHAIN = ", k AS (SELECT w.*, list_has_any(forms, ['thing']) AS thing, list_has_any(forms, ['the']) AS the, " + PARTIAL + " AS thing_in, len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'the') OR contains('the', v)))) > 0 AS the_in FROM w JOIN f ON w.t = f.t), p AS (SELECT a.doc_id, a.i AS i0, a.t || ' ' || b.t AS t, CASE WHEN a.the AND b.thing THEN 'exact' ELSE 'partial' END AS mode, a.x AS x, a.y AS y, b.x + b.w - a.x AS w, a.h AS h FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.y = b.y WHERE (a.the OR a.the_in) AND (b.thing OR b.thing_in))"
+
+
+@query(WORDS + ", " + FORMS + CHAIN + " SELECT doc_id, i0, t, mode, x, y, round(w, 6) AS w, round(h, 6) AS h FROM p")
+def a16_phrase_box(spark, sf_dir):
+    """The phrase's boxes over all words of the documents."""
+    found = search.phrase(words(spark, sf_dir), ["the", "thing"], "doc_id")
+    return found.select("doc_id", "i0", "t", "mode", "x", "y", F.round("w", 6).alias("w"), F.round("h", 6).alias("h"))
 
 
 @query(WORDS + " SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y * 2, 0), x) AS place FROM w")
@@ -90,7 +119,7 @@ def l9_reading_order(spark, sf_dir):
 @query(WORDS + " SELECT doc_id, count(*) AS kept FROM w WHERE c >= 30 GROUP BY 1")
 def f14_confidence(spark, sf_dir):
     own = words(spark, sf_dir).select("doc_id", F.lit(100).alias("page_w"), F.lit(100).alias("page_h"), F.col("x").alias("left"), F.col("y").alias("top"), F.col("w").alias("width"), F.col("h").alias("height"), F.col("c").alias("conf"), F.col("t").alias("text"))
-    return own.where((F.col("conf") >= 30) & (names.trimmed(F.col("text")) != "")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    return reports.normalised_words(own, also=("doc_id",)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("SELECT p_partkey, regexp_matches(CAST(p_partkey AS VARCHAR), '^n?\\s*\\d{3}(\\s*[.\\-]\\s*[0-9tT])?$', 'i') AS number FROM part")
@@ -100,7 +129,7 @@ def f16_guard(spark, sf_dir):
 
 @query("SELECT event_type AS f, count(*) AS n FROM events GROUP BY 1")
 def a17_by_family(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.by_colour(table(spark, sf_dir, "events").withColumnRenamed("event_type", "f"))
 
 
 @query("WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), l AS (SELECT doc_id, i - 1 AS pos, CASE WHEN regexp_matches(p[i], '^\\s*[-*]\\s+') THEN 'item' WHEN trim(p[i]) = '' THEN 'blank' ELSE 'text' END AS kind FROM s, unnest(range(1, len(p) + 1)) u(i)), k AS (SELECT *, CASE WHEN kind = 'item' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = 'item' THEN 0 ELSE 1 END AS start FROM l), n AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM k) SELECT doc_id, min(pos) AS first, first(kind) AS kind, count(*) AS n FROM n GROUP BY doc_id, island")
@@ -251,12 +280,12 @@ FILL = "SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_linen
 
 @query(FILL)
 def d_w8_fill_nr(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.last(F.when(F.col("l_linenumber") % 3 == 1, F.col("l_partkey")), True).over(order).alias("filled"))
+    cells = table(spark, sf_dir, "lineitem").withColumn("nr", F.when(F.col("l_linenumber") % 3 == 1, F.col("l_partkey")))
+    filled = reports.filled_down(cells, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "nr")
+    return filled.select("l_orderkey", "l_linenumber", "l_partkey", F.col("nr").alias("filled"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def d_l15_version(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderpriority", "o_orderkey")).alias("o_orderkey"))
+    kept = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return reports.latest(kept, ["o_custkey"], ["o_orderpriority", "o_orderkey"]).select("o_custkey", "o_orderkey")

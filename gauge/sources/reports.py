@@ -6,6 +6,11 @@ needs it orders by ``pos``. Files without lines give no rows.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +46,34 @@ def discover_reports(found: DataFrame) -> DataFrame:
     return named.where(~F.lower(names.stem(F.col("path"))).contains(names.ALL_CAVITIES) & F.col("cavity").isNotNull())
 
 
+def skipped_reports(found: DataFrame) -> DataFrame:
+    """Reports that are not read, and why."""
+    totals = F.lower(names.stem(F.col("path"))).contains(names.ALL_CAVITIES)
+    reason = F.when(totals, "all cavities").when(names.cavity(F.col("path")).isNull(), "no cavity")
+    return found.select("path", reason.alias("reason")).where("reason is not null")
+
+
+def discover_clouds(found: DataFrame) -> DataFrame:
+    """Point clouds of known cavities, with the rank by which the kinds of one cavity are ordered."""
+    path, family = F.col("path"), names.family(F.col("path"))
+    named = found.withColumns({"sample": names.sample_number(path), "cavity": names.cavity(path, "cloud"), "family": family})
+    rank = F.when(F.col("family") == "perfil", 0).when(F.col("family") == "punts", 1).otherwise(2)
+    return named.where("cavity is not null").withColumn("rank", rank).orderBy("sample", "cavity", "rank")
+
+
+def chosen(found: DataFrame, samples: list[str] | None = None, cavities: list[str] | None = None, family: str | None = None) -> DataFrame:
+    """Files of some samples (``8`` is ``08``), cavities (in either case) and one kind; an error if there are none."""
+    if samples:
+        found = found.where(F.col("sample").isin(*(s.zfill(2) for s in samples)))
+    if cavities:
+        found = found.where(F.col("cavity").isin(*(c.lower() for c in cavities)))
+    if family:
+        found = found.where(F.col("family") == family)
+    if found.isEmpty():
+        raise ValueError("no file is left")
+    return found
+
+
 def discover_contours(found: DataFrame) -> DataFrame:
     """Contour files, with profile and index from names like ``PA_3``."""
     pattern = r"^P([AB])_(\d+)$"
@@ -106,16 +139,18 @@ def anchor_rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
 
     The reference place is the first word's, not the one before, so it is a fold over one page's words.
     """
-    page = words.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "word"))).alias("w"))
-    kind = "struct<anchor:double,row:int,out:array<struct<row:int,x0:double,word:string>>>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<struct<row:int,x0:double,word:string>>").alias("out")).cast(kind)
-
-    def step(acc: Column, w: Column) -> Column:
-        same = acc["anchor"].isNotNull() & (F.abs(w["y0"] - acc["anchor"]) <= gap)
-        row = F.when(same, acc["row"]).otherwise(acc["row"] + 1)
-        return F.struct(F.when(same, acc["anchor"]).otherwise(w["y0"]).alias("anchor"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), w["x0"].alias("x0"), w["word"].alias("word")))).alias("out")).cast(kind)
-
-    placed = page.select("file", F.explode(F.aggregate("w", start, step)["out"]).alias("p")).select("file", "p.*")
+    page = words.groupBy("file").agg(F.array_sort(F.collect_list("y0")).alias("ys"))
+    kind = "struct<anchor:double,starts:array<double>>"
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("starts")).cast(kind)
+
+    def step(acc: Column, y: Column) -> Column:
+        same = acc["anchor"].isNotNull() & (F.abs(y - acc["anchor"]) <= gap)
+        return F.when(same, acc).otherwise(F.struct(y.alias("anchor"), F.concat(acc["starts"], F.array(y)).alias("starts")).cast(kind))
+
+    # only where rows begin is carried along; a word's row is the number of beginnings down to it
+    rows = page.select("file", F.aggregate("ys", start, step)["starts"].alias("starts"))
+    lines_of = rows.select("file", F.posexplode("starts").alias("row", "begin")).select("file", (F.col("row") + 1).alias("row"), "begin", F.lead("begin").over(W.partitionBy("file").orderBy("row")).alias("next"))
+    placed = words.join(lines_of, "file").where((F.col("y0") >= F.col("begin")) & (F.col("next").isNull() | (F.col("y0") < F.col("next"))))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word"))), lambda p: p["word"]), " ")
     return placed.groupBy("file", "row").agg(joined.alias("text"))
 
@@ -136,18 +171,18 @@ def parse_contours(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(*(c.alias(n) for n, c in aggs.items()))
 
 
-def normalised_words(words: DataFrame, least: int = 30) -> DataFrame:
+def normalised_words(words: DataFrame, least: int = 30, also: tuple[str, ...] = ()) -> DataFrame:
     """Recognised words (page_w, page_h, left, top, width, height, conf, text) with boxes in percent of the page."""
     kept = words.where((F.col("conf") >= least) & (names.trimmed(F.col("text")) != ""))
     share = lambda c, of: F.bround(F.col(c) / F.col(of) * 100, 3)
-    return kept.select(names.trimmed(F.col("text")).alias("t"), share("left", "page_w").alias("x"), share("top", "page_h").alias("y"), share("width", "page_w").alias("w"), share("height", "page_h").alias("h"), F.col("conf").cast("int").alias("c"))
+    return kept.select(*also, names.trimmed(F.col("text")).alias("t"), share("left", "page_w").alias("x"), share("top", "page_h").alias("y"), share("width", "page_w").alias("w"), share("height", "page_h").alias("h"), F.col("conf").cast("int").alias("c"))
 
 
-def balloon_boxes(boxes: DataFrame, area: float = 150, least: float = 15, most: float = 900) -> DataFrame:
+def balloon_boxes(boxes: DataFrame, area: float = 150, least: float = 15, most: float = 900, also: tuple[str, ...] = ()) -> DataFrame:
     """Boxes of the size of balloons, in percent of the page."""
     kept = boxes.where((F.col("area") >= area) & F.col("width").between(least, most) & F.col("height").between(least, most))
     share = lambda c, of: F.bround(F.col(c) / F.col(of) * 100, 3)
-    return kept.select(share("left", "page_w").alias("x"), share("top", "page_h").alias("y"), share("width", "page_w").alias("w"), share("height", "page_h").alias("h"), "f")
+    return kept.select(*also, share("left", "page_w").alias("x"), share("top", "page_h").alias("y"), share("width", "page_w").alias("w"), share("height", "page_h").alias("h"), "f")
 
 
 def mesh_headers(found: DataFrame) -> DataFrame:
@@ -159,3 +194,83 @@ def mesh_headers(found: DataFrame) -> DataFrame:
 def wide_cavities(wide: DataFrame, key: str) -> DataFrame:
     """One value column a cavity to rows (key, cavity, value)."""
     return wide.unpivot(key, [c for c in wide.columns if c != key], "cavity", "value")
+
+
+def filled_down(cells: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
+    """A column that only the first row of a group states, carried down to the others."""
+    at = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return cells.withColumn(column, F.last(column, ignorenulls=True).over(at))
+
+
+def latest(versions: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The last version of each, by the columns that rank them."""
+    at = W.partitionBy(*by).orderBy(*(F.desc(c) for c in order))
+    return versions.withColumn("turn", F.row_number().over(at)).where("turn = 1").drop("turn")
+
+
+def by_colour(boxes: DataFrame) -> DataFrame:
+    """Number of balloons of each colour family."""
+    return boxes.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+
+
+def largest_image(images: DataFrame) -> DataFrame:
+    """Of the images (file, image, w, h) of each page the one with the largest area; of equal ones the first."""
+    best = F.max_by(F.struct("image", "w", "h"), F.struct(F.col("w") * F.col("h"), -F.col("image")))
+    return images.groupBy("file").agg(best.alias("b")).select("file", "b.image", "b.w", "b.h")
+
+
+def history(cells: DataFrame) -> DataFrame:
+    """Rows of a history sheet (file, row, a, e, f) below each ``INFORME n`` of column a: there can be several."""
+    title = F.nullif(F.regexp_extract("a", r"INFORME\s+(\d+)", 1), F.lit(""))
+    at = W.partitionBy("file").orderBy("row")
+    named = cells.withColumns({"title": title, "block": F.count(title).over(at), "report": F.last(title, ignorenulls=True).over(at)})
+    kept = named.where(F.col("title").isNull() & F.col("report").isNotNull() & F.col("a").rlike(r"\d{1,2}/\d{1,2}/\d{4}"))
+    return kept.select("file", "row", "block", F.col("report").cast("int").alias("report"), F.col("a").alias("date"), F.col("e").alias("responsible"), F.col("f").alias("remarks"))
+
+
+def dimension_rows(cells: DataFrame, first_row: int = 14) -> DataFrame:
+    """Rows of the sheets named ``DR*`` from cells (file, sheet, row, col, text): the number is carried down."""
+    columns = {"A": "nr", "B": "ltr", "C": "type", "D": "nominal", "E": "tol_sup", "F": "tol_inf", "H": "c13", "I": "c14", "J": "c15", "K": "c16", "L": "nok", "M": "comment"}
+    wide = cells.where(F.col("sheet").like("DR%") & (F.col("row") >= first_row)).groupBy("file", "sheet", "row").pivot("col", list(columns)).agg(F.first("text"))
+    named = wide.select("file", "sheet", "row", *(F.col(c).alias(n) for c, n in columns.items()))
+    numbers = [names.number(F.translate(n, ",", ".")).alias(n) for n in ("nominal", "tol_sup", "tol_inf", "c13", "c14", "c15", "c16")]
+    filled = filled_down(named, ["file", "sheet"], ["row"], "nr")
+    return filled.select("file", "sheet", "row", "nr", "ltr", "type", *numbers, F.coalesce(F.col("nok") == "X", F.lit(False)).alias("nok"), "comment")
+
+
+def corrections(paragraphs: DataFrame) -> DataFrame:
+    """Fields of each slide from its paragraphs (file, slide, pos, text), whose runs are joined."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "\n")
+    said = paragraphs.groupBy("file", "slide").agg(whole.alias("text"))
+    one = lambda pattern, group=1: F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
+    return said.select(
+        "file", "slide", one(r"Tool correction nº\s*(\d+)").cast("int").alias("correction"), one(r"P(\d{4})").alias("project"), one(r"(\d{2}/\d{2}/\d{4})").alias("date"),
+        F.regexp_extract_all("text", F.lit(r"DIM\.\s*Nr\.?\s*(\d+)"), F.lit(1)).alias("n_numbers"), names.number(F.translate(one(r"([\d,.]+)\s*mm"), ",", ".")).alias("magnitude_mm"),
+        names.action_sign(F.col("text")).alias("sign"), F.col("text").rlike(r"(^|\n)OK(\n|$)").alias("done"),
+    )
+
+
+def of_dimensions(features: DataFrame, rows: DataFrame) -> DataFrame:
+    """Features (id, n_numbers) beside the measurements (nr, ...) of the dimensions that they name."""
+    return features.select("id", F.explode("n_numbers").alias("nr")).join(rows, "nr")
+
+
+def of_lots(scans: DataFrame, samples: DataFrame) -> DataFrame:
+    """Scans (path, lot) beside the samples (sample, lot) of their lot, of which there can be several; lots are text."""
+    return scans.join(samples, "lot")
+
+
+def cached(spark: SparkSession, folder: str, signature: dict, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``compute`` gives, kept in ``folder`` under a hash of its signature; unread or broken ones are made anew."""
+    path = f"{folder}/{hashlib.sha256(json.dumps(signature, sort_keys=True).encode()).hexdigest()}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        compute().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """The tables behind the pages of a report, each as Parquet."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
