@@ -2,25 +2,29 @@
 
 Pages of one host are parsed into trees and aligned, one after another, with a growing wrapper by simple tree
 matching: the largest set of matched nodes that keeps order and ancestry. A wrapper's node whose text hardly
-varies among distinct pages is template; what varies is content. Marks that any page carries (the names of its
-elements, classes and roles) tell menus, adverts, comments and the like, also on hosts with a single page. A page
-with an ``article`` or ``main`` element has its text there.
+varies among distinct pages is template; what varies is content. The article's place is the wrapper's: from the
+root down, the element that holds nearly all varying text outside links, as long as no heading that varies stands
+beside it. Names of elements, classes and roles only leave out menus, adverts, comments and the like within that
+place, and find the article on hosts with fewer than ``LEAST_PAGES`` distinct pages.
 
 Pages of a host are dealt to groups of about ``GROUP_PAGES`` by a hash, so that no host meets in one task; each
 group is a random sample of its host, and induces its own wrapper.
 
-Defined results: null and empty html has empty text; a null or odd url makes a host of its own; repeated rows
-repeat their result and count once among distinct pages; an empty table gives an empty result; further columns
-pass by unread. Within a block, every run of white space is one space; a line break is white space.
+Defined results: null and empty html has empty text; a null or odd url makes a host of its own; a null page_id
+stays null; repeated rows repeat their result and count once among distinct pages; an empty table gives an empty
+result; further columns pass by unread. Within a block, every run of white space is one space; a line break is
+white space. A tag that no ``>`` ends before the page does ends the page. Elements may be nested without bound.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
+import sys
+from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 GROUP_PAGES, LEAST_PAGES, CONSTANT_SHARE = 32, 4, 0.8
 #: Hosts whose page counts are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 1_000_000
-#: Pairs of children that simple tree matching compares in full; longer child lists are matched by their first and last common parts and a band between.
-MOST_CELLS, BAND = 250_000, 64
+#: Least share of its parent's varying text that the article's place holds; cells of a matching table that is kept whole (larger ones are matched in halves).
+PLACE_SHARE, TABLE_CELLS = 0.8, 1 << 21
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -40,13 +44,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar widget menu menus nav navbar navigation navigator breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup signin login popup modal overlay search searchbox pagination pager skip tags rss legal copyright disclaimer".split()
 )
+#: Whole class and id values of parts within an article that do not belong to it.
+DROPPED_INSIDE = frozenset("ad ads advert advertisement advertising sponsor sponsored promo comment comments commentlist cookie newsletter share sharing social related recommended breadcrumb breadcrumbs pagination".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Elements that a start tag of the same kind, or of a block, ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: Elements within which such an ending stays.
 HOLDERS = frozenset("ul ol dl table td th body html article section div main aside nav blockquote form header footer".split())
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=(?!\s*["']))*+)>|<(?=/?[A-Za-z])""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 
@@ -54,17 +60,26 @@ _NAME = re.compile(r"[a-z]+")
 class Node:
     """An element, or (tag ``#``) a text."""
 
-    __slots__ = ("tag", "children", "text", "names", "hidden", "role", "parent", "shape", "template", "slot")
+    __slots__ = ("tag", "children", "text", "names", "whole", "hidden", "role", "parent", "shape", "template", "slot", "place")
 
     def __init__(self, tag: str, parent: Node | None = None, text: str = ""):
         self.tag, self.parent, self.text, self.children = tag, parent, text, []
-        self.names, self.role, self.hidden, self.template, self.shape, self.slot = (), "", False, False, 0, None
+        self.names, self.whole, self.role, self.hidden, self.template, self.shape, self.slot, self.place = (), (), "", False, False, 0, None, False
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed and stray tags are allowed; an attribute-only difference makes no other node."""
     root = Node("#root")
     at, top, n = 0, root, len(page)
+    open_tags: Counter[str] = Counter()  # so that no ancestors are walked for a tag that none of them has
+
+    def leave(to: Node) -> Node:
+        node = top
+        while node is not to:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        return to
+
     while at < n:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else n]
@@ -75,33 +90,38 @@ def parse(page: str) -> Node:
         if not m:
             break
         at = m.end()
+        if m[0] == "<":  # the page ends within a tag
+            break
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if open_tags[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = leave(node.parent)
             continue
         ended = ENDS.get(tag)
         if ended is None and tag not in INLINE and tag not in VOID or tag == "hr":
             ended = {"p"}
-        if ended:
+        if ended and (left := sum([open_tags[x] for x in ended])):
             node, last = top, None
             while node is not root and (node.tag in ended or node.tag not in HOLDERS):
                 if node.tag in ended:
-                    last = node
+                    last, left = node, left - 1
+                    if not left:
+                        break
                 node = node.parent
             if last is not None:
-                top = last.parent
+                top = leave(last.parent)
         node = Node(tag, top)
         if m[3]:
             for a in _ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
                     node.names += tuple(_NAME.findall(value.lower()))
+                    node.whole += tuple(value.lower().split())
                 elif key == "role":
                     node.role = value.strip().lower()
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -110,10 +130,9 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            top = node
-        elif tag not in VOID and tag not in ("path", "circle", "rect", "g", "use"):
+        elif tag not in VOID and not (m[3].endswith("/") and tag in ("path", "circle", "rect", "g", "use")):
             top = node  # a slash does not end an element of html
+            open_tags[tag] += 1
     return root
 
 
@@ -126,22 +145,40 @@ def _label(node: Node) -> tuple:
     return node.tag, node.names
 
 
-def _shapes(node: Node, numbers: dict) -> int:
-    """A number for a subtree's labels, so that equal shapes are matched at once."""
-    key = (_label(node), tuple(_shapes(c, numbers) for c in _elements(node)))
-    node.shape = numbers.setdefault(key, len(numbers))
-    return node.shape
+def _shapes(root: Node, numbers: dict) -> int:
+    """A number for each subtree's labels, so that equal shapes are matched at once. Gives the depth."""
+    order, deepest = [(root, 1)], 0
+    for node, depth in order:  # grows while it is read: parents before children
+        deepest = max(deepest, depth)
+        order += [(c, depth + 1) for c in _elements(node)]
+    for node, _ in reversed(order):
+        key = (_label(node), tuple([c.shape for c in _elements(node)]))
+        node.shape = numbers.setdefault(key, len(numbers))
+    return deepest
 
 
 class Slot:
     """A node of a wrapper: how often each text stood there."""
 
-    __slots__ = ("label", "children", "texts", "shape", "size")
+    __slots__ = ("label", "children", "texts", "shape", "size", "weight")
 
     def __init__(self, node: Node):
-        self.label, self.texts, self.shape = _label(node), {}, node.shape
-        self.children = [Slot(c) for c in _elements(node)]
-        self.size = 1 + sum(c.size for c in self.children)
+        self._take(node)
+        order, todo = [], [(self, node)]
+        while todo:
+            slot, x = todo.pop()
+            order.append(slot)
+            for c in _elements(x):
+                own = Slot.__new__(Slot)
+                own._take(c)
+                slot.children.append(own)
+                todo.append((own, c))
+        for slot in reversed(order):
+            slot.size += sum([c.size for c in slot.children])
+
+    def _take(self, node: Node) -> None:
+        self.label, self.texts, self.shape, self.weight = _label(node), {}, node.shape, 0
+        self.children, self.size = [], 1
 
 
 def match_size(a: Slot, b: Node, memo: dict) -> int:
@@ -159,43 +196,67 @@ def match_size(a: Slot, b: Node, memo: dict) -> int:
 def _table(a: Slot, right: list[Node], memo: dict) -> tuple[int, list[tuple[int, int]]]:
     """The best order-preserving match of two child lists: its size and its pairs of positions."""
     left = a.children
-    pairs, head = [], 0
+    pairs, head, total = [], 0, 0
     while head < min(len(left), len(right)) and left[head].shape == right[head].shape and left[head].label == _label(right[head]):
         pairs.append((head, head))
+        total += left[head].size
         head += 1
     tail = 0
     while tail < min(len(left), len(right)) - head and left[-1 - tail].shape == right[-1 - tail].shape and left[-1 - tail].label == _label(right[-1 - tail]):
+        total += left[-1 - tail].size
         tail += 1
     m, n = len(left) - head - tail, len(right) - head - tail
-    total = sum(left[i].size for i in range(head)) + sum(left[-1 - i].size for i in range(tail))
     if m and n:
-        banded = m * n > MOST_CELLS
-        best = [[0] * (n + 1) for _ in range(m + 1)]
+        # children of one shape match alike, so each is compared once
+        shapes = {right[head + j].shape: j for j in range(n)}
+        place = {x: k for k, x in enumerate(shapes)}
+        own = np.array([place[right[head + j].shape] for j in range(n)])
+        weights = []
         for i in range(m):
-            row, above = best[i + 1], best[i]
-            lo, hi = (max(0, i * n // m - BAND), min(n, i * n // m + BAND)) if banded else (0, n)
-            for j in range(lo):
-                row[j + 1] = above[j + 1]
-            for j in range(lo, hi):
-                w = match_size(left[head + i], right[head + j], memo)
-                row[j + 1] = max(above[j + 1], row[j], above[j] + w if w else 0)
-            for j in range(hi, n):
-                row[j + 1] = max(above[j + 1], row[j])
-        i, j, middle = m, n, []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                middle.append((head + i, head + j))
-        pairs += middle[::-1]
-        total += best[m][n]
+            row = []
+            for j in shapes.values():
+                row.append(match_size(left[head + i], right[head + j], memo))
+            weights.append(np.array(row, np.int64))
+        size, middle = _chain(weights, own)
+        total += size
+        pairs += [(head + i, head + j) for i, j in middle]
     pairs += [(len(left) - t, len(right) - t) for t in range(tail, 0, -1)]
     return total, pairs
 
 
+def _row(above: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The next row of a matching table: the best of leaving either one out, or of a pair."""
+    took = np.where(weight > 0, above[:-1] + weight, 0)
+    return np.maximum.accumulate(np.concatenate([[0], np.maximum(above[1:], took)]))
+
+
+def _chain(weights: list[np.ndarray], own: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest chain of pairs (i, j) that rises in both; ``weights[i][own[j]]`` is a pair's weight, 0 for none."""
+    m, n = len(weights), len(own)
+    if m > 1 and m * n > TABLE_CELLS:  # in halves: where the best chain passes from one to the other needs two rows only
+        half, down, up = m // 2, np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for w in weights[:half]:
+            down = _row(down, w[own])
+        for w in weights[half:][::-1]:
+            up = _row(up, w[own[::-1]])
+        cut = int((down + up[::-1]).argmax())
+        one, two = _chain(weights[:half], own[:cut]), _chain(weights[half:], own[cut:])
+        return one[0] + two[0], one[1] + [(half + i, cut + j) for i, j in two[1]]
+    best = np.zeros((m + 1, n + 1), np.int64)
+    for i, w in enumerate(weights):
+        best[i + 1] = _row(best[i], w[own])
+    i, j, pairs = m, n, []
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return int(best[m, n]), pairs[::-1]
+
+
 def align(wrapper: Slot, page: Node, counted: bool, memo: dict) -> None:
     """Matches a page to the wrapper, which takes on the page's other nodes, and its texts if it is ``counted``."""
     page.slot = wrapper
@@ -225,38 +286,53 @@ def align(wrapper: Slot, page: Node, counted: bool, memo: dict) -> None:
                 children.append(added[k][1])
                 k += 1
         wrapper.children = children
-        wrapper.size = 1 + sum(c.size for c in children)
+        wrapper.size = 1 + sum([c.size for c in children])
         wrapper.shape = -1  # like no page's any more
 
 
+def _inside(node: Node) -> bool:
+    """Whether an element is within an article, or where the wrapper says that it is."""
+    up = node.parent
+    while up is not None and not up.place and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
 def dropped(node: Node) -> bool:
-    """Whether an element's marks say that it is not part of an article."""
+    """Whether an element's marks say that it is not part of an article. Within one, only whole names count."""
+    if node.place:
+        return False
     if node.tag in DROPPED or node.hidden or node.role in DROPPED_ROLES:
         return True
     if node.tag in ("article", "main", "body", "html"):
         return node.tag == "article" and bool({"comment", "comments", "reply"} & set(node.names))
     if node.tag == "header":  # an article's own heading is part of it
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
-    return bool(DROPPED_NAMES & set(node.names)) and node.tag not in ("h1",)
-
-
-def _kept_size(node: Node) -> int:
-    if node.tag == "#":
-        return 0 if node.template else len(node.text)
-    return 0 if dropped(node) else sum(_kept_size(c) for c in node.children)
-
-
-def _mains(node: Node, tags: tuple[str, ...], out: list[Node]) -> list[Node]:
-    for c in node.children:
-        if c.tag == "#" or dropped(c):
-            continue
-        if c.tag in tags or c.role == "main" and "main" in tags:
-            out.append(c)
+        return not _inside(node)
+    if node.tag == "h1" or not DROPPED_NAMES & set(node.names):
+        return False
+    return bool(DROPPED_INSIDE & set(node.whole)) or not _inside(node)
+
+
+def _kept_size(root: Node) -> int:
+    todo, size = [root], 0
+    while todo:
+        node = todo.pop()
+        if node.tag == "#":
+            size += 0 if node.template else len(node.text)
+        elif node is root or not dropped(node):
+            todo += node.children
+    return size
+
+
+def _mains(root: Node, tags: tuple[str, ...]) -> list[Node]:
+    """The outermost elements with one of the tags, in page order."""
+    todo, out = [root], []
+    while todo:
+        node = todo.pop()
+        if node is not root and (node.tag in tags or node.role == "main" and "main" in tags):
+            out.append(node)
         else:
-            _mains(c, tags, out)
+            todo += [c for c in reversed(node.children) if c.tag != "#" and not dropped(c)]
     return out
 
 
@@ -272,36 +348,90 @@ def blocks(node: Node) -> list[str]:
         line.clear()
         varying[0] = False
 
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if c.tag == "#":
-                line.append(c.text)
-                varying[0] |= not c.template and not c.text.isspace()
-            elif c.tag in ("br", "wbr"):
-                line.append(" " if c.tag == "br" else "")
-            elif dropped(c):
-                if c.tag not in INLINE:
-                    close()
-            elif c.tag in INLINE:
-                walk(c)
-            else:
+    todo: list = [iter(node.children)]
+    ends: list[bool] = []  # for each element that is open, whether it is a block
+    while todo:
+        c = next(todo[-1], None)
+        if c is None:
+            todo.pop()
+            if ends and ends.pop():
                 close()
-                walk(c)
+        elif c.tag == "#":
+            line.append(c.text)
+            varying[0] |= not c.template and not c.text.isspace()
+        elif c.tag in ("br", "wbr"):
+            line.append(" " if c.tag == "br" else "")
+        elif dropped(c):
+            if c.tag not in INLINE:
                 close()
-
-    walk(node)
+        else:
+            if c.tag not in INLINE:
+                close()
+            todo.append(iter(c.children))
+            ends.append(c.tag not in INLINE)
     close()
     return out
 
 
 def main_text(page: Node) -> str:
-    """The text of the largest article or main element, or else of all that is left of the page."""
+    """The text at the article's place by the wrapper, or of the largest article or main element, or else of all that is left of the page."""
+    todo = [page]
+    while todo:
+        node = todo.pop()
+        if node.place:
+            return "\n".join(blocks(node))
+        todo += node.children
     for tags in (("article",), ("main",)):
-        if found := [x for x in _mains(page, tags, []) if _kept_size(x)]:
-            return "\n".join(blocks(max(found, key=_kept_size)))
+        if found := [(_kept_size(x), x) for x in _mains(page, tags)]:
+            size = max(n for n, _ in found)
+            if size:
+                return "\n".join(blocks(next(x for n, x in found if n == size)))
     return "\n".join(blocks(page))
 
 
+HEADINGS = frozenset("h1 h2 h3".split())
+
+
+def _weigh(root: Slot, need: float) -> None:
+    """Gives each slot the length of its texts that vary and are not in links."""
+    order, inside = [root], {id(root): False}
+    for slot in order:
+        link = inside[id(slot)] or slot.label[0] in ("a", "button", "select", "option") or slot.label[0] in RAW
+        for c in slot.children:
+            inside[id(c)] = link
+            order.append(c)
+    for slot in reversed(order):
+        own = 0 if inside[id(slot)] else sum([len(t) * n for t, n in slot.texts.items() if n < need])
+        slot.weight = own + sum([c.weight for c in slot.children])
+
+
+def _has(slot: Slot, tags: frozenset) -> bool:
+    todo = [slot]
+    while todo:
+        x = todo.pop()
+        if x.label[0] in tags and x.weight:
+            return True
+        todo += x.children
+    return False
+
+
+def place_of(root: Slot, need: float) -> Slot | None:
+    """The slot of the article: from the root down, the element with nearly all varying text, up to where a heading stands beside it."""
+    _weigh(root, need)
+    at = root
+    while True:
+        elements = [c for c in at.children if c.label[0] != "#" and c.label[0] not in INLINE]
+        best = max(elements, key=lambda c: c.weight, default=None)
+        if best is None or best.weight < PLACE_SHARE * max(1, at.weight):
+            break
+        if not any(c.label[0] != "#" and c.label[0] not in INLINE for c in best.children):
+            break  # a paragraph is not a place
+        if at.label[0] not in ("#root", "html") and any(c is not best and _has(c, HEADINGS) for c in at.children):
+            break
+        at = best
+    return at if at.label[0] not in ("#root", "html", "body") else None
+
+
 def extract(pages: list[str]) -> list[str]:
     """The main texts of pages of one host, from the wrapper that they induce together."""
     trees = [parse(p) for p in pages]
@@ -311,24 +441,34 @@ def extract(pages: list[str]) -> list[str]:
     distinct = set(first.values())
     if len(distinct) >= LEAST_PAGES:
         numbers: dict = {}
-        for tree in trees:
-            _shapes(tree, numbers)
-        wrapper = Slot(trees[min(distinct)])
-        for i in sorted(range(len(trees)), key=lambda i: i not in distinct):
-            align(wrapper, trees[i], i in distinct, {})
+        depth = max([_shapes(tree, numbers) for tree in trees])
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 8 * depth + 10_000))
+        try:
+            wrapper = Slot(trees[min(distinct)])
+            for i in sorted(range(len(trees)), key=lambda i: i not in distinct):
+                align(wrapper, trees[i], i in distinct, {})
+        finally:
+            sys.setrecursionlimit(limit)
         need = CONSTANT_SHARE * len(distinct)
+        place = place_of(wrapper, need)
         for tree in trees:
-            _mark(tree, need)
+            _mark(tree, need, place)
     return [main_text(t) for t in trees]
 
 
-def _mark(node: Node, need: float) -> None:
-    """Marks texts as template whose slot has that very text on most of the distinct pages."""
-    for c in node.children:
-        if c.tag == "#":
-            c.template = c.slot is not None and c.slot.texts.get(" ".join(c.text.split()), 0) >= need
-        elif c.slot is not None:
-            _mark(c, need)
+def _mark(root: Node, need: float, place: Slot | None) -> None:
+    """Marks the article's place, and as template texts whose slot has that very text on most of the distinct pages."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.slot is None:
+            continue
+        if node.tag == "#":
+            node.template = node.slot.texts.get(" ".join(node.text.split()), 0) >= need
+        else:
+            node.place = node.slot is place
+            todo += node.children
 
 
 def host(url: str = "url") -> F.Column:
@@ -345,9 +485,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
         counts = F.broadcast(counts)
     dealt = rows.join(counts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long"))))
 
-    def texts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_id", "url"], kind="stable")
-        found = extract(pdf["html"].tolist())
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": found, "n_chars": [len(x) for x in found]})
+    def texts(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
+        found = extract(group["html"].to_pylist())
+        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(found, pa.string()), "n_chars": pa.array([len(x) for x in found], pa.int64())})
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInPandas(texts, "page_id long, url string, text string, n_chars long")
+    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(texts, "page_id long, url string, text string, n_chars long")
