@@ -3,7 +3,8 @@
 A JPEG's unit is the quantised coefficient. ``encode`` writes 192 payload bytes as one unit of three 8 x 8
 blocks (Y, Cb, Cr), byte b at zigzag place k as the coefficient ``b - ORIGIN``, Huffman-coded, with a
 restart marker after each unit. ``decode`` parses any baseline Huffman JPEG whose restart interval is a
-number of units, or that has none: markers, tables, entropy-coded scan. Restart intervals are independent,
+number of units, or that has none: markers, tables, entropy-coded scan. Media are stored as files of their
+bytes below a folder, each once per row, and read back from there. Restart intervals are independent,
 so those of many images are decoded side by side in numpy. The direct-current luminance coefficients make
 a thumbnail, whose mean-threshold bits are the hash that is stored with the dimensions.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauge.llm.common import binary_column, runs, text_bytes
+from gauge.llm.common import Tables, binary_column, runs, text_bytes
 
 #: Bytes of a unit, of its blocks; the byte that becomes coefficient 0; units of a row of the image at most.
 UNIT, BLOCK, ORIGIN, MOST_COLUMNS = 192, 64, 96, 1024
@@ -44,9 +45,9 @@ def code_table() -> tuple[bytes, bytes]:
     Letters are small coefficients, so single coefficients of one to five bits come first; all symbols
     that a baseline scan can hold follow, so that any payload can be coded.
     """
-    order = [0x03, 0x04, 0x05, 0x02, 0x01, 0x07, 0x06, 0x00, 0x08, 0x09, 0x0A, 0x0B, 0xF0]
+    order = [0x03, 0x04, 0x05, 0x02, 0x01, 0x07, 0x06, 0x00, 0x08, 0x09, 0x0A, 0xF0]
     order += [r << 4 | s for r in range(1, 16) for s in range(1, 11)]
-    lengths = [2, 3, 3, 3, 4, 4, 5, 6, 8, 9, 10, 11, 11]
+    lengths = [2, 3, 3, 3, 4, 4, 5, 6, 8, 9, 10, 11]
     lengths += [16] * (len(order) - len(lengths))
     return bytes(lengths.count(n) for n in range(1, 17)), bytes(s for _, s in sorted(zip(lengths, order, strict=True), key=lambda x: x[0]))
 
@@ -68,6 +69,16 @@ _COUNTS, _SYMBOLS = code_table()
 _CODE, _LENGTH = codes(_COUNTS, _SYMBOLS)
 
 
+def direct_table() -> tuple[bytes, bytes]:
+    """The table of direct-current coefficients: the twelve sizes that baseline allows, letters' ones first."""
+    order, lengths = [3, 4, 5, 2, 1, 7, 6, 0, 8, 9, 10, 11], [2, 3, 3, 3, 4, 4, 5, 6, 8, 9, 10, 11]
+    return bytes(lengths.count(n) for n in range(1, 17)), bytes(s for _, s in sorted(zip(lengths, order, strict=True), key=lambda x: x[0]))
+
+
+_DIRECT = direct_table()
+_DIRECT_CODE, _DIRECT_LENGTH = codes(*_DIRECT)
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -75,7 +86,7 @@ def _segment(marker: int, body: bytes) -> bytes:
 def _header(units: int, size: int) -> bytes:
     columns = min(MOST_COLUMNS, units)
     rows = -(-units // columns)
-    tables = b"".join(_segment(0xC4, bytes([c]) + _COUNTS + _SYMBOLS) for c in (0x00, 0x10))
+    tables = _segment(0xC4, b"\x00" + b"".join(_DIRECT)) + _segment(0xC4, b"\x10" + _COUNTS + _SYMBOLS)
     frame = struct.pack(">BHHB", 8, rows * 8, columns * 8, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0])
     scan = bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])
     return b"\xff\xd8" + _segment(0xDB, bytes([0]) + bytes([1] * 64)) + _segment(0xFE, struct.pack(">Q", size)) + _segment(0xC0, frame) + tables + _segment(0xDD, struct.pack(">H", 1)) + _segment(0xDA, scan)
@@ -112,16 +123,17 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     ended = last & (k < BLOCK - 1)  # an end of block follows
     long = run // 16
     symbol = (run % 16) << 4 | size
+    code, length = np.where(k == 0, _DIRECT_CODE[size], _CODE[symbol]), np.where(k == 0, _DIRECT_LENGTH[size], _LENGTH[symbol])
     if ended.any() or long.any():
         reps = 1 + long + ended
         at = np.cumsum(reps) - reps
         n = int(reps.sum())
         bits, width, owner = np.full(n, _CODE[0xF0]), np.full(n, _LENGTH[0xF0]), np.repeat(on // UNIT, reps)
         own = at + long
-        bits[own], width[own] = _CODE[symbol] << size.astype(np.uint64) | extra, _LENGTH[symbol] + size
+        bits[own], width[own] = code << size.astype(np.uint64) | extra, length + size
         bits[own[ended] + 1], width[own[ended] + 1] = _CODE[0], _LENGTH[0]
     else:
-        bits, width, owner = _CODE[symbol] << size.astype(np.uint64) | extra, _LENGTH[symbol] + size, on // UNIT
+        bits, width, owner = code << size.astype(np.uint64) | extra, length + size, on // UNIT
     return _assemble(bits, width, owner, first, sizes)
 
 
@@ -346,6 +358,11 @@ def to_media(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
+def stored(documents: DataFrame) -> DataFrame:
+    """The media of ``documents``, written to files below the shared folder and read from them again."""
+    return Tables(documents.sparkSession, "media").keep("media", to_media(documents))
+
+
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumbnail_hash string"
 
 
@@ -356,9 +373,9 @@ def media_features(media: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = binary_column(batch.column(2))
             for lo, hi in runs(offsets, BATCH):
-                stored = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
+                media = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
                 rows = []
-                for doc_id, n_bytes, m, (image, coefficients) in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), stored, decode(stored), strict=True):
+                for doc_id, n_bytes, m, (image, coefficients) in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), media, decode(media), strict=True):
                     p, h = payload(image, coefficients), thumbnail_hash(thumbnail(image, coefficients))
                     rows.append((doc_id, n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{image.width}x{image.height}:{h}", image.width, image.height, h))
                 names = [x.split()[0] for x in FEATURES.split(", ")]

@@ -42,7 +42,7 @@ def op4_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg_media.media_features(jpeg_media.to_media(read_table(spark, sf_dir, "documents")))
+    return jpeg_media.media_features(jpeg_media.stored(read_table(spark, sf_dir, "documents")))
 
 
 def op6_ngram_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
