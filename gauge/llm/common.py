@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,22 @@ def remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of the batches that Python gets while a table is written: a batch of whole texts, on both sides, must stay small.
+BATCH_ROWS = 2000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, Arrow batches of actions that start here have at most so many rows; the session's setting comes back."""
+    before = spark.conf.get(_BATCHES)
+    spark.conf.set(_BATCHES, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCHES, before)
+
+
 class Tables:
     """Named Parquet tables in a folder of their own below the shared one; they outlive any executor.
 
@@ -63,7 +80,8 @@ class Tables:
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "none").parquet(path)  # numbers and hashes, which do not compress
+        with small_batches(self.spark):
+            df.write.option("compression", "none").parquet(path)  # numbers and hashes, which do not compress
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
