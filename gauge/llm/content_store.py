@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import cut_lineage, mix, shared_folder, text_bytes
+from gauge.llm.common import cut_lineage, mix, shared_folder, small_batches, text_bytes
 from gauge.llm.tokens import encoder, groups
 
 END_ID = 2
@@ -142,7 +142,8 @@ def write(documents: DataFrame, folder: str, path: str | None = None) -> None:
     # rows with the ids of one address have one place; the first of them keeps the ids. Each task gave an address once or so
     first = F.row_number().over(W.partitionBy("place", "kind", "digest").orderBy(F.col("ids").isNull()))
     once = rows.repartition("place").withColumn("ids", F.when(first == 1, F.col("ids")))
-    once.drop("place").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/chunks")
+    with small_batches(spark):
+        once.drop("place").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/chunks")
     stored = _stored(spark, folder).where("kind = 1").select("doc_id", "n", F.col("digest").alias("root"))
     ordered = cut_lineage(stored.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
     parts = ordered.groupBy("part").agg(F.sum("n").alias("n"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import cut_lineage, text_bytes
+from gauge.llm.common import cut_lineage, small_batches, text_bytes
 from gauge.llm.tokens import encoder, groups
 
 WINDOW, BIN, END_ID = 2048, 8, 1
@@ -144,7 +144,8 @@ def pack(documents: DataFrame, path: str | None = None, window: int = WINDOW, bi
 
     ``copy`` tells repeated rows apart. Sequences hold at most ``window`` tokens; offsets have no gaps.
     """
-    rows = cut_lineage(pieces(documents, path, window).withColumn("row", F.monotonically_increasing_id()))
+    with small_batches(documents.sparkSession):
+        rows = cut_lineage(pieces(documents, path, window).withColumn("row", F.monotonically_increasing_id()))
     rows = rows.withColumn("bin", F.ceil(F.col("length") / bin_size).cast("int"))
     counts = {r["bin"]: r["count"] for r in rows.groupBy("bin").count().collect()}
     histogram = np.array([counts.get(b, 0) for b in range(window // bin_size + 1)], dtype=np.int64)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from gauge.llm.common import worker_caches
 
 #: Words that a worker keeps before the ones met since the last such moment become the older half, which goes next; stems at most.
-CACHE_WORDS, CACHE_STEMS = 400_000, 300_000
+CACHE_WORDS, CACHE_STEMS = 200_000, 150_000
 #: Letters that both vocabularies treat as letters and that no normalisation joins; punctuation that no contraction begins with.
 _STEM, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 _PLAIN = f"^(?P<stem>{_STEM})(?P<marks>{_MARKS})$"
