@@ -54,18 +54,18 @@ def remove(spark: SparkSession, path: str) -> None:
 
 #: Rows of the batches that Python gets while a table is written: a batch of whole texts, on both sides, must stay small.
 BATCH_ROWS = 2000
-_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Within it, Arrow batches of actions that start here have at most so many rows; the session's setting comes back."""
-    before = spark.conf.get(_BATCHES)
-    spark.conf.set(_BATCHES, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCHES)
+    spark.conf.set(BATCHES, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(_BATCHES, before)
+        spark.conf.set(BATCHES, before)
 
 
 class Tables:
