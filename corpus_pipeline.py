@@ -6,6 +6,9 @@ and is written as Parquet and read again before the next one.
 Defined results: a row without doc_id is a document of its own. Toxicity, mixing and packing treat repeated rows
 as documents of their own; of rows that repeat a text, or nearly, the dedup stages keep one, also where they carry
 one doc_id. A doc_id goes before none: a row without one only stays if no row of its text, or near it, has one.
+
+A stage's result is lazy and holds whole texts, so each stage sets the session's Arrow batches to ``BATCH_ROWS`` rows
+at most; ``run`` puts the session's setting back.
 """
 
 from __future__ import annotations
@@ -17,21 +20,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gauge.llm import lsm_dedup, ngram_group_join, nnls_packing, source_mix, toxicity_ftrl
-from gauge.llm.common import Tables, read_table, remove, shared_folder
+from gauge.llm.common import BATCH_ROWS, BATCHES, Tables, read_table, remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows that go, at most, whose keys are sent to the documents; beyond, both are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
 
+def _few_rows_a_batch(spark: SparkSession) -> None:
+    """Python and the JVM hold a batch of texts each; of long texts one of the usual size is large."""
+    now = int(spark.conf.get(BATCHES))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict to be toxic; it learns from their labelled part."""
+    _few_rows_a_batch(spark)
     model = toxicity_ftrl.fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity_ftrl.without_toxic(docs.select(*COLUMNS), model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text: the one with the largest doc_id."""
+    _few_rows_a_batch(spark)
     docs, repeats = _keyed(docs, largest=True)
     found = lsm_dedup.dedup(_by_key(docs))
     return _kept(docs, found.select(F.col("doc_id").alias("key"), "kept"), repeats)
@@ -39,6 +51,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: the one with the smallest doc_id."""
+    _few_rows_a_batch(spark)
     docs, repeats = _keyed(docs, largest=False)
     found = ngram_group_join.near_duplicates(_by_key(docs))
     return _kept(docs, found.select(F.col("doc_id").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("kept")), repeats)
@@ -50,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which the mix takes every block stays whole, once for each time; of others the passages stay
     that are taken, with the document's doc_id and their own n_chars. Texts without words are never taken.
     """
+    _few_rows_a_batch(spark)
     docs, repeats = _keyed(docs, largest=False)
     sizes = docs.select(F.col("key").alias("doc_id"), "source", "text")
     texts = docs.dropDuplicates(["key"]) if repeats else docs
@@ -61,6 +75,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: a row for each piece of a document."""
+    _few_rows_a_batch(spark)
     return nnls_packing.pack(docs)
 
 
@@ -109,11 +124,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    last = None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if last:  # nothing reads it any more
-            remove(spark, last)
-        last = f"{folder}/{name}"
+    last, batches = None, spark.conf.get(BATCHES)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if last:  # nothing reads it any more
+                remove(spark, last)
+            last = f"{folder}/{name}"
+    finally:
+        spark.conf.set(BATCHES, batches)
     return docs
