@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import cut_lineage, mix, shared_folder, small_batches, text_bytes
+from gauge.llm.common import cut_lineage, mix, shared_folder, small_batches, text_bytes, trimmed
 from gauge.llm.tokens import encoder, groups
 
 END_ID = 2
@@ -78,6 +78,7 @@ def _encoded(documents: DataFrame, path: str) -> DataFrame:
     names = ["kind", "place", "doc_id", "digest", "root", "seq", "rest", "n", "ids"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced=True)
         wide = encode.tokenizer.get_vocab_size() > 1 << 16
@@ -198,6 +199,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     if not same.isEmpty() or spark.read.schema("h string").parquet(f"{folder}/root").first()["h"] != merkle_root(spark, folder):
         raise ValueError("the manifest is damaged")
 
+    @trimmed
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs = []
@@ -208,6 +210,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 crcs.append(zlib.crc32(ids.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc"])
 
+    @trimmed
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc = crc_before(batch.column(4).to_numpy(), 4 * batch.column(5).to_numpy())
@@ -258,6 +261,7 @@ def restore(spark: SparkSession, folder: str, doc_ids: DataFrame) -> DataFrame:
     recipes = stored.select("root", "seq", "digest").distinct().join(wanted.select("root").distinct(), "root", "left_semi").join(chunks, "digest")
     whole = recipes.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
 
+    @trimmed
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.concatenate([_ids_of(p["ids"]) for p in parts]).astype(np.int64) for parts in batch.column(2).to_pylist()]

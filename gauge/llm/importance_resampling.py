@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauge.llm.common import Words, binary_column, cut_lineage, mix, runs, text_bytes
+from gauge.llm.common import Words, binary_column, cut_lineage, mix, runs, text_bytes, trimmed
 
 #: log2 of the number of n-gram buckets; labelled documents that the target model counts, in expectation; pseudocount.
 BITS, TARGET_DOCUMENTS, PSEUDOCOUNT = 16, 50_000, 1.0
@@ -52,6 +52,7 @@ def buckets(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator
 def counts(texts: DataFrame, bits: int = BITS) -> np.ndarray:
     """How often each bucket occurs in a column of byte strings. Each task sends one table, in slices."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
@@ -87,6 +88,7 @@ def weigh(documents: DataFrame, ratio: np.ndarray, seed: int = 3) -> DataFrame:
     """doc_id, log_weight, n_grams and key, the log weight with Gumbel noise."""
     shared = documents.sparkSession.sparkContext.broadcast(ratio)
 
+    @trimmed
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
         bits = len(ratio).bit_length() - 1

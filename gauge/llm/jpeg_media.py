@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauge.llm.common import Tables, binary_column, runs, text_bytes
+from gauge.llm.common import Tables, binary_column, runs, text_bytes, trimmed
 
 #: Bytes of a unit, of its blocks; the byte that becomes coefficient 0; units of a row of the image at most.
 UNIT, BLOCK, ORIGIN, MOST_COLUMNS = 192, 64, 96, 1024
@@ -346,6 +346,7 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
 def to_media(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as UTF-8, filled with spaces to a positive multiple of 192, as a JPEG."""
 
+    @trimmed
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = binary_column(batch.column(1))
@@ -369,6 +370,7 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def media_features(media: DataFrame) -> DataFrame:
     """Reads stored media back: payload digests, dimensions and thumbnail hashes."""
 
+    @trimmed
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = binary_column(batch.column(2))

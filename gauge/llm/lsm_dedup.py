@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gauge.llm.common import Tables
+from gauge.llm.common import Tables, trimmed
 
 #: Rows of a memtable; log2 of the bits of a filter at most; its hash functions.
 MEMTABLE_ROWS, FILTER_BITS, HASHES = 1 << 18, 25, 4
@@ -53,6 +53,7 @@ def memtables(rows: DataFrame, size: int = MEMTABLE_ROWS) -> DataFrame:
         columns = [kept[c].combine_chunks() for c in ("digest", "doc_id", "row")]
         return pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names=["digest", "keep_id", "keep_row", "group_size"])
 
+    @trimmed
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -109,6 +110,7 @@ class DigestIndex:
         """``rows``, which have a digest, with ``may``: false if the filter knows that no other row has it."""
         shared = self.spark.sparkContext.broadcast(self.filter)
 
+        @trimmed
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = shared.value
             for batch in batches:
@@ -127,6 +129,7 @@ def hit_filter(merged: DataFrame) -> np.ndarray:
     hits = merged.where("group_size > 1").select("digest")
     bits = 1 << max(10, min(FILTER_BITS, (HASHES * 4 * hits.count()).bit_length()))
 
+    @trimmed
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 64, np.uint64)
         for batch in batches:

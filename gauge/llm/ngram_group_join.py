@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import Tables, binary_column, runs, set_digest, shingle_sets, text_bytes
+from gauge.llm.common import Tables, binary_column, runs, set_digest, shingle_sets, text_bytes, trimmed
 from gauge.llm.components import components, extended
 
 #: Words of a shingle; the least similarity, in percent.
@@ -53,6 +53,7 @@ def _long_lists(parts: list[np.ndarray]) -> pa.Array:
 def shingle_digests(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n, d1, d2) of every row, and in rows without n the shingles that one task met in several texts: (h, times)."""
 
+    @trimmed
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("h", pa.int64()), ("times", pa.int64())])
         met, held, often = [], 0, []
@@ -114,6 +115,7 @@ def prefixes(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], words:
     """(doc_id, n, prefix): the first shingles of each row in the global order (count where known, else 0; hash)."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
+    @trimmed
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for batch in batches:
@@ -143,6 +145,7 @@ def texts_of(documents: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
 def sets_of(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, shingles) of rows of (doc_id, text): sorted hashes, made anew from the texts."""
 
+    @trimmed
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _long_lists(list(shingle_sets(*binary_column(batch.column(1)), words)))], names=["doc_id", "shingles"])
@@ -165,6 +168,7 @@ def verified(pairs: DataFrame, documents: DataFrame, tables: Tables, words: int
     pairs = tables.keep("pairs", pairs)
     texts = texts_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * pairs.count())
 
+    @trimmed
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
@@ -336,6 +340,7 @@ def keyed(documents: DataFrame, rows: DataFrame, tables: Tables, words: int = WO
     new_rows = rows.join(sets, match(rows, sets, columns), "left").select(F.coalesce(sets["key"], rows["doc_id"]).alias("doc_id"), rows["n"], rows["d1"], rows["d2"], "own_id")
     some = texts.join(odd, match(texts, odd, ["doc_id"]), "left_semi")
 
+    @trimmed
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(s), *set_digest(s)) for s in shingle_sets(*binary_column(batch.column(1)), words)]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import cut_lineage, small_batches, text_bytes
+from gauge.llm.common import cut_lineage, small_batches, text_bytes, trimmed
 from gauge.llm.tokens import encoder, groups
 
 WINDOW, BIN, END_ID = 2048, 8, 1
@@ -40,6 +40,7 @@ def pieces(documents: DataFrame, path: str | None = None, window: int = WINDOW)
     path = path or vocabulary()
     end = END_ID.to_bytes(4, "little")
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced=False)
         for batch in batches:
@@ -160,6 +161,7 @@ def pack(documents: DataFrame, path: str | None = None, window: int = WINDOW, bi
         sequence += repeats
     table = {b: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for b, r in ranges.items()}
 
+    @trimmed
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, ranks = batch.column(batch.schema.get_field_index("bin")).to_numpy(), batch.column(batch.schema.get_field_index("rank")).to_numpy()

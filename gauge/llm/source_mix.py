@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gauge.llm.common import Words, binary_column, cut_lineage, runs, text_bytes
+from gauge.llm.common import Words, binary_column, cut_lineage, runs, text_bytes, trimmed
 
 #: Weights of the sources in code-point order, repeating; how many times its size a source may be taken.
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3
@@ -203,6 +203,7 @@ def taken_texts(documents: DataFrame, texts: DataFrame | None = None, seed: int
     # a document has as many pieces as blocks that it meets
     pieces_of = cut.join(used, ["sid", "block_no"]).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias("pieces")).drop("row")
 
+    @trimmed
     def passage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, taken = batch.schema.get_field_index("text"), batch.schema.get_field_index("pieces")

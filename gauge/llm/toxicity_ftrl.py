@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gauge.llm.common import Words, binary_column, mix, runs, text_bytes
+from gauge.llm.common import Words, binary_column, mix, runs, text_bytes, trimmed
 
 #: log2 of the number of buckets; labelled documents used at most, in expectation; documents of a shard.
 BITS, TRAINING_DOCUMENTS, SHARD_DOCUMENTS = 20, 24_000, 8_000
@@ -89,6 +89,7 @@ def fit(documents: DataFrame, labels: DataFrame, n_documents: int = TRAINING_DOC
     # the sample has a bound, so it can be sent to the documents instead of these to it
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
+    @trimmed
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [f.astype(np.int32).tobytes() for f in features(*binary_column(batch.column(1)))]
@@ -112,6 +113,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold:
     """doc_id, score (0 to 1) and predicted (1 if the score reaches ``threshold``) for every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions, values = shared.value
         weights = np.zeros(PRIOR + 1)
@@ -128,6 +130,7 @@ def without_toxic(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], th
     """The rows of ``documents`` whose score stays below ``threshold``; rows are scored where they are, without a join."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions, values = shared.value
         weights = np.zeros(PRIOR + 1)
