@@ -20,6 +20,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
 
+#: Bytes of texts whose words are looked for at once, or of one longer text; bytes that are hashed at once.
+RUN_BYTES, HASHED_BYTES = 1 << 20, 1 << 18
+
 #: A byte's value in a hash, ASCII capitals folded; never 0.
 FOLD = np.arange(1, 257, dtype=np.uint64)
 FOLD[0x41:0x5B] = FOLD[0x61:0x7B]
@@ -140,7 +143,7 @@ def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
-def runs(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(offsets: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of values with at most ``most`` bytes together, or one longer value."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -160,7 +163,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, HASHED_BYTES)
         steps, back = np.full(size, _P, dtype=np.uint64), np.full(size, _P_INVERSE, dtype=np.uint64)
         steps[0] = back[0] = 1
         _powers[:] = [np.multiply.accumulate(steps), np.multiply.accumulate(back)]
@@ -185,7 +188,7 @@ class Words:
         self.text = np.searchsorted(offsets, self.start, side="right") - 1
         self._data = data
 
-    def hashes(self, *longest: int, piece: int = 1 << 20) -> list[np.ndarray]:
+    def hashes(self, *longest: int, piece: int = HASHED_BYTES) -> list[np.ndarray]:
         """64-bit hashes of whole words, and of their first k bytes for each k in ``longest``."""
         out = [np.empty(len(self.start), dtype=np.uint64) for _ in range(1 + len(longest))]
         at = 0

@@ -42,6 +42,9 @@ BROADCAST_IDS = 2_000_000
 #: Rounds of pivots at most; pairs for each member of large blocks beyond which another round comes before pairing; blocks that a document remembers ahead of each of its blocks.
 PIVOT_ROUNDS, PAIRS_EACH, BEFORE = 4, 8, 32
 
+#: Bytes of texts that are verified at once.
+VERIFIED_BYTES = 2 << 20
+
 _LONGS = pa.list_(pa.int64())
 
 
@@ -172,7 +175,7 @@ def verified(pairs: DataFrame, documents: DataFrame, tables: Tables, words: int
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
-            for lo, hi in runs(binary_column(batch.column(2))[1] + binary_column(batch.column(3))[1], 8 << 20):
+            for lo, hi in runs(binary_column(batch.column(2))[1] + binary_column(batch.column(3))[1], VERIFIED_BYTES):
                 for i, p, q in zip(range(lo, hi), _sets(batch.column(2)[lo:hi], words), _sets(batch.column(3)[lo:hi], words), strict=True):
                     both = len(p) + len(q) - len(np.union1d(p, q))
                     good[i] = 100 * both >= percent * (len(p) + len(q) - both)

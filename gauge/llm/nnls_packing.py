@@ -27,6 +27,8 @@ from gauge.llm.tokens import encoder, groups
 WINDOW, BIN, END_ID = 2048, 8, 1
 #: Rows of a bucket, about, when pieces are ranked within a bin.
 BUCKET_ROWS = 1024
+#: Words that a worker's cache keeps, about; bytes of text encoded at once.
+CACHED, ENCODED_BYTES = 100_000, 1 << 20
 
 
 def vocabulary() -> str:
@@ -42,10 +44,10 @@ def pieces(documents: DataFrame, path: str | None = None, window: int = WINDOW)
 
     @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced=False)
+        encode = encoder(path, spaced=False, words=CACHED)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for lo, hi, texts in groups(batch.column(1)):
+            for lo, hi, texts in groups(batch.column(1), ENCODED_BYTES):
                 rows = []
                 for doc_id, ids in zip(doc_ids[lo:hi], encode.ids(texts), strict=True):
                     ids += end

@@ -35,11 +35,11 @@ class WordEncoder:
     ``spaced``: words keep the space before them (byte-level vocabularies); else spaces and case are dropped.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced, self.most = Tokenizer.from_file(path), spaced, words
         self.model = self.tokenizer.model
         self.one = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
@@ -77,7 +77,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         """Adds words, each with the space before it if words are spaced, and gives their ids."""
         for known in (self.stems, self.line_stems):
-            if len(known) > CACHE_STEMS:
+            if len(known) > CACHE_STEMS * self.most // CACHE_WORDS:
                 known.clear()
         lead, out, left = " " if self.spaced else "", [b""] * len(words), np.arange(len(words))
         column = pa.array(words, pa.large_string())
@@ -113,7 +113,7 @@ class WordEncoder:
                 self.words.update(again)
                 found = [again.get(w) if f is None else f for w, f in zip(words, found, strict=True)]
                 new = [i for i in new if found[i] is None]
-            if len(self.words) > CACHE_WORDS:
+            if len(self.words) > self.most:
                 self.older, self.words = self.words, {}
                 self.odd = {w for w in self.odd if w in self.older}.union(self.odd.intersection(words))
             for i, x in zip(new, self._learn([words[i] for i in new]), strict=True):
@@ -156,11 +156,11 @@ _encoders: dict[tuple[str, bool], WordEncoder] = {}
 worker_caches.append(_encoders)
 
 
-def encoder(path: str, spaced: bool) -> WordEncoder:
+def encoder(path: str, spaced: bool, words: int = CACHE_WORDS) -> WordEncoder:
     """This worker's encoder; its cache outlives tasks, until another operator's tasks need the memory."""
     if (path, spaced) not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced] = WordEncoder(path, spaced)
+        _encoders[path, spaced] = WordEncoder(path, spaced, words)
     pa.default_memory_pool().release_unused()
     return _encoders[path, spaced]
 
@@ -177,4 +177,5 @@ def groups(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, li
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         yield at, end, strings(column[at:end])
+        pa.default_memory_pool().release_unused()
         at = end
