@@ -7,31 +7,46 @@ root down, the element that holds nearly all varying text outside links, as long
 beside it. Names of elements, classes and roles only leave out menus, adverts, comments and the like within that
 place, and find the article on hosts with fewer than ``LEAST_PAGES`` distinct pages.
 
-Pages of a host are dealt to groups of about ``GROUP_PAGES`` by a hash, so that no host meets in one task; each
-group is a random sample of its host, and induces its own wrapper.
+A host has one wrapper. Its nodes come from at most ``WRAPPER_PAGES`` of its distinct pages, those with the
+smallest digests; the counts of texts in its nodes, and so templates and place, come from all its distinct pages,
+summed by Spark. So a page's text depends on its html and its host's distinct pages alone: not on how rows are dealt,
+nor on copies. Pages are distinct if the texts of their blocks are; each copy counts its share of one page.
+
+Html is never gathered by host, but for the pages that the wrappers are made from. Wrappers are sent to the tasks
+that read pages while all of them have ``SENT_BYTES`` at most; beyond, pages and wrappers meet by host, in parts.
 
 Defined results: null and empty html has empty text; a null or odd url makes a host of its own; a null page_id
-stays null; repeated rows repeat their result and count once among distinct pages; an empty table gives an empty
-result; further columns pass by unread. Within a block, every run of white space is one space; a line break is
-white space. A tag that no ``>`` ends before the page does ends the page. Elements may be nested without bound.
+stays null; repeated rows repeat their result; an empty table gives an empty result; further columns pass by
+unread. Within a block, every run of white space is one space; a line break is white space. A tag that no ``>``
+ends before the page does ends the page. Elements may be nested without bound.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
+import pickle
 import re
 import sys
+import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pages that are aligned together, about; distinct pages from which a wrapper is induced, at least; share of them that have one text in a template's node.
-GROUP_PAGES, LEAST_PAGES, CONSTANT_SHARE = 32, 4, 0.8
-#: Hosts whose page counts are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 1_000_000
+from gauge.llm.common import Tables, trimmed
+
+#: Distinct pages that give a wrapper its nodes, at most; that a host with a wrapper has, at least; share of them that have one text in a template's node.
+WRAPPER_PAGES, LEAST_PAGES, CONSTANT_SHARE = 64, 4, 0.8
+#: Bytes of wrappers, and rows of other tables, that are sent to all tasks at most; pages of a part of a host, about, where wrappers are not sent.
+SENT_BYTES, SENT_ROWS, PART_PAGES = 48 << 20, 1_000_000, 1024
+#: Wrappers that a task keeps ready; shapes of subtrees that it knows.
+READY_WRAPPERS, KNOWN_SHAPES = 256, 500_000
 #: Least share of its parent's varying text that the article's place holds; cells of a matching table that is kept whole (larger ones are matched in halves).
 PLACE_SHARE, TABLE_CELLS = 0.8, 1 << 21
 
@@ -158,9 +173,9 @@ def _shapes(root: Node, numbers: dict) -> int:
 
 
 class Slot:
-    """A node of a wrapper: how often each text stood there."""
+    """A node of a wrapper: its place in it, and the digests of its template texts."""
 
-    __slots__ = ("label", "children", "texts", "shape", "size", "weight")
+    __slots__ = ("label", "children", "shape", "size", "weight", "number", "constant")
 
     def __init__(self, node: Node):
         self._take(node)
@@ -177,8 +192,8 @@ class Slot:
             slot.size += sum([c.size for c in slot.children])
 
     def _take(self, node: Node) -> None:
-        self.label, self.texts, self.shape, self.weight = _label(node), {}, node.shape, 0
-        self.children, self.size = [], 1
+        self.label, self.shape, self.weight = _label(node), node.shape, 0
+        self.children, self.size, self.number, self.constant = [], 1, 0, frozenset()
 
 
 def match_size(a: Slot, b: Node, memo: dict) -> int:
@@ -257,12 +272,8 @@ def _chain(weights: list[np.ndarray], own: np.ndarray) -> tuple[int, list[tuple[
     return int(best[m, n]), pairs[::-1]
 
 
-def align(wrapper: Slot, page: Node, counted: bool, memo: dict) -> None:
-    """Matches a page to the wrapper, which takes on the page's other nodes, and its texts if it is ``counted``."""
-    page.slot = wrapper
-    if page.tag == "#" and counted:
-        text = " ".join(page.text.split())
-        wrapper.texts[text] = wrapper.texts.get(text, 0) + 1
+def align(wrapper: Slot, page: Node, memo: dict) -> None:
+    """Matches a page to the wrapper, which takes on the page's other nodes."""
     own = _elements(page)
     if not own:
         return
@@ -272,11 +283,9 @@ def align(wrapper: Slot, page: Node, counted: bool, memo: dict) -> None:
     for j, node in enumerate(own):
         if j in matched:
             after = matched[j]
-            align(wrapper.children[after], node, counted, memo)
+            align(wrapper.children[after], node, memo)
         else:
-            slot = Slot(node)
-            added.append((after, slot))
-            align(slot, node, counted, memo)
+            added.append((after, Slot(node)))
     if added:
         children, k = [], 0
         for i in range(-1, len(wrapper.children)):
@@ -290,6 +299,67 @@ def align(wrapper: Slot, page: Node, counted: bool, memo: dict) -> None:
         wrapper.shape = -1  # like no page's any more
 
 
+def fit(wrapper: Slot, page: Node, memo: dict) -> None:
+    """Gives a page's nodes their slots in a wrapper that stays as it is; nodes without one keep none."""
+    page.slot = wrapper
+    own = _elements(page)
+    if own:
+        for i, j in _table(wrapper, own, memo)[1]:
+            fit(wrapper.children[i], own[j], memo)
+
+
+@contextmanager
+def _deep(depth: int) -> Iterator[None]:
+    """Within it, functions may call themselves down trees of this depth."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 8 * depth + 10_000))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def induced(pages: list[str]) -> Slot:
+    """The wrapper of some pages of one host."""
+    trees, numbers = [parse(p) for p in pages], {}
+    with _deep(max([_shapes(tree, numbers) for tree in trees])):
+        wrapper = Slot(trees[0])
+        for tree in trees:
+            align(wrapper, tree, {})
+    return wrapper
+
+
+def to_bytes(wrapper: Slot) -> bytes:
+    """A wrapper's nodes, each before its children, with their labels and numbers of children."""
+    out, todo = [], [wrapper]
+    while todo:
+        slot = todo.pop()
+        out.append((slot.label, len(slot.children)))
+        todo += slot.children[::-1]
+    return zlib.compress(pickle.dumps(out))
+
+
+def from_bytes(data: bytes, numbers: dict) -> tuple[Slot, int]:
+    """The wrapper with its nodes numbered in their order, and its depth; ``numbers`` are those of the shapes."""
+    slots: list[Slot] = []
+    open_: list[tuple[Slot, int]] = []
+    deepest = 0
+    for label, n in pickle.loads(zlib.decompress(data)):
+        slot = Slot.__new__(Slot)
+        slot.label, slot.children, slot.size, slot.weight, slot.number, slot.constant = label, [], 1, 0, len(slots), frozenset()
+        while open_ and len(open_[-1][0].children) == open_[-1][1]:
+            open_.pop()
+        if open_:
+            open_[-1][0].children.append(slot)
+        open_.append((slot, n))
+        deepest = max(deepest, len(open_))
+        slots.append(slot)
+    for slot in reversed(slots):
+        slot.size += sum([c.size for c in slot.children])
+        slot.shape = numbers.setdefault((slot.label, tuple([c.shape for c in slot.children])), len(numbers))
+    return slots[0], deepest
+
+
 def _inside(node: Node) -> bool:
     """Whether an element is within an article, or where the wrapper says that it is."""
     up = node.parent
@@ -392,17 +462,19 @@ def main_text(page: Node) -> str:
 HEADINGS = frozenset("h1 h2 h3".split())
 
 
-def _weigh(root: Slot, need: float) -> None:
-    """Gives each slot the length of its texts that vary and are not in links."""
+_LINKS = frozenset(("a", "button", "select", "option", *RAW))
+
+
+def _weigh(root: Slot, own: dict[int, float]) -> None:
+    """Gives each slot the length of its texts that vary and are not in links; ``own`` has each slot's, by number."""
     order, inside = [root], {id(root): False}
     for slot in order:
-        link = inside[id(slot)] or slot.label[0] in ("a", "button", "select", "option") or slot.label[0] in RAW
+        link = inside[id(slot)] or slot.label[0] in _LINKS
         for c in slot.children:
             inside[id(c)] = link
             order.append(c)
     for slot in reversed(order):
-        own = 0 if inside[id(slot)] else sum([len(t) * n for t, n in slot.texts.items() if n < need])
-        slot.weight = own + sum([c.weight for c in slot.children])
+        slot.weight = (0 if inside[id(slot)] or slot.label[0] in _LINKS else own.get(slot.number, 0)) + sum([c.weight for c in slot.children])
 
 
 def _has(slot: Slot, tags: frozenset) -> bool:
@@ -415,9 +487,9 @@ def _has(slot: Slot, tags: frozenset) -> bool:
     return False
 
 
-def place_of(root: Slot, need: float) -> Slot | None:
+def place_of(root: Slot, own: dict[int, float]) -> Slot | None:
     """The slot of the article: from the root down, the element with nearly all varying text, up to where a heading stands beside it."""
-    _weigh(root, need)
+    _weigh(root, own)
     at = root
     while True:
         elements = [c for c in at.children if c.label[0] != "#" and c.label[0] not in INLINE]
@@ -432,62 +504,203 @@ def place_of(root: Slot, need: float) -> Slot | None:
     return at if at.label[0] not in ("#root", "html", "body") else None
 
 
-def extract(pages: list[str]) -> list[str]:
-    """The main texts of pages of one host, from the wrapper that they induce together."""
-    trees = [parse(p) for p in pages]
-    first: dict[str, int] = {}
-    for i, tree in enumerate(trees):  # copies of an article count once
-        first.setdefault("\n".join(blocks(tree)), i)
-    distinct = set(first.values())
-    if len(distinct) >= LEAST_PAGES:
-        numbers: dict = {}
-        depth = max([_shapes(tree, numbers) for tree in trees])
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 8 * depth + 10_000))
-        try:
-            wrapper = Slot(trees[min(distinct)])
-            for i in sorted(range(len(trees)), key=lambda i: i not in distinct):
-                align(wrapper, trees[i], i in distinct, {})
-        finally:
-            sys.setrecursionlimit(limit)
-        need = CONSTANT_SHARE * len(distinct)
-        place = place_of(wrapper, need)
-        for tree in trees:
-            _mark(tree, need, place)
-    return [main_text(t) for t in trees]
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
 
+def _texts(root: Node) -> Iterator[tuple[Node, int, bool]]:
+    """The texts of a page that was fitted, with the number of the nearest node's slot, and whether they count as varying for sure."""
+    todo = [(root, 0, False)]
+    while todo:
+        node, number, link = todo.pop()
+        if node.tag == "#":
+            if node.slot is not None:
+                yield node, node.slot.number, False
+            elif not link and not node.text.isspace():
+                yield node, number, True
+            continue
+        number = node.slot.number if node.slot is not None else number
+        link = link or node.slot is None and node.tag in _LINKS
+        todo += [(c, number, link) for c in node.children]
 
-def _mark(root: Node, need: float, place: Slot | None) -> None:
-    """Marks the article's place, and as template texts whose slot has that very text on most of the distinct pages."""
+
+def _mark(root: Node, place: Slot | None) -> None:
+    """Marks the article's place, and texts that are template in their slot."""
     todo = [root]
     while todo:
         node = todo.pop()
         if node.slot is None:
             continue
         if node.tag == "#":
-            node.template = node.slot.texts.get(" ".join(node.text.split()), 0) >= need
+            node.template = bool(node.slot.constant) and _digest(" ".join(node.text.split())) in node.slot.constant
         else:
             node.place = node.slot is place
             todo += node.children
 
 
+class Wrappers:
+    """Wrappers of hosts, as they are needed; ``find`` gives a host's row, or None."""
+
+    def __init__(self, find: Callable[[str], dict | None]):
+        self.find, self.ready, self.numbers = find, {}, {}
+
+    def fitted(self, host_name: str, page: str) -> tuple[Node, Slot | None, bool]:
+        """A page's tree with its slots, the article's place, and whether its host has a wrapper."""
+        tree, row = parse(page), self.find(host_name)
+        if row is None:
+            return tree, None, False
+        if len(self.numbers) > KNOWN_SHAPES or len(self.ready) > READY_WRAPPERS:
+            self.ready, self.numbers = {}, {}
+        if host_name not in self.ready:
+            wrapper, depth = from_bytes(row["wrapper"], self.numbers)
+            place = place_of(wrapper, {x["number"]: x["chars"] for x in row["weights"]}) if row.get("weights") is not None else None
+            constant: dict[int, set[int]] = {}
+            for x in row.get("constants") or ():
+                constant.setdefault(x["number"], set()).add(x["digest"])
+            todo = [wrapper] if constant else []
+            while todo:
+                slot = todo.pop()
+                slot.constant = frozenset(constant.get(slot.number, ()))
+                todo += slot.children
+            self.ready[host_name] = wrapper, depth, place, {}
+        wrapper, depth, place, memo = self.ready[host_name]
+        with _deep(depth + _shapes(tree, self.numbers)):
+            fit(wrapper, tree, memo)
+        return tree, place, True
+
+
 def host(url: str = "url") -> F.Column:
     """The host of a url, lower-cased; an odd url stands for itself."""
     found = F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     return F.when(found != "", found).otherwise(F.coalesce(F.col(url), F.lit("")))
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    return own.withColumns({"host": host(), "page": F.unhex(F.md5("html"))})
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """host, page (digest of the html) and content (digest of its blocks' texts), with the number of such rows."""
+
+    @trimmed
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashlib.md5("\n".join(blocks(parse(p))).encode("utf-8", "surrogatepass")).digest() for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["host", "page", "content"])
+
+    return rows.select("host", "page", "html").mapInArrow(digests, "host string, page binary, content binary").groupBy("host", "page", "content").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def _wrappers(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """host, n (its distinct pages) and wrapper of hosts with pages enough; ``contents`` has one row for each of them."""
+    order = F.row_number().over(W.partitionBy("host").orderBy("content"))
+    sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    chosen = contents.withColumn("place", order).where(F.col("place") <= WRAPPER_PAGES).join(sizes, "host", "left_semi").select("host", "page", "place")
+    htmls = rows.select("host", "page", "html").join(_small(chosen), ["host", "page"])
+
+    @trimmed
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # at most the pages that are chosen
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            keep = []
+            for k in keys:
+                keep.append(k not in seen)
+                seen.add(k)
+            yield batch.filter(pa.array(keep))
+
+    def induce(group: pa.Table) -> pa.Table:
+        pages = dict(zip(group["place"].to_pylist(), group["html"].to_pylist(), strict=True))
+        return pa.table({"host": group["host"][:1], "wrapper": pa.array([to_bytes(induced([pages[k] for k in sorted(pages)]))], pa.binary())})
+
+    few = htmls.select("host", "place", "html").mapInArrow(once, "host string, place int, html string")
+    return few.groupBy("host").applyInArrow(induce, "host string, wrapper binary").join(sizes, "host")
+
+
+def _each(rows: DataFrame, models: DataFrame, work: Callable[[Wrappers, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on batches of ``rows``, which have host, with the wrappers of their hosts."""
+    size = models.agg(F.sum(F.length("wrapper") + 200)).first()[0] or 0
+    if size <= SENT_BYTES:
+        sent = rows.sparkSession.sparkContext.broadcast({r["host"]: r.asDict() for r in models.collect()})  # of a size that was just checked
+
+        @trimmed
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wrappers = Wrappers(sent.value.get)
+            for batch in batches:
+                yield work(wrappers, batch)
+
+        return rows.mapInArrow(alone, schema)
+    parts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PART_PAGES).cast("int").alias("parts"))
+    dealt = rows.join(_small(parts), "host").withColumn("part", F.pmod(F.xxhash64("page", F.rand(7)), F.col("parts")).cast("int")).select("part", *rows.columns)
+    copies = models.join(parts, "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def together(group: pa.Table, model: pa.Table) -> pa.Table:
+        own = model.to_pylist()
+        wrappers = Wrappers(lambda _: own[0] if own else None)
+        group = group.drop_columns(["part"])
+        return pa.Table.from_batches([work(wrappers, b) for b in group.to_batches() or [pa.RecordBatch.from_pylist([], schema=group.schema)]])
+
+    return dealt.groupBy("host", "part").cogroup(copies.groupBy("host", "part")).applyInArrow(together, schema)
+
+
+def _counted(wrappers: Wrappers, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """How many distinct pages have a text in a slot, and how long it is; null for texts without a slot."""
+    total: dict[tuple, list[float]] = {}
+    for name, page, share in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+        tree, _, has = wrappers.fitted(name, page)
+        for node, number, varies in _texts(tree) if has else ():
+            text = " ".join(node.text.split())
+            entry = total.setdefault((name, number, None if varies else _digest(text)), [0.0, 0.0])
+            entry[0] += share
+            entry[1] += share * len(text)
+    keys = list(total)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array([total[k][0] for k in keys], pa.float64()), pa.array([total[k][1] for k in keys], pa.float64())],
+        names=["host", "number", "digest", "n", "chars"],
+    )
+
+
+def _extracted(wrappers: Wrappers, batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for name, page in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        tree, place, has = wrappers.fitted(name, page)
+        if has:
+            _mark(tree, place)
+        out.append(main_text(tree))
+    return pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
+def models(rows: DataFrame, tables: Tables) -> DataFrame:
+    """The wrapper of each host with pages enough, its template texts and the lengths of its varying texts, by slot."""
+    distinct = tables.keep("distinct", _distinct(rows))
+    contents = tables.keep("contents", distinct.groupBy("host", "content").agg(F.min("page").alias("page"), F.sum("rows").alias("copies")))
+    wrappers = tables.keep("wrappers", _wrappers(rows, contents))
+    again = distinct.join(contents.where("copies > 1").select("host", "content", "copies"), ["host", "content"]).select("host", "page", "copies")
+    weighted = rows.select("host", "page", "html").join(_small(again), ["host", "page"], "left")
+    weighted = weighted.select("host", "page", "html", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    counts = _each(weighted, wrappers, _counted, "host string, number int, digest long, n double, chars double")
+    pages = wrappers.select("host", F.col("n").alias("pages"))
+    sums = counts.groupBy("host", "number", "digest").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).join(_small(pages), "host")
+    constant = F.col("digest").isNotNull() & (F.col("n") >= CONSTANT_SHARE * F.col("pages") - 1e-6)
+    slots = sums.groupBy("host", "number").agg(F.sum(F.when(~constant, F.col("chars"))).alias("chars"), F.collect_list(F.when(constant, F.col("digest"))).alias("digests"))
+    # a row a slot of the wrapper; at most one text is that common in it
+    told = slots.groupBy("host").agg(
+        F.collect_list(F.when(F.col("chars") > 0, F.struct("number", "chars"))).alias("weights"),
+        F.flatten(F.collect_list(F.transform("digests", lambda d: F.struct("number", d.alias("digest"))))).alias("constants"),
+    )
+    return tables.keep("models", wrappers.join(told, "host", "left"))
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host())
-    counts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAGES).cast("long").alias("parts")).where("parts > 1")
-    if counts.count() <= BROADCAST_HOSTS:
-        counts = F.broadcast(counts)
-    dealt = rows.join(counts, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long"))))
-
-    def texts(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        found = extract(group["html"].to_pylist())
-        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(found, pa.string()), "n_chars": pa.array([len(x) for x in found], pa.int64())})
-
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(texts, "page_id long, url string, text string, n_chars long")
+    tables = Tables(pages.sparkSession, "wrappers")
+    rows = _rows(pages)
+    found = models(rows, tables)
+    tables.drop("distinct", "contents", "wrappers")
+    return _each(rows.select("host", "page", "page_id", "url", "html"), found, _extracted, "page_id long, url string, text string, n_chars long")
