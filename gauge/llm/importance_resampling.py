@@ -10,8 +10,8 @@ Labels are learned from rows whose crc32(doc_id as text) mod 4 is not 2. The tar
 sample of labelled documents; the raw model counts every document.
 
 Defined results: null and empty texts have the log weight 0; null labels are not used; without good labels
-all weights are 0; ties are broken by doc_id, then arbitrarily among repeated rows, which are documents of
-their own; an empty table gives an empty result; further columns pass by unread.
+all weights are 0; ties go to the smallest doc_id, rows without one first, then to any of the repeated rows, which
+are documents of their own, so that exactly k rows are selected; an empty table gives an empty result; further columns pass by unread.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gauge.llm.common import Words, binary_column, cut_lineage, mix, runs, text_bytes, trimmed
+from gauge.operators.catalog import numbered
 
 #: log2 of the number of n-gram buckets; labelled documents that the target model counts, in expectation; pseudocount.
 BITS, TARGET_DOCUMENTS, PSEUDOCOUNT = 16, 50_000, 1.0
@@ -124,15 +125,15 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def resample(documents: DataFrame, ratio: np.ndarray, share: float, seed: int = 3) -> DataFrame:
     """Every row: doc_id, log_weight, n_grams, key and selected, true for the round(share * rows) largest keys."""
-    rated = cut_lineage(weigh(documents, ratio, seed))
+    # rows are numbered once: the checkpoint keeps the numbers
+    rated = cut_lineage(weigh(documents, ratio, seed).withColumn("row", F.monotonically_increasing_id()))
     n = rated.count()
-    k = round(share * n)
+    k = min(n, round(share * n))
     if not k:
-        return rated.withColumn("selected", F.lit(False))
+        return rated.drop("row").withColumn("selected", F.lit(False))
     least = kth_largest(rated.select("key"), k)
     room = k - rated.where(F.col("key") > least).count()
-    # rows that tie with the k-th key: as many as there is room for, smallest doc_id first
-    ties = rated.where(F.col("key") == least)
-    last = ties.select("doc_id").orderBy(F.asc_nulls_first("doc_id")).limit(room).agg(F.max("doc_id")).first()[0]
-    tie = (F.col("key") == least) & (F.col("doc_id").isNull() | (F.col("doc_id") <= F.lit(last)))
-    return rated.withColumn("selected", (F.col("key") > least) | F.coalesce(tie, F.lit(False)))
+    # rows that tie with the k-th key: as many as there is room for, smallest doc_id first, then by the row's number
+    ties = numbered(rated.where(F.col("key") == least), [F.col("doc_id").asc_nulls_first(), F.col("row").asc()])
+    others = rated.where(F.col("key") != least).withColumn("selected", F.col("key") > least)
+    return others.unionByName(ties.withColumn("selected", F.col("place") <= room).drop("place")).drop("row")
