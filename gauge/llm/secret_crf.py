@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns plus a linear-chain conditional random field decoded by Viterbi.
 
 The field tags each token as secret begin, inside or outside. Its features are the token's shape, the
-neighbouring words and separators, and features of the file. Tokens without a digit or shorter than
-``MIN_TOKEN`` characters can only be outside: such tokens cut a text's chain into short independent
-chains, so decoding the rest is exact for the whole text. The field is trained here on weak labels:
-tokens in pattern matches of a bounded sample of documents, and lines made by a rule.
+neighbouring words and separators, and features of the file. Every token of a text is an element of its chain.
+Where a token's score as outside is so far above its others that no choice of its neighbours can make up for it, the
+best labelling has it outside; such tokens cut a text's chain into short ones, so decoding the rest is exact for the
+whole text. The field is trained here on weak labels: tokens in pattern matches of a bounded sample of documents,
+the words around them and other passages, and lines made by a rule.
 
 Defined results: null and empty texts have no spans; repeated rows repeat their result; an empty table
 gives an empty result; further columns of the input pass by unread.
@@ -12,7 +13,6 @@ gives an empty result; further columns of the input pass by unread.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -29,9 +29,8 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 
-#: Documents, chosen by hash, from which training tokens come, in expectation; chains a document gives at most.
-TRAINING_DOCUMENTS, TRAINING_CHAINS = 8192, 64
-MIN_TOKEN = 8
+#: Documents, chosen by hash, from which training tokens come, in expectation; passages that each gives at most, and their tokens.
+TRAINING_DOCUMENTS, PASSAGES, PASSAGE_TOKENS = 2048, 4, 16
 O, B, I = 0, 1, 2  # noqa: E741
 _HEX_BYTES, _DIGITS = np.zeros(256, bool), np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = _DIGITS[list(b"0123456789")] = True
@@ -42,10 +41,13 @@ _TOKEN[:] = _UPPER | _LOWER | _DIGITS | _MARKS
 _TOKEN[0x80:] = True
 _WORDS = 1024  # buckets of neighbouring words
 #: Where each group of features begins; a token has one feature of each group.
-_GROUPS = {"length": 12, "digits": 8, "case": 4, "hex": 2, "marks": 4, "changes": 8, "before": 256, "after": 256, "previous": _WORDS, "earlier": _WORDS, "next": _WORDS, "file digits": 8, "file names": 2, "file mean length": 6}
+_GROUPS = {"length": 12, "digits": 8, "case": 4, "hex": 2, "marks": 4, "changes": 8, "inner capitals": 4, "before": 256, "after": 256, "previous": _WORDS, "earlier": _WORDS, "next": _WORDS, "file digits": 8, "file names": 2, "file mean length": 6}
 _BASE = np.concatenate([[0], np.cumsum(list(_GROUPS.values()))])
 
 
+_NAMED = re.compile(rb"password|passwd|secret|token|api_?key|credential", re.IGNORECASE)
+
+
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes of the fixed patterns' matches: leftmost, not overlapping within a kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
@@ -71,85 +73,87 @@ def _may_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chains(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate tokens of some texts: text, start, end, features (a row each), and whether a token begins a chain."""
+    """Tokens of some texts: text, start, end, features (a row each), and whether a token begins its text's chain."""
     words = Words(data, offsets, _TOKEN)
-    if not len(words.start):
-        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, len(_GROUPS)), np.int32), np.zeros(0, bool))
     start, end, text = words.start, words.end, words.text
-    sums = {n: np.concatenate([[0], np.cumsum(x[data], dtype=np.int32)]) for n, x in (("d", _DIGITS), ("u", _UPPER), ("l", _LOWER), ("m", _MARKS), ("h", _HEX_BYTES))}
-    per = {n: s[end] - s[start] for n, s in sums.items()}
-    size = end - start
-    pick = np.flatnonzero((size >= MIN_TOKEN) & (per["d"] > 0))
-    if not len(pick):
+    if not len(start):
         return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, len(_GROUPS)), np.int32), np.zeros(0, bool))
+    n = end - start
+
+    def per(of: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(of, dtype=np.int32)])
+        return sums[end] - sums[start]
+
+    digit, upper, lower = _DIGITS[data], _UPPER[data], _LOWER[data]
+    digits = per(digit)
+    kind = (digit * 1 + (upper | lower) * 2).astype(np.int8)
+    changes = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1], dtype=np.int32)])
+    inner = np.concatenate([[0], np.cumsum(upper[1:] & lower[:-1], dtype=np.int32)])
     word = np.zeros(len(start) + 4, dtype=np.int64)
-    near = np.unique(np.concatenate([pick - 2, pick - 1, pick + 1]))
-    near = near[(near >= 0) & (near < len(start))]
-    for i in near:  # few tokens stand beside a candidate
-        word[i + 2] = _bucket(data[start[i] : end[i]].tobytes())
-    kind = (_DIGITS[data] * 1 + (_UPPER[data] | _LOWER[data]) * 2).astype(np.int8)
-    changes = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1], dtype=np.int32), [0]])
+    word[2:-2] = 1 + (words.hashes()[0] % np.uint64(_WORDS - 1)).astype(np.int64)
     texts = np.arange(len(offsets) - 1)
-    count = np.searchsorted(text, texts, side="right") - np.searchsorted(text, texts)
+    first = np.searchsorted(text, texts)
+    count = np.searchsorted(text, texts, side="right") - first
     n_bytes = np.maximum(np.diff(offsets), 1)
-    share = (sums["d"][offsets[1:]] - sums["d"][offsets[:-1]]) / n_bytes
-    named = np.zeros(len(texts), np.int64)
-    for i in np.unique(text[pick]):
-        named[i] = re.search(rb"(?i)password|passwd|secret|token|api_?key|credential", data[offsets[i] : offsets[i + 1]].tobytes()) is not None
-    p, n = pick, size[pick]
-
-    def same(i: np.ndarray) -> np.ndarray:
-        ok = (i >= 0) & (i < len(start))
-        return ok & (text[np.clip(i, 0, len(start) - 1)] == text[p])
-
-    before, after = start[p] - 1, end[p]
+    total = np.concatenate([[0], np.cumsum(digit, dtype=np.int64)])
+    share = (total[offsets[1:]] - total[offsets[:-1]]) / n_bytes
+    named = np.array([_NAMED.search(data[a:b].tobytes()) is not None for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
+    begins = np.append(True, text[1:] != text[:-1])
+    at = np.arange(len(start)) - first[text]
+    left, before, after = count[text] - 1 - at, start - 1, end
     columns = [
-        np.minimum(n // 4, 11), np.minimum(per["d"][p] * 8 // n, 7), (per["u"][p] > 0) * 2 + (per["l"][p] > 0), (per["h"][p] == n) * 1, np.minimum(per["m"][p], 3),
-        np.minimum((changes[end[p] - 1] - changes[start[p]]) * 16 // n, 7),
-        np.where(before >= offsets[text[p]], data[np.clip(before, 0, len(data) - 1)], 0), np.where(after < offsets[text[p] + 1], data[np.clip(after, 0, len(data) - 1)], 0),
-        np.where(same(p - 1), word[p + 1], 0), np.where(same(p - 2), word[p], 0), np.where(same(p + 1), word[p + 3], 0),
-        np.minimum((share[text[p]] * 50).astype(np.int64), 7), named[text[p]], np.minimum(n_bytes[text[p]] // np.maximum(count[text[p]], 1) // 2, 5),
+        np.minimum(n // 4, 11), np.minimum(digits * 8 // n, 7), (per(upper) > 0) * 2 + (per(lower) > 0), (per(_HEX_BYTES[data]) == n) * 1, np.minimum(per(_MARKS[data]), 3),
+        np.minimum((changes[end - 1] - changes[start]) * 16 // n, 7), np.minimum(inner[end - 1] - inner[start], 3),
+        np.where(before >= offsets[text], data[np.maximum(before, 0)], 0), np.where(after < offsets[text + 1], data[np.minimum(after, len(data) - 1)], 0),
+        np.where(at >= 1, word[1:-3], 0), np.where(at >= 2, word[:-4], 0), np.where(left >= 1, word[3:-1], 0),
+        np.minimum((share[text] * 50).astype(np.int64), 7), named[text], np.minimum(n_bytes[text] // np.maximum(count[text], 1) // 2, 5),
     ]
-    begins = np.ones(len(p), bool)
-    begins[1:] = (p[1:] != p[:-1] + 1) | (text[p[1:]] != text[p[:-1]])
-    return text[p], start[p], end[p], (np.stack(columns, axis=1) + _BASE[:-1]).astype(np.int32), begins
-
-
-def _bucket(word: bytes) -> int:
-    return 1 + int.from_bytes(hashlib.blake2b(word.lower(), digest_size=4).digest(), "little") % (_WORDS - 1)
+    features = np.empty((len(start), len(_GROUPS)), np.int32)
+    for g, column in enumerate(columns):
+        features[:, g] = column + _BASE[g]
+    return text, start, end, features, begins
 
 
 def made_lines(seed: int = 7) -> list[tuple[bytes, list[tuple[int, int]]]]:
-    """Training lines made by a rule, with their secrets' places: assignments of random values, and plain numbers, dates and addresses."""
+    """Training lines made by a rule, with their secrets' places: assignments of random values, and the same names before plain words, numbers, dates and addresses."""
     r, out = random.Random(seed), []
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
-    for _ in range(400):
+    vowels, others = "aeiou", "bcdfghklmnprstvw"
+    plain_word = lambda: "".join(r.choice(others) + r.choice(vowels) + (r.choice(others) if r.random() < 0.4 else "") for _ in range(r.randint(1, 4)))
+    prose = lambda n: " ".join(plain_word().capitalize() if r.random() < 0.15 else plain_word() for _ in range(n))
+    for _ in range(700):
         key = r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "credential", "credentials", "access key", "private key", "auth", "bearer"])
-        value = draw(letters[:6] + digits, r.choice([18, 24, 32, 40])) if r.random() < 0.5 else draw(letters + letters.upper() + digits, r.randint(12, 40)) + "7x1"
+        value = r.choice([lambda: draw(letters[:6] + digits, r.choice([18, 24, 32, 40])), lambda: draw(letters + letters.upper() + digits, r.randint(8, 40)), lambda: draw(letters + letters.upper(), r.randint(10, 32))])()
         quote = r.choice(["", '"', "'"])
-        line = f"{draw(letters, 6)} {key}{r.choice(['=', ': ', ' = ', ' '])}{quote}"
-        out.append((f"{line}{value}{quote} {draw(letters, 4)} 1{draw(digits, 9)} {draw(letters, 7)}".encode(), [(len(line), len(line) + len(value))]))
-        plain = [f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", draw(digits, r.choice([8, 10, 13, 16])), f"+{draw(digits, 11)}", f"{draw(letters, 7)}{r.randint(1, 99)} at mail", f"order-{draw(digits, 6)}", f"www/{draw(letters, 6)}/{draw(digits, 4)}"]
-        out.append((f"{draw(letters, 5)} {r.choice(plain)} {draw(letters, 8)} {r.choice(plain)} {draw(letters, 4)}".encode(), []))
+        line = f"{prose(r.randint(0, 6))} {key}{r.choice(['=', ': ', ' = ', ':'])}{quote}"
+        out.append((f"{line}{value}{quote} {prose(r.randint(1, 8))}".encode(), [(len(line), len(line) + len(value))]))
+        plain = [f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", draw(digits, r.choice([4, 8, 10, 13, 16])), f"+{draw(digits, 11)}", f"{plain_word()}{r.randint(1, 99)} at mail", f"order-{draw(digits, 6)}", f"www/{plain_word()}/{draw(digits, 4)}", plain_word().upper() + plain_word(), prose(2)]
+        out.append((f"{prose(r.randint(1, 8))} {r.choice(plain)} {plain_word()} {r.choice(plain)} {prose(3)}".encode(), []))
+        out.append((f"{prose(r.randint(0, 4))} {key}{r.choice([' ', ', ', ': ', ' = '])}{prose(r.randint(1, 5))}".encode(), []))
     return out
 
 
 def weak_labels(texts: list[bytes], known: list[list[tuple[int, int]]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and chain starts of the candidates in some texts; tokens in a fixed pattern's match or a known place are secrets."""
+    """Features, labels and chain starts of the tokens in some texts; tokens in a fixed pattern's match or a known place are secrets."""
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     text, start, end, features, begins = chains(data, offsets)
-    labels, spans = np.zeros(len(text), np.int8), {i: base_spans(texts[i]) + [(a, 3, b) for a, b in (known[i] if known else [])] for i in np.unique(text)}
-    for j, (i, s, e) in enumerate(zip(text, start - offsets[text], end - offsets[text], strict=True)):
-        for a, kind, b in spans[i]:
-            if a < e and s < b and not (kind == 0 and s == a):
-                earlier = j > 0 and labels[j - 1] and not begins[j] and start[j - 1] - offsets[i] >= a
-                labels[j] = I if earlier else B
-                break
+    labels = np.zeros(len(text), np.int8)
+    for i, t in enumerate(texts):
+        for a, b in secret_values(t) + (known[i] if known else []):
+            lo, hi = np.searchsorted(end, offsets[i] + a, side="right"), np.searchsorted(start, offsets[i] + b)
+            labels[lo:hi] = I
+            labels[lo : min(hi, lo + 1)] = B
     return features, labels, begins
 
 
-def train(features: np.ndarray, labels: np.ndarray, begins: np.ndarray, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-4, longest: int = 32) -> dict[str, np.ndarray]:
+def secret_values(text: bytes) -> list[tuple[int, int]]:
+    """Where the fixed patterns' matches have their secrets: without the names that are assigned to."""
+    found = [m.span(2) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    return found + [(a, b) for a, kind, b in base_spans(text) if kind]
+
+
+def train(features: np.ndarray, labels: np.ndarray, begins: np.ndarray, rounds: int = 80, rate: float = 0.15, ridge: float = 1e-4, longest: int = 32) -> dict[str, np.ndarray]:
     """Weights of the field, by batch gradient steps (Adam) on the mean log-likelihood of the chains."""
     chain = np.cumsum(begins) - 1
     first = np.flatnonzero(begins)
@@ -232,13 +236,50 @@ def viterbi(emit: np.ndarray, begins: np.ndarray, move: np.ndarray) -> np.ndarra
     return labels
 
 
+def surely_outside(emit: np.ndarray, begins: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Tokens that are outside in the best labelling, whatever their neighbours are.
+
+    If a token has another label, calling it outside instead is no worse for any labels around it: where an inside
+    token follows, which may not follow an outside one, that one becomes a beginning.
+    """
+    o, sure = emit[:, O], np.ones(len(emit), bool)
+    next_ = np.zeros_like(emit)
+    next_[:-1] = emit[1:]
+    last = np.append(begins[1:], True)
+    for x in (B, I):
+        entered = (move[:, x] - move[:, O]).max()  # what x may gain over outside by the label before
+        left = max(move[x, c] - move[O, c] for c in (O, B))
+        sure &= o - emit[:, x] > entered + left + 1e-9
+        rest = (move[I] - move[B]).max()
+        turned = move[x, I] - move[O, B] + next_[:, I] - next_[:, B] + rest
+        sure &= last | (o - emit[:, x] > entered + turned + 1e-9)
+    return sure
+
+
+def decoded(emit: np.ndarray, begins: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The best labels of whole chains; sure tokens cut them, the rest is decoded."""
+    labels = np.zeros(len(emit), np.int8)
+    open_ = np.flatnonzero(~surely_outside(emit, begins, move))
+    if len(open_):
+        starts = begins[open_] | np.append(True, open_[1:] != open_[:-1] + 1)
+        labels[open_] = viterbi(emit[open_], starts, move)
+    return labels
+
+
+def scores(features: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(features), 3))
+    for g in range(features.shape[1]):
+        out += emit[features[:, g]]
+    return out
+
+
 def field_spans(data: np.ndarray, offsets: np.ndarray, model: dict[str, np.ndarray]) -> dict[int, list[tuple[int, int]]]:
     """For texts that have any: (start, end) in bytes of the spans the field tags."""
     text, start, end, features, begins = chains(data, offsets)
     out: dict[int, list[tuple[int, int]]] = {}
     if not len(text):
         return out
-    labels = viterbi(model["emit"][features].sum(axis=1), begins, model["move"])
+    labels = decoded(scores(features, model["emit"]), begins, model["move"])
     for j in np.flatnonzero(labels):
         own = out.setdefault(int(text[j]), [])
         s, e = int(start[j] - offsets[text[j]]), int(end[j] - offsets[text[j]])
@@ -249,8 +290,35 @@ def field_spans(data: np.ndarray, offsets: np.ndarray, model: dict[str, np.ndarr
     return out
 
 
+def beside(span: tuple[int, int], taken: list[tuple[int, int]], text: bytes) -> list[tuple[int, int]]:
+    """The parts of a span outside other ones, without separators at their ends."""
+    parts, at = [], span[0]
+    for a, b in sorted(taken):
+        parts.append((at, min(a, span[1])))
+        at = max(at, b)
+    parts.append((at, span[1]))
+    out = []
+    for a, b in parts:
+        own = np.flatnonzero(_TOKEN[np.frombuffer(text[a:b], np.uint8)]) if a < b else []
+        if len(own):
+            out.append((a + int(own[0]), a + int(own[-1]) + 1))
+    return out
+
+
+def passages(labels: np.ndarray, begins: np.ndarray, pick: random.Random) -> list[tuple[int, int]]:
+    """Ranges of one text's tokens to learn from: around secrets first, then anywhere."""
+    n, out = len(labels), []
+    at = np.flatnonzero(labels == B)[:PASSAGES].tolist()
+    at += [pick.randrange(n) for _ in range(PASSAGES - len(at))]
+    for i in sorted(set(at)):
+        lo = max(0, i - PASSAGE_TOKENS // 2, out[-1][1] if out else 0)
+        if lo < min(n, i + PASSAGE_TOKENS // 2):
+            out.append((lo, min(n, i + PASSAGE_TOKENS // 2)))
+    return out
+
+
 def sample_chains(documents: DataFrame, n_documents: int = TRAINING_DOCUMENTS) -> list[tuple[bytes, bytes, bytes]]:
-    """Weakly labelled candidates of about ``n_documents`` documents, chosen by a hash of doc_id."""
+    """Weakly labelled passages of about ``n_documents`` documents, chosen by a hash of doc_id: at most 64 tokens of each."""
     total = documents.count()
     part = min(1.0, n_documents / max(total, 1))
     chosen = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("crf")), F.lit(1 << 20)) < int(part * (1 << 20)))
@@ -260,9 +328,11 @@ def sample_chains(documents: DataFrame, n_documents: int = TRAINING_DOCUMENTS) -
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 features, labels, begins = weak_labels([text])
-                if len(labels):
-                    keep = np.cumsum(begins) <= TRAINING_CHAINS
-                    yield pa.RecordBatch.from_arrays([pa.array([x[keep].tobytes()], pa.binary()) for x in (features, labels, begins)], names=["f", "l", "b"])
+                for lo, hi in passages(labels, begins, random.Random(len(text))) if len(labels) else ():
+                    own, first = labels[lo:hi].copy(), np.arange(hi - lo) == 0
+                    if own[0] == I:
+                        own[0] = B
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (features[lo:hi], own, first)], names=["f", "l", "b"])
 
     rows = chosen.select(text_bytes().alias("text")).mapInArrow(label, "f binary, l binary, b binary")
     return sorted((bytes(r.f), bytes(r.l), bytes(r.b)) for r in rows.collect())
@@ -281,7 +351,7 @@ def fit(documents: DataFrame, n_documents: int = TRAINING_DOCUMENTS) -> dict[str
 def scan(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) in code points, end exclusive, by start, then kind.
 
-    The field's spans that overlap a fixed pattern's match are left out: the match reports them.
+    Of the field's spans, the parts within a fixed pattern's match are left out: the match reports them.
     """
 
     @trimmed
@@ -292,16 +362,12 @@ def scan(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for lo, hi in runs(offsets):
                 own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 may = _may_match(own, at) if len(own) else np.zeros(hi - lo, bool)
-                digits = np.concatenate([[0], np.cumsum(_DIGITS[own])])
-                some = np.flatnonzero(digits[at[1:]] > digits[at[:-1]])
-                tagged: dict[int, list[tuple[int, int]]] = {}
-                if len(some):
-                    sizes = (at[1:] - at[:-1])[some]
-                    part = np.concatenate([own[at[i] : at[i + 1]] for i in some])
-                    tagged = {int(some[i]): s for i, s in field_spans(part, np.concatenate([[0], np.cumsum(sizes)]), model).items()}
+                tagged = field_spans(own, at, model)
                 for i in range(hi - lo):
-                    found = base_spans(own[at[i] : at[i + 1]].tobytes()) if may[i] else []
-                    found += [(s, 3, e) for s, e in tagged.get(i, []) if not any(a < e and s < b for a, _, b in found)]
+                    whole = own[at[i] : at[i + 1]].tobytes() if may[i] or i in tagged else b""
+                    found = base_spans(whole) if may[i] else []
+                    taken = [(a, b) for a, _, b in found]
+                    found += [(s, 3, e) for span in tagged.get(i, []) for s, e in beside(span, taken, whole)]
                     if found:
                         points = np.concatenate([[0], np.cumsum((own[at[i] : at[i + 1]] & 0xC0) != 0x80)])
                         spans.append([(KINDS[k], int(points[s]), int(points[e])) for s, k, e in sorted(found)])

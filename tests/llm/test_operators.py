@@ -66,9 +66,46 @@ def test_secrets(spark, documents, empty, texts):
 
 def test_field_finds_what_patterns_miss(spark):
     model = secret_crf.fit(table(spark, [(0, "plain words only", "a")]))
-    text = "see credential = 'f3a9c2e17b4d8a60aa' for more, or call 18005551234 now"
-    spans = secret_crf.scan(table(spark, [(0, text, "a")]), model).first().spans
-    assert [text[s.start : s.end] for s in spans if s.kind == "crf"] == ["f3a9c2e17b4d8a60aa"]
+    lines = [
+        ("see credential = 'f3a9c2e17b4d8a60aa' for more, or call 18005551234 now", ["f3a9c2e17b4d8a60aa"]),
+        ("the credential = 'kQvXbTzRmWpLsHdY' is old", ["kQvXbTzRmWpLsHdY"]),
+        ("é private key: aZ9kQ2xT7bLw then go", ["aZ9kQ2xT7bLw"]),
+        ("the secret garden, a token of love: nothing", []),
+    ]
+    found = {r.doc_id: r.spans for r in secret_crf.scan(table(spark, [(i, t, "a") for i, (t, _) in enumerate(lines)]), model).collect()}
+    for i, (text, wanted) in enumerate(lines):
+        assert [text[s.start : s.end] for s in found[i] if s.kind == "crf"] == wanted
+
+
+def test_field_on_made_lines_that_it_has_not_seen(spark):
+    """Also where a secret has no digit: most are found, and nothing in lines that have none."""
+    model = secret_crf.fit(table(spark, [(0, "plain words only", "a")]))
+    lines = [(t, s) for t, s in secret_crf.made_lines(seed=99) if not secret_crf.base_spans(t)]
+    assert secret_crf.made_lines(seed=99)[0] != secret_crf.made_lines()[0]
+    data, offsets = np.frombuffer(b"".join(t for t, _ in lines), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t, _ in lines])])
+    tagged = secret_crf.field_spans(data, offsets, model)
+    letters = [i for i, (t, s) in enumerate(lines) if s and t[s[0][0] : s[0][1]].isalpha()]
+    assert len(letters) > 50 and np.mean([tagged.get(i) == lines[i][1] for i in letters]) > 0.9
+    assert np.mean([tagged.get(i) == s for i, (_, s) in enumerate(lines) if s]) > 0.95
+    assert np.mean([i not in tagged for i, (_, s) in enumerate(lines) if not s]) > 0.98
+
+
+def test_field_spans_beside_matches():
+    text = b"ab token=12345678 = cd"
+    assert secret_crf.beside((0, 22), [(3, 17)], text) == [(0, 2), (20, 22)]
+    assert secret_crf.beside((9, 17), [(3, 17)], text) == [] and secret_crf.beside((0, 2), [], text) == [(0, 2)]
+
+
+def test_sure_tokens_change_no_label():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        emit, move, begins = rng.normal(size=(n, 3)) * 4, rng.normal(size=(3, 3)), rng.random(n) < 0.2
+        emit[:, 0] += 4
+        begins[0] = True
+        move[secret_crf.O, secret_crf.I] = -1e4
+        assert list(secret_crf.decoded(emit, begins, move)) == list(secret_crf.viterbi(emit, begins, move))
+        assert n < 20 or secret_crf.surely_outside(emit, begins, move).any()
 
 
 def test_viterbi_is_the_best_of_all_paths():
@@ -418,6 +455,36 @@ def test_importance_resampling(spark, empty):
     assert sum(x.selected for x in found) == k
     assert {x.key for x in found if x.selected} == set(sorted((x.key for x in found), reverse=True)[:k])
     assert importance_resampling.resample(empty, ratio, share).count() == 0
+    rows = [(7, "same text", "a")] * 4 + [(None, "same text", "a")] * 3 + [(8, "other", "a"), (9, None, "a")]
+    for k in range(10):  # repeated rows and rows without doc_id tie, and still exactly k are selected
+        found = importance_resampling.resample(table(spark, rows), np.zeros(1 << 16), k / 9).collect()
+        assert len(found) == 9 and sum(x.selected for x in found) == k
+        assert sorted(x.key for x in found if x.selected) == sorted(x.key for x in found)[9 - k :]
+
+
+def test_importance_weights_are_the_log_ratio_of_counts(spark):
+    """Weights and scores against plain counts of words, marks and pairs."""
+    rows = [(i, " ".join(random.Random(i).choice(["ab", "cd!", "ef"]) for _ in range(9)), "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    ratio, share = importance_resampling.fit(table(spark, rows), labels)
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert share == pytest.approx(np.mean([i % 2 for i in learned]))
+
+    def grams(t):
+        data = t.encode()
+        return [b for _, found in importance_resampling.buckets(np.frombuffer(data, np.uint8), np.array([0, len(data)])) for b in found]
+
+    good, raw = np.ones(1 << 16), np.ones(1 << 16)
+    for i, t, _ in rows:
+        tokens = re.findall(r"[a-z]+|!+", t)
+        assert len(grams(t)) == 2 * len(tokens) - 1
+        for b in grams(t):
+            raw[b] += 1
+            good[b] += i % 2 == 1 and i in learned
+    wanted = np.log(good / good.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(ratio, wanted)
+    found = {r.doc_id: r.log_weight for r in importance_resampling.weigh(table(spark, rows), ratio).collect()}
+    assert all(found[i] == pytest.approx(sum(wanted[b] for b in grams(t)), abs=1e-5) for i, t, _ in rows)
 
 
 PAGE = "<html><head><title>t</title></head><body><div>My site</div><nav><a href=x>m</a></nav>{}<div>All rights</div></body></html>"
@@ -434,6 +501,13 @@ def test_wrapper_induction(spark):
     assert wrapper_induction.main_texts(rows.limit(0)).count() == 0
 
 
+def extract(spark, pages, host="h.example"):
+    """Texts of pages of one host."""
+    rows = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r.text for r in wrapper_induction.main_texts(rows).collect()}
+    return [found[i] for i in range(len(pages))]
+
+
 def test_the_wrapper_finds_the_article(spark):
     """Pages that name no section: menus, adverts and feet vary from page to page as the article does, and only its place tells it."""
     r = random.Random(12)
@@ -444,17 +518,43 @@ def test_the_wrapper_finds_the_article(spark):
         menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(r.randint(3, 6)))
         pages.append(f"<html><body><div><ul>{menu}</ul></div><div class=x>{words(6)}</div><div><h1>Title {i}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><div>&copy; h.example {words(5)}</div></body></html>")
         want.append("\n".join([f"Title {i}", *body]))
-    assert wrapper_induction.extract(pages) == want
+    assert extract(spark, pages) == want
     kept = "<article><h1>T</h1><p class='notice-free alert'>a</p><section class='tags legal'>b</section><div class=comments>c</div></article>"
-    assert wrapper_induction.extract([kept]) == ["T\na\nb"]
+    assert extract(spark, [kept]) == ["T\na\nb"]
 
 
-def test_pages_that_are_odd():
+def test_copies_of_a_page_have_one_text(spark, monkeypatch):
+    """A host of 600 pages, 570 of them equal: one wrapper, whatever the parts that pages are dealt to and how wrappers are sent."""
+    r = random.Random(7)
+    words = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    bodies = [words(40) for _ in range(31)]
+    foot = "Read on, all rights kept by the house"
+    page = lambda b: f"<html><body><div><h1>{b[:9]}</h1><p>{b}</p><p>{foot}</p></div></body></html>"
+    pages = [page(bodies[0])] * 570 + [page(b) for b in bodies[1:]]
+    want = [f"{b[:9]}\n{b}" for b in [bodies[0]] * 570 + bodies[1:]]
+    assert extract(spark, pages) == want
+    for parts, sent in ((8, -1), (32, -1), (8, 1 << 20)):
+        monkeypatch.setattr(wrapper_induction, "PART_PAGES", parts)
+        monkeypatch.setattr(wrapper_induction, "SENT_BYTES", sent)
+        monkeypatch.setattr(wrapper_induction, "SENT_ROWS", sent)
+        assert extract(spark, pages) == want
+
+
+def test_a_wrapper_keeps_its_nodes():
+    trees = ["<div a=1><p>x</p><ul><li>y<li>z</ul></div>", "<div><p>x</p><b>q</b></div>"]
+    wrapper = wrapper_induction.induced(trees)
+    numbers = {}
+    back, depth = wrapper_induction.from_bytes(wrapper_induction.to_bytes(wrapper), numbers)
+    flat = lambda s: (s.label, [flat(c) for c in s.children])
+    assert flat(back) == flat(wrapper) and depth == 5 and back.size == 11
+
+
+def test_pages_that_are_odd(spark):
     deep = [f"<div>{'<div>' * 30000}x{i}{'</div>' * 30000}</div>" for i in range(4)]
-    assert wrapper_induction.extract(deep) == ["x0", "x1", "x2", "x3"]
-    assert wrapper_induction.extract(["<p>a</p>" + '<a href="x ' * 90000] * 5) == ["a"] * 5
-    assert wrapper_induction.extract(["<![CDATA[" * 30000 + ">a"]) == ["a"]
-    assert wrapper_induction.extract(["<p title=it's>b</p><p>c's</p>"]) == ["b\nc's"]
+    assert extract(spark, deep) == ["x0", "x1", "x2", "x3"]
+    assert extract(spark, ["<p>a</p>" + '<a href="x ' * 90000] * 5) == ["a"] * 5
+    assert extract(spark, ["<![CDATA[" * 30000 + ">a"]) == ["a"]
+    assert extract(spark, ["<p title=it's>b</p><p>c's</p>"]) == ["b\nc's"]
     r = random.Random(3)
     weights, own = [np.array([r.choice([0, 0, 1, 2, 5]) for _ in range(6)]) for _ in range(40)], np.array([r.randint(0, 5) for _ in range(50)])
     whole = wrapper_induction._chain(weights, own)
