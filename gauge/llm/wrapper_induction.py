@@ -304,7 +304,10 @@ def fit(wrapper: Slot, page: Node, memo: dict) -> None:
     page.slot = wrapper
     own = _elements(page)
     if own:
-        for i, j in _table(wrapper, own, memo)[1]:
+        key = (wrapper.number, page.shape, "pairs")  # children of equal shapes match alike
+        if key not in memo:
+            memo[key] = _table(wrapper, own, memo)[1]
+        for i, j in memo[key]:
             fit(wrapper.children[i], own[j], memo)
 
 
