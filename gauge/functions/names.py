@@ -174,3 +174,18 @@ def given(value: Column) -> Column:
 def new_part(code: Column, name: Column) -> tuple[Column, Column]:
     """Code and name as typed, without white space around them; an empty name is none."""
     return F.trim(code), F.nullif(F.trim(name), F.lit(""))
+
+
+def natural_key(code: Column) -> Column:
+    """A text that sorts codes with numbers in them by the numbers' value, and letters in either case alike: ``A2`` before ``a10``.
+
+    A run of digits becomes a mark that is smaller than any letter, its number of digits without leading zeros, and
+    those digits; ties are the caller's.
+    """
+    runs = F.regexp_extract_all(F.lower(code), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+    def part(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lit("\x01"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, part), "")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gauge.sources.folders import cut
+
 
 @dataclass
 class Catalog:
@@ -78,7 +80,8 @@ def total(found: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``rows`` with their place, from 1, in an order without ties: counted in ranges of it, so no task orders all rows."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    # ranges come from a sample that is drawn anew each time, so what is read twice is kept
+    parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     within = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33) + 1
     parts = parts.withColumn("_within", within)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -87,6 +90,13 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataF
     return parts.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col("_within")).drop("_part", "_row", "_within", "_ahead")
 
 
+def collated(rows: DataFrame, column: str, order: str = "UNICODE", same: str = "UTF8_LCASE") -> DataFrame:
+    """Distinct texts with their place by a collation, ties by their bytes, and how many another collation takes as equal to each."""
+    placed = numbered(rows.select(column), [F.collate(column, order), F.col(column)])
+    alike = rows.groupBy(F.collate(column, same).alias("_same")).agg(F.count(F.lit(1)).alias("alike"))
+    return placed.join(alike, F.collate(column, same) == F.col("_same")).select(column, "place", "alike")
+
+
 def nested(features: DataFrame, tables: Catalog) -> DataFrame:
     """Features with arrays of their assets in position order and of their linked parts in code order."""
     assets = tables.asset.groupBy(F.col("feature_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "kind", "part_id"))).alias("assets"))
@@ -125,6 +135,15 @@ def matrix(tables: Catalog, kinds: list[str]) -> DataFrame:
     return filled.withColumn("total", sum((F.col(k) for k in kinds), F.lit(0)))
 
 
+def file_matrix(tables: Catalog, kinds: list[str]) -> DataFrame:
+    """Lists of assets (feature_id, position) by part and kind, in order, with their number; parts without assets, and assets without a part as one more row."""
+    files = F.array_sort(F.collect_list(F.struct("feature_id", "position")))
+    listed = tables.asset.groupBy("part_id").pivot("kind", kinds).agg(files)
+    rows = tables.part.select(F.col("id").alias("part_id")).join(listed, "part_id", "left").unionByName(listed.where("part_id is null"))
+    filled = rows.select("part_id", *(F.coalesce(F.col(k), F.array().cast(dict(listed.dtypes)[k])).alias(k) for k in kinds))
+    return filled.withColumn("total", sum((F.size(k) for k in kinds), F.lit(0)))
+
+
 def visible(items: DataFrame, user: object, superuser: bool) -> DataFrame:
     """What a user may see: all, or only their own."""
     return items if superuser else items.where(F.col("owner_id") == user)
@@ -195,6 +214,60 @@ def set_null(table: DataFrame, foreign: str, gone: DataFrame, key: str) -> DataF
     return out.select(*(F.when(F.col("_lost").isNull(), F.col(c)).alias(c) if c == foreign else F.col(c) for c in table.columns))
 
 
+@dataclass(frozen=True)
+class Reference:
+    """Rows of ``child`` refer by ``column`` to the ``key`` of ``parent``: when that goes, they go (``cascade``) or lose the reference (``null``)."""
+
+    child: str
+    column: str
+    parent: str
+    key: str
+    rule: str
+
+
+def deletion_order(references: list[Reference], start: str) -> list[str]:
+    """The tables that a deletion from ``start`` reaches, each after all that it depends on; a cycle of them is an error."""
+    reached, todo = {start}, [start]
+    while todo:
+        now = todo.pop()
+        for r in references:
+            if r.parent == now and r.child not in reached:
+                reached.add(r.child)
+                if r.rule == "cascade":
+                    todo.append(r.child)
+    out: list[str] = []
+    while len(out) < len(reached):
+        ready = sorted(t for t in reached - set(out) if all(r.parent in out or r.parent not in reached for r in references if r.child == t))
+        if not ready:
+            raise ValueError(f"tables refer to one another in a cycle: {sorted(reached - set(out))}")
+        out += ready
+    return out
+
+
+def delete_through(tables: dict[str, DataFrame], references: list[Reference], start: str, gone: Column) -> dict[str, DataFrame]:
+    """All tables after the rows of ``start`` for which ``gone`` holds are deleted, with what their references ask for."""
+    for r in references:
+        if r.rule not in ("cascade", "null"):
+            raise ValueError(f"no rule is called {r.rule}")
+    out, lost = dict(tables), {}
+    for name in deletion_order(references, start):
+        rows, columns = tables[name], tables[name].columns
+        flag = F.coalesce(gone, F.lit(False)) if name == start else F.lit(False)
+        rows = rows.withColumn("_gone", flag)
+        values: dict[str, Column] = {}
+        for i, r in enumerate(r for r in references if r.child == name and r.parent in lost):
+            keys = lost[r.parent].select(F.col(r.key).alias(f"_key{i}")).where(F.col(f"_key{i}").isNotNull()).distinct()
+            rows = rows.join(keys, F.col(r.column) == F.col(f"_key{i}"), "left")
+            hit = F.col(f"_key{i}").isNotNull()
+            if r.rule == "cascade":
+                rows = rows.withColumn("_gone", F.col("_gone") | hit)
+            else:
+                values[r.column] = F.when(hit, F.lit(None)).otherwise(values.get(r.column, F.col(r.column)))
+        lost[name] = rows.where("_gone").select(*columns)
+        out[name] = rows.where("not _gone").select(*(values[c].alias(c) if c in values else F.col(c) for c in columns))
+    return out
+
+
 def remapped(table: DataFrame, foreign: str, keys: DataFrame, old: str, new: str) -> DataFrame:
     """References replaced by new keys; null where there is none."""
     found = keys.select(F.col(old).alias("_old"), F.col(new).alias("_new"))

@@ -32,8 +32,16 @@ def block_ratio(ours: list[str], theirs: list[str]) -> float:
     return max((difflib.SequenceMatcher(None, f, o).ratio() for f in ours for o in theirs), default=0.0)
 
 
-def _matched(distinct: DataFrame, theirs: list[str]) -> DataFrame:
-    """(t, v, score): words with their spellings, and 3 for an exact, 2 for a partial match, else null.
+def reach(form: Column, other: str) -> Column:
+    """What the matching-block ratio of a spelling and another can be at most: by the characters that both have, with repeats."""
+    common = F.lit(0)
+    for c in sorted(set(other)):
+        common = common + F.least(F.length(form) - F.length(F.replace(form, F.lit(c), F.lit(""))), F.lit(other.count(c)))
+    return F.try_divide(2.0 * common, F.length(form) + len(other))
+
+
+def matched(distinct: DataFrame, theirs: list[str]) -> DataFrame:
+    """(t, v, score, most): words with their spellings, 3 for an exact, 2 for a partial match, else null, and what an approximate one can reach.
 
     Spellings are rows, so each is made once and compared by plain expressions.
     """
@@ -44,18 +52,19 @@ def _matched(distinct: DataFrame, theirs: list[str]) -> DataFrame:
             inside = inside | f.contains(o) | F.lit(o).contains(f)
     points = F.when(f.isin(*theirs), 3.0).when((F.length(f) >= text.PARTIAL_LENGTH) & inside, 2.0)
     forms = distinct.select("t", F.explode(text.variants(F.col("t"))).alias("f"))
-    return forms.groupBy("t").agg(F.collect_list("f").alias("v"), F.max(points).alias("score"))
+    most = F.greatest(*(reach(f, o) for o in theirs), F.lit(0.0), F.lit(0.0))
+    return forms.groupBy("t").agg(F.collect_list("f").alias("v"), F.max(points).alias("score"), F.max(most).alias("most"))
 
 
 def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "blocks") -> DataFrame:
     """Hits of one word, best tier of each group of ``by`` only: exact, else partial, else approximate.
 
-    ``words`` needs t. ``fuzzy``: blocks (Python on the words that match in no other way), dice or None. A
-    query or word without spellings matches nothing.
+    ``words`` needs t. ``fuzzy``: blocks (Python on words that match in no other way and have enough characters in
+    common with the query), dice or None. A query or word without spellings matches nothing.
     """
     theirs = spellings(words.sparkSession, query)
     # a vocabulary is far smaller than its text: each distinct word is compared once
-    found = _matched(words.select("t").distinct(), theirs)
+    found = matched(words.select("t").distinct(), theirs)
     if fuzzy == "blocks":
 
         def similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +73,8 @@ def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "bloc
                 frame.loc[bare, "score"] = [block_ratio(v, theirs) for v in frame.loc[bare, "v"]]
                 yield frame[["t", "score"]]
 
-        found = found.mapInPandas(similar, "t string, score double")
+        near = found.where(F.col("score").isNotNull() | (F.col("most") >= text.SIMILAR - 1e-9))
+        found = near.select("t", "v", "score").mapInPandas(similar, "t string, score double")
     elif fuzzy == "dice":
         best = F.array_max(F.flatten(F.transform("v", lambda a: F.array(*(text.dice(a, F.lit(o)) for o in theirs)))))
         found = found.select("t", F.coalesce("score", best).alias("score"))
@@ -95,11 +105,12 @@ def phrase(words: DataFrame, terms: list[str], by: str) -> DataFrame:
     and on cells that a neighbour can lie in, so only words near one another meet.
     """
     spark = words.sparkSession
-    seen = words.withColumn("v", text.variants(F.col("t")))
+    # each distinct word is compared once, and only the words that match are placed
+    vocabulary = words.select("t").distinct()
     chain = None
-    for k, term in enumerate(terms):
-        mode = text.match(F.col("v"), literal_variants(spark, term))
-        fit = seen.withColumn("m", mode).where("m is not null")
+    for term in terms:
+        fits = matched(vocabulary, spellings(spark, term)).where("score is not null").select("t", F.when(F.col("score") == 3, "exact").otherwise("partial").alias("m"))
+        fit = words.join(fits, "t")
         if chain is None:
             chain = fit.select(by, F.col("i").alias("i0"), "i", "x", "y", "w", "h", F.col("t").alias("found"), (F.col("m") == "exact").alias("exact"), F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("bottom"))
             continue
@@ -126,11 +137,93 @@ def printed() -> Column:
     return F.format_string("%3d  %6.2f %6.2f   %s", "c", "x", "y", "t")
 
 
+LIST_MARK = r"^\s*[-*]\s+"
+#: Bold, italic and code in light markup; fixed.
+INLINE = r"\*\*[^*]+\*\*|\*[^*]+\*|`[^`]+`"
+
+
 def line_islands(lines: DataFrame, by: str) -> DataFrame:
-    """Runs of lines of one kind: (by, first, kind, n); kinds are item, blank and text, and only items run together."""
-    kind = F.when(F.col("line").rlike(r"^\s*[-*]\s+"), "item").when(F.trim("line") == "", "blank").otherwise("text")
+    """Runs of lines of one kind: (by, first, kind, n, lines); kinds are list and text."""
+    kind = F.when(F.col("line").rlike(LIST_MARK), "list").otherwise("text")
     order = W.partitionBy(by).orderBy("pos")
     seen = lines.withColumn("kind", kind)
-    start = F.when((F.col("kind") == "item") & (F.lag("kind").over(order) == "item"), 0).otherwise(1)
+    start = F.when(F.lag("kind").over(order) == F.col("kind"), 0).otherwise(1)
     numbered = seen.withColumn("start", start).withColumn("island", F.sum("start").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "island").agg(F.min("pos").alias("first"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n")).drop("island")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    return numbered.groupBy(by, "island").agg(F.min("pos").alias("first"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n"), own.alias("lines")).drop("island")
+
+
+def inline_marks(islands: DataFrame) -> DataFrame:
+    """Marked and plain pieces of runs of lines: the columns of ``islands`` but lines, and part, at, mark and text.
+
+    A run of text is one part, its lines joined; in a list each line is one, without its mark. ``at`` numbers the
+    pieces of a part; empty ones are left out. A piece that starts and ends as a marked one counts as marked.
+    """
+    parts = F.when(F.col("kind") == "list", F.transform("lines", lambda x: F.regexp_replace(x, LIST_MARK, ""))).otherwise(F.array(F.array_join("lines", "\n")))
+    rest = [c for c in islands.columns if c != "lines"]
+    own = islands.select(*rest, F.posexplode(parts).alias("part", "whole"))
+    own = own.withColumns({"plain": F.split("whole", INLINE, -1), "marked": F.regexp_extract_all("whole", F.lit(INLINE), F.lit(0))})
+    pieces = F.flatten(F.transform(F.arrays_zip("plain", "marked"), lambda z: F.array(z["plain"], z["marked"])))
+    found = own.select(*rest, "part", F.posexplode(F.filter(pieces, lambda x: x.isNotNull())).alias("at", "piece"))
+    both = lambda m: F.col("piece").startswith(m) & F.col("piece").endswith(m)
+    mark = F.when(both("**"), "bold").when(both("`"), "code").when(both("*"), "italic").otherwise("plain")
+    width = F.when(both("**"), 2).when(both("`") | both("*"), 1).otherwise(0)
+    text_ = F.substr("piece", width + 1, F.greatest(F.length("piece") - 2 * width, F.lit(0)))
+    return found.where("piece <> ''").select(*rest, "part", "at", mark.alias("mark"), text_.alias("text"))
+
+
+def grams(form: Column) -> Column:
+    """The distinct three-character pieces of a spelling of three characters or more."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - 2), lambda i: F.substr(form, i, F.lit(3))))
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l): spellings s of ``short`` (s) within spellings l of ``long`` (l), both distinct and long enough.
+
+    What contains a spelling has all its pieces of three characters: the one that fewest of the long spellings have
+    leads to those, and only they are verified.
+    """
+    postings = long.where(F.length("l") >= text.PARTIAL_LENGTH).select("l", F.explode(grams(F.col("l"))).alias("g"))
+    counts = postings.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.where(F.length("s") >= text.PARTIAL_LENGTH).select("s", F.explode(grams(F.col("s"))).alias("g"))
+    best = asked.join(counts, "g", "left").groupBy("s").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    return best.join(postings, "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
+def many_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, t, score): every word t that matches a term, 3 for an exact, 2 for a partial match.
+
+    ``vocabulary`` has t, ``terms`` term, both distinct. Spellings meet by equality; containment, either way, by
+    pieces of three characters. No term is compared with words that share none of them.
+    """
+    ours = vocabulary.select("t", F.explode(text.variants(F.col("t"))).alias("f"))
+    theirs = terms.select("term", F.explode(text.variants(F.col("term"))).alias("o"))
+    exact = ours.join(theirs, F.col("f") == F.col("o")).select("term", "t", F.lit(3.0).alias("score"))
+    f, o = ours.select("f").distinct(), theirs.select("o").distinct()
+    inner = _contained(o.withColumnRenamed("o", "s"), f.withColumnRenamed("f", "l")).select(F.col("s").alias("o"), F.col("l").alias("f"))
+    outer = _contained(f.withColumnRenamed("f", "s"), o.withColumnRenamed("o", "l")).select(F.col("l").alias("o"), F.col("s").alias("f"))
+    partial = inner.union(outer).distinct().join(theirs, "o").join(ours, "f").select("term", "t", F.lit(2.0).alias("score"))
+    return exact.union(partial).groupBy("term", "t").agg(F.max("score").alias("score"))
+
+
+def many_hits(words: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    """Words that match the terms, with term, score and mode: of each term and group of ``by`` the best tier only."""
+    hits = words.join(many_terms(words.select("t").distinct(), terms), "t")
+    best = hits.groupBy("term", *by).agg(F.max("score").alias("score"))
+    return hits.join(best, ["term", *by, "score"], "left_semi").withColumn("mode", F.when(F.col("score") == 3, "exact").otherwise("partial"))
+
+
+def write_text(words: DataFrame, by: str, folder: str) -> None:
+    """Each document's words as text in reading order, in a folder of its own.
+
+    A document is one row when it is written: a writer that sorts rows by folder does not keep their order.
+    """
+    own = words.select(by, F.struct(*(c.alias(f"k{i}") for i, c in enumerate(reading_order())), printed().alias("line")).alias("one"))
+    whole = own.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["line"]), "\n").alias("value"))
+    whole.write.partitionBy(by).text(folder)
+
+
+def read_text(spark: SparkSession, by: str, folder: str) -> DataFrame:
+    """(by, pos, line) of the texts that were written."""
+    whole = spark.read.text(folder, wholetext=True)
+    return whole.select(by, F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("pos", "line"))

@@ -328,15 +328,78 @@ def p34_new_part(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), name.alias("name"))
 
 
-@query("WITH f AS (SELECT p_partkey AS id, unnest([CAST(p_size AS VARCHAR), CAST(p_size + 1 AS VARCHAR)]) AS nr FROM part) SELECT f.id, f.nr, l_orderkey, l_linenumber FROM f JOIN lineitem ON CAST(CAST(l_quantity AS INT) AS VARCHAR) = f.nr WHERE l_linenumber = 7")
+@query("WITH f AS (SELECT p_partkey AS id, unnest([CAST(p_partkey AS VARCHAR), CAST(p_partkey + 1 AS VARCHAR)]) AS nr FROM part) SELECT f.id, f.nr, l_orderkey, l_linenumber FROM f JOIN lineitem ON CAST(l_partkey AS VARCHAR) = f.nr")
 def j14_features_by_number(spark, sf_dir):
-    features = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")).alias("n_numbers"))
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_quantity").cast("int").cast("string").alias("nr"), "l_orderkey", "l_linenumber")
+    features = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")).alias("n_numbers"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("nr"), "l_orderkey", "l_linenumber")
     return reports.of_dimensions(features, rows)
 
 
-@query("SELECT p_partkey AS path, CAST(p_size AS VARCHAR) AS lot, s_suppkey AS sample FROM part JOIN supplier ON p_size % 50 = s_suppkey % 50")
+@query("SELECT o_orderkey AS path, CAST(o_custkey AS VARCHAR) AS lot, event_id AS sample FROM orders JOIN events ON o_custkey = user_id AND event_type = 'purchase'")
 def j16_lots(spark, sf_dir):
-    scans = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("string").alias("size"), (F.col("p_size") % 50).cast("string").alias("lot"))
-    samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_suppkey") % 50).cast("string").alias("lot"))
-    return reports.of_lots(scans, samples).select("path", F.col("size").alias("lot"), "sample")
+    """Orders as scans and purchases as samples of a customer's lot."""
+    scans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").cast("string").alias("lot"))
+    samples = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("sample"), F.col("user_id").cast("string").alias("lot"))
+    return reports.of_lots(scans, samples).select("path", "lot", "sample")
+
+
+CODES = "SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE p_brand END || '-' || CASE WHEN p_size % 3 = 0 THEN '0' ELSE '' END || p_size || p_name[1:3] AS code FROM part"
+RUNS = "array_to_string(list_transform(regexp_extract_all(lower(code), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN chr(1) || lpad(CAST(len(ltrim(r, '0')) AS VARCHAR), 4, '0') || ltrim(r, '0') ELSE r END), '')"
+
+
+@query(f"SELECT code, row_number() OVER (ORDER BY {RUNS}, code) AS place FROM ({CODES})")
+def l10_natural(spark, sf_dir):
+    """Codes of brands, sizes and names by the value of the numbers in them."""
+    size, brand = F.col("p_size"), F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    code = F.concat(brand, F.lit("-"), F.when(size % 3 == 0, "0").otherwise(""), size.cast("string"), F.substring("p_name", 1, 3))
+    codes = table(spark, sf_dir, "part").select(code.alias("code")).distinct()
+    return catalog.numbered(codes, [names.natural_key(F.col("code")), F.col("code")]).select("code", "place")
+
+
+@query("WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(text[1:200], '[^\\p{L}]+')) AS t FROM documents) SELECT t, row_number() OVER (ORDER BY t COLLATE en, t) AS place, count(*) OVER (PARTITION BY lower(t)) AS alike FROM t WHERE t <> ''")
+def l2_collated(spark, sf_dir):
+    """The first words of texts in four languages, by a collation; and how many differ in case alone."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.left("text", F.lit(200)), r"[^\p{L}]+")).alias("t")).where("t <> ''").distinct()
+    return catalog.collated(words, "t")
+
+
+GONE = "WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) "
+REFERENCES = [
+    catalog.Reference("orders", "o_custkey", "customer", "c_custkey", "cascade"),
+    catalog.Reference("lineitem", "l_orderkey", "orders", "o_orderkey", "cascade"),
+    catalog.Reference("lineitem", "l_partkey", "part", "p_partkey", "cascade"),
+    catalog.Reference("events", "user_id", "customer", "c_custkey", "null"),
+]
+
+
+def without_builders(spark, sf_dir):
+    all_ = {n: table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "events", "part")}
+    return catalog.delete_through(all_, REFERENCES, "customer", F.col("c_mktsegment") == "BUILDING")
+
+
+@query(GONE + "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM c)")
+def m5_graph_customers(spark, sf_dir):
+    return without_builders(spark, sf_dir)["customer"].select("c_custkey")
+
+
+@query(GONE + "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)")
+def m5_graph_orders(spark, sf_dir):
+    return without_builders(spark, sf_dir)["orders"].select("o_orderkey", "o_custkey")
+
+
+@query(GONE + "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)")
+def m5_graph_items(spark, sf_dir):
+    return without_builders(spark, sf_dir)["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(GONE + "SELECT event_id, CASE WHEN user_id NOT IN (SELECT c_custkey FROM c) THEN user_id END AS user_id FROM events")
+def m6_graph_events(spark, sf_dir):
+    return without_builders(spark, sf_dir)["events"].select("event_id", "user_id")
+
+
+@query(T + ", c AS (SELECT part_id, list(feature_id || ':' || position ORDER BY feature_id, position) FILTER (kind = 'F') AS f, list(feature_id || ':' || position ORDER BY feature_id, position) FILTER (kind = 'O') AS o, count(*) FILTER (kind IN ('F', 'O')) AS total FROM asset GROUP BY 1) SELECT code.id AS part_id, coalesce(array_to_string(f, ','), '') AS \"F\", coalesce(array_to_string(o, ','), '') AS \"O\", coalesce(total, 0) AS total FROM code LEFT JOIN c ON code.id = c.part_id UNION ALL SELECT NULL, coalesce(array_to_string(f, ','), ''), coalesce(array_to_string(o, ','), ''), total FROM c WHERE part_id IS NULL")
+def a11_file_matrix(spark, sf_dir):
+    """The files themselves, by part and kind."""
+    m = catalog.file_matrix(tables(spark, sf_dir), ["F", "O"])
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["feature_id"], x["position"])), ",").alias(c)
+    return m.select("part_id", told("F"), told("O"), F.col("total").cast("long").alias("total"))

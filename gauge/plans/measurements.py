@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gauge.functions import names, tolerance
-from gauge.operators import align, points
+from gauge.operators import align, points, scan
 from gauge.plans.registry import query
 from gauge.sources import reports
 
@@ -235,7 +235,7 @@ def a7_levels(spark, sf_dir):
 
 @query("WITH k AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS total FROM events), w AS (SELECT DISTINCT total, CAST(i * (total - 1) // 4 AS BIGINT) AS at FROM (SELECT DISTINCT total FROM k), range(5) r(i)) SELECT event_id, user_id FROM k WHERE total <= 5 OR EXISTS (SELECT 1 FROM w WHERE w.total = k.total AND w.at = k.k)")
 def w6_subsample(spark, sf_dir):
-    return points.strided(event_points(spark, sf_dir), "user_id", ["ts", "event_id"], 5).select("event_id", "user_id")
+    return points.strided(event_points(spark, sf_dir), "user_id", ["ts", "event_id"], 5, F.date_trunc("week", "ts")).select("event_id", "user_id")
 
 
 @query("SELECT event_id, round_even(value * 1000, 0) / 1000 AS rounded FROM events")
@@ -314,3 +314,36 @@ def d_a21_opposite(spark, sf_dir):
 def d_s19_wide(spark, sf_dir):
     wide = align.evolution(values(spark, sf_dir), "key", "sample", "value", YEARS)
     return reports.wide_cavities(wide, "key")
+
+
+@query("SELECT event_id, CAST(CASE WHEN r > h OR (r = h AND q % 2 <> 0) THEN q + 1 ELSE q END AS DOUBLE) / 1000 AS rounded FROM (SELECT event_id, n // u AS q, n % u AS r, u // 2 AS h FROM (SELECT event_id, CAST(abs(value) * 1180591620717411303424::DOUBLE AS HUGEINT) * 1000 AS n, 1180591620717411303424::HUGEINT AS u FROM events))")
+def p13_round_exactly(spark, sf_dir):
+    """Rounding by the exact value of the double; the SQL has it as a whole number of 2^-70."""
+    return table(spark, sf_dir, "events").select("event_id", points.rounded_exactly(F.abs("value")).alias("rounded"))
+
+
+BLOCKS = "WITH e AS (SELECT event_id, user_id % 3 AS file, CASE WHEN event_id % 11 = 0 THEN event_type END AS header FROM events), h AS (SELECT event_id, row_number() OVER (PARTITION BY file, header ORDER BY event_id) AS seen FROM e WHERE header IS NOT NULL), k AS (SELECT e.*, last_value(header IGNORE NULLS) OVER w AS block, last_value(seen IGNORE NULLS) OVER w AS occurrence, count(header) OVER w AS block_no FROM e LEFT JOIN h USING (event_id) WINDOW w AS (PARTITION BY file ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, file, coalesce(block, 'none') AS block, CAST(coalesce(occurrence, 0) AS INT) AS occurrence, CAST(row_number() OVER (PARTITION BY file, block_no ORDER BY event_id) AS INT) AS idx FROM k WHERE header IS NULL"
+
+
+@query(BLOCKS)
+def w1_w3_blocks(spark, sf_dir):
+    """Events of three long files, each eleventh a header: block, occurrence and index, scanned in slabs of 1,000 rows."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("file"), F.when(F.col("event_id") % 11 == 0, F.col("event_type")).alias("header"))
+    return scan.blocks(e, ["file"], "event_id", "header", F.floor(F.col("event_id") / 1000), "none")
+
+
+@query("WITH e AS (SELECT event_id, value, ts FROM events) SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER w AS so_far, lag(value) OVER (ORDER BY ts, event_id) AS before, last_value(CASE WHEN event_id % 50 = 0 THEN event_id END IGNORE NULLS) OVER w AS mark FROM e WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def w_running(spark, sf_dir):
+    """Sum, row before and last mark over one order of all events, which no task holds."""
+    e = table(spark, sf_dir, "events").select("event_id", "value", "ts")
+    found = scan.scan(e, [], ["ts", "event_id"], F.date_trunc("day", "ts"), so_far=scan.total(F.floor("value")), before=scan.previous("value"), mark=scan.last(F.when(F.col("event_id") % 50 == 0, F.col("event_id"))))
+    return found.select("event_id", "so_far", "before", "mark")
+
+
+@query("WITH e AS (SELECT user_id AS file, value FROM events UNION ALL SELECT user_id + 1000000, value + 64 FROM events WHERE user_id % 3 = 0 UNION ALL SELECT user_id + 2000000, value * 2 FROM events WHERE user_id % 5 = 0), d AS (SELECT file, CAST(round((value - min(value) OVER (PARTITION BY file)) / 1e-6) AS BIGINT) AS q FROM e), s AS (SELECT file, string_agg(q, ',' ORDER BY q) AS whole FROM d GROUP BY 1), f AS (SELECT file, min(file) OVER w AS first, count(*) OVER w AS sets FROM s WINDOW w AS (PARTITION BY whole)) SELECT * FROM f WHERE sets > 1")
+def d_s23_same_sets(spark, sf_dir):
+    """Each user's values, some again a constant offset away and some at twice the size: which are the same set."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), "value")
+    moved = e.where("file % 3 = 0").select((F.col("file") + 1000000).alias("file"), (F.col("value") + 64).alias("value"))
+    scaled = e.where("file % 5 = 0").select((F.col("file") + 2000000).alias("file"), (F.col("value") * 2).alias("value"))
+    return points.same_sets(e.union(moved).union(scaled), "file", "value")

@@ -8,7 +8,7 @@ from gauge.functions import names, text
 from gauge.operators import catalog, search
 from gauge.plans.measurements import table
 from gauge.plans.registry import query
-from gauge.sources import reports
+from gauge.sources import folders, reports
 
 
 def words(spark, sf_dir):
@@ -39,8 +39,8 @@ def variants(spark, sf_dir):
 
 @query(WORDS + ", " + FORMS + " SELECT t FROM f WHERE list_has_any(forms, ['thing'])")
 def u3_exact(spark, sf_dir):
-    own = words(spark, sf_dir).select("t").distinct()
-    return own.where(text.match(text.variants(F.col("t")), search.literal_variants(spark, "thing")) == "exact")
+    found = search.matched(words(spark, sf_dir).select("t").distinct(), search.spellings(spark, "thing"))
+    return found.where("score = 3").select("t")
 
 
 PARTIAL = "len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'thing') OR contains('thing', v)))) > 0"
@@ -48,8 +48,8 @@ PARTIAL = "len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'thing'
 
 @query(WORDS + ", " + FORMS + f" SELECT t, CASE WHEN list_has_any(forms, ['thing']) THEN 'exact' WHEN {PARTIAL} THEN 'partial' END AS mode FROM f WHERE list_has_any(forms, ['thing']) OR {PARTIAL}")
 def casa_partial(spark, sf_dir):
-    own = words(spark, sf_dir).select("t").distinct().withColumn("mode", text.match(text.variants(F.col("t")), search.literal_variants(spark, "thing")))
-    return own.where("mode is not null")
+    found = search.matched(words(spark, sf_dir).select("t").distinct(), search.spellings(spark, "thing"))
+    return found.where("score is not null").select("t", F.when(F.col("score") == 3, "exact").otherwise("partial").alias("mode"))
 
 
 GRAMS = "list_transform(range(1, len({0})), lambda k: {0}[k:k+1])"
@@ -98,7 +98,7 @@ def s16_text_dump(spark, sf_dir):
 
 
 # neighbours on a line are half a percent apart, so a pair of terms is a pair of words that follow one another
-CHAIN = ", k AS (SELECT w.*, list_has_any(forms, ['thing']) AS thing, list_has_any(forms, ['the']) AS the, " + PARTIAL + " AS thing_in, len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'the') OR contains('the', v)))) > 0 AS the_in FROM w JOIN f ON w.t = f.t), p AS (SELECT a.doc_id, a.i AS i0, a.t || ' ' || b.t AS t, CASE WHEN a.the AND b.thing THEN 'exact' ELSE 'partial' END AS mode, a.x AS x, a.y AS y, b.x + b.w - a.x AS w, a.h AS h FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.y = b.y WHERE (a.the OR a.the_in) AND (b.thing OR b.thing_in))"
+CHAIN = ", v AS (SELECT t, list_has_any(forms, ['thing']) AS thing, list_has_any(forms, ['the']) AS the, " + PARTIAL + " AS thing_in, len(list_filter(forms, lambda v: len(v) >= 3 AND (contains(v, 'the') OR contains('the', v)))) > 0 AS the_in FROM f), k AS (SELECT w.*, v.the, v.thing, v.the OR v.the_in AS one, v.thing OR v.thing_in AS two FROM w JOIN v ON w.t = v.t WHERE the OR the_in OR thing OR thing_in), p AS (SELECT a.doc_id, a.i AS i0, a.t || ' ' || b.t AS t, CASE WHEN a.the AND b.thing THEN 'exact' ELSE 'partial' END AS mode, a.x AS x, a.y AS y, b.x + b.w - a.x AS w, a.h AS h FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.y = b.y WHERE a.one AND b.two)"
 
 
 @query(WORDS + ", " + FORMS + CHAIN + " SELECT doc_id, i0, t, mode, x, y, round(w, 6) AS w, round(h, 6) AS h FROM p")
@@ -132,10 +132,66 @@ def a17_by_family(spark, sf_dir):
     return reports.by_colour(table(spark, sf_dir, "events").withColumnRenamed("event_type", "f"))
 
 
-@query("WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), l AS (SELECT doc_id, i - 1 AS pos, CASE WHEN regexp_matches(p[i], '^\\s*[-*]\\s+') THEN 'item' WHEN trim(p[i]) = '' THEN 'blank' ELSE 'text' END AS kind FROM s, unnest(range(1, len(p) + 1)) u(i)), k AS (SELECT *, CASE WHEN kind = 'item' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = 'item' THEN 0 ELSE 1 END AS start FROM l), n AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM k) SELECT doc_id, min(pos) AS first, first(kind) AS kind, count(*) AS n FROM n GROUP BY doc_id, island")
+def marked_lines(spark, sf_dir):
+    """Lines of documents as light markup: sentences as list items, some words bold, italic or code."""
+    told = F.coalesce("text", F.lit(""))
+    for old, new in MARKED:
+        told = F.replace(told, F.lit(old), F.lit(new))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(told, "\n")).alias("pos", "line"))
+
+
+MARKED = [(". ", "\n- "), (" the ", " **the** "), (" of ", " *of* "), (" and ", " `and` ")]
+TOLD = "coalesce(text, '')"
+for _old, _new in MARKED:
+    TOLD = f"replace({TOLD}, '{_old}', '{_new}')"
+ISLANDS = f"WITH s AS (SELECT doc_id, string_split({TOLD}, chr(10)) AS p FROM documents), l AS (SELECT doc_id, i - 1 AS pos, p[i] AS line, CASE WHEN regexp_matches(p[i], '^\\s*[-*]\\s+') THEN 'list' ELSE 'text' END AS kind FROM s, unnest(range(1, len(p) + 1)) u(i)), k AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = kind THEN 0 ELSE 1 END AS start FROM l), n AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM k), b AS (SELECT doc_id, min(pos) AS first, first(kind) AS kind, count(*) AS n, list(line ORDER BY pos) AS lines FROM n GROUP BY doc_id, island) "
+
+
+@query(ISLANDS + "SELECT doc_id, first, kind, n FROM b")
 def p26_line_islands(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    return search.line_islands(own, "doc_id").withColumn("first", F.col("first").cast("long"))
+    return search.line_islands(marked_lines(spark, sf_dir), "doc_id").select("doc_id", F.col("first").cast("long").alias("first"), "kind", "n")
+
+
+@query(ISLANDS + r""", q AS (SELECT doc_id, first, kind, CASE WHEN kind = 'list' THEN list_transform(lines, lambda x: regexp_replace(x, '^\s*[-*]\s+', '')) ELSE [array_to_string(lines, chr(10))] END AS parts FROM b),
+w AS (SELECT doc_id, first, kind, i - 1 AS part, parts[i] AS whole FROM q, unnest(range(1, len(parts) + 1)) u(i)),
+x AS (SELECT *, regexp_split_to_array(whole, '\*\*[^*]+\*\*|\*[^*]+\*|`[^`]+`') AS plain, regexp_extract_all(whole, '\*\*[^*]+\*\*|\*[^*]+\*|`[^`]+`') AS marked FROM w),
+y AS (SELECT *, flatten(list_transform(range(1, len(plain) + 1), lambda i: CASE WHEN i <= len(marked) THEN [plain[i], marked[i]] ELSE [plain[i]] END)) AS pieces FROM x),
+z AS (SELECT doc_id, first, part, i - 1 AS "at", pieces[i] AS piece FROM y, unnest(range(1, len(pieces) + 1)) u(i))
+SELECT doc_id, first, part, "at", CASE WHEN starts_with(piece, '**') AND ends_with(piece, '**') THEN 'bold' WHEN starts_with(piece, '`') AND ends_with(piece, '`') THEN 'code' WHEN starts_with(piece, '*') AND ends_with(piece, '*') THEN 'italic' ELSE 'plain' END AS mark,
+CASE WHEN starts_with(piece, '**') AND ends_with(piece, '**') THEN substr(piece, 3, greatest(len(piece) - 4, 0)) WHEN starts_with(piece, '`') AND ends_with(piece, '`') OR starts_with(piece, '*') AND ends_with(piece, '*') THEN substr(piece, 2, greatest(len(piece) - 2, 0)) ELSE piece END AS text FROM z WHERE piece <> ''""".replace("\\\\", "\\"))
+def p26_inline_marks(spark, sf_dir):
+    """Bold, italic, code and plain pieces of all texts, in order."""
+    found = search.inline_marks(search.line_islands(marked_lines(spark, sf_dir), "doc_id"))
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("first", "part", "at")), "mark", "text")
+
+
+TERMS = "tw AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part), " + FORMS.replace("c AS (SELECT", "tc AS (SELECT", 1).replace("FROM w)", "FROM tw)").replace(", f AS (", ", tf AS (").replace("FROM c)", "FROM tc)")
+MANY = ", j AS (SELECT tf.t AS term, f.t, CASE WHEN list_has_any(f.forms, tf.forms) THEN 3.0 ELSE 2.0 END AS score FROM f JOIN tf ON list_has_any(f.forms, tf.forms) OR len(list_filter(f.forms, lambda v: len(v) >= 3 AND len(list_filter(tf.forms, lambda o: len(o) >= 3 AND (contains(v, o) OR contains(o, v)))) > 0)) > 0)"
+
+
+def terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+
+
+@query(WORDS + ", " + FORMS + ", " + TERMS + MANY + " SELECT term, t, score FROM j")
+def j9_many_terms(spark, sf_dir):
+    """Every word of the parts' names against every word of the documents."""
+    return search.many_terms(words(spark, sf_dir).select("t").distinct(), terms(spark, sf_dir))
+
+
+@query(WORDS + ", " + FORMS + ", " + TERMS + MANY + ", h AS (SELECT term, doc_id, i, score FROM w JOIN j ON w.t = j.t), m AS (SELECT term, doc_id, max(score) AS score FROM h GROUP BY ALL) SELECT h.term, h.doc_id, CASE WHEN h.score = 3 THEN 'exact' ELSE 'partial' END AS mode, count(*) AS n FROM h JOIN m ON h.term = m.term AND h.doc_id = m.doc_id AND h.score = m.score GROUP BY ALL")
+def j9_many_hits(spark, sf_dir):
+    """How often each term is hit in each document, by its best tier there."""
+    found = search.many_hits(words(spark, sf_dir), terms(spark, sf_dir), ["doc_id"])
+    return found.groupBy("term", "doc_id", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WORDS + ", z AS (SELECT doc_id, i, printf('%3d  %6.2f %6.2f   %s', CAST(c AS INT), CAST(x AS DOUBLE), CAST(y AS DOUBLE), t) AS line FROM w), o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y * 2, 0), x) - 1 AS pos FROM w) SELECT doc_id, pos, line FROM z JOIN o USING (doc_id, i)")
+def s16_text_files(spark, sf_dir):
+    """The words written as text in reading order, a folder a document, and read back."""
+    at = folders.fresh(spark, "texts")
+    search.write_text(words(spark, sf_dir), "doc_id", at)
+    return search.read_text(spark, "doc_id", at).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "line")
 
 
 def rows(spark, data, schema):

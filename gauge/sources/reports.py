@@ -6,19 +6,22 @@ needs it orders by ``pos``. Files without lines give no rows.
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gauge.functions import names, tolerance
+from gauge.operators import scan
+from gauge.sources import folders
 
 #: Fields of a data line at least; the block of rows before any header; fixed values.
 LEAST_FIELDS, NO_BLOCK = 8, "(sin bloque)"
+#: Lines of a file that a task has at once, at most.
+SLAB_LINES = 1 << 16
 #: Vertical distance at which words are on different lines.
 ROW_GAP = 3.0
 
@@ -90,19 +93,14 @@ def discover_drawings(found: DataFrame, folder: str = "1-2D y 3D Pieza") -> Data
 def parse_blocks(rows: DataFrame) -> DataFrame:
     """Measurements of (file, pos, line): a header starts a block, whose data lines are numbered from 1.
 
-    A header's occurrence counts its repeats within the file. Separator lines and lines of nothing but
+    A header's occurrence counts its repeats within the file. Long files are scanned in slabs of lines. Separator lines and lines of nothing but
     semicolons are skipped; a line of too few fields, or without a characteristic, is a header.
     """
     line, fields = F.col("line"), F.split("line", ";", -1)
     used = rows.where((F.regexp_replace(line, r"[;\s]", "") != "") & ~line.startswith("****") & ~line.startswith("////"))
     is_data = (F.size(fields) >= LEAST_FIELDS) & (names.trimmed(F.get(fields, F.lit(1))) != "")
     used = used.withColumns({"f": fields, "header": F.when(~is_data, F.regexp_replace(line, r"[; \t]+$", ""))})
-    at = W.partitionBy("file").orderBy("pos")
-    used = used.withColumn("block_no", F.count("header").over(at))
-    again = F.row_number().over(W.partitionBy("file", "header").orderBy("pos"))
-    used = used.withColumn("seen", F.when(F.col("header").isNotNull(), again))
-    filled = used.withColumns({"block": F.coalesce(F.last("header", True).over(at), F.lit(NO_BLOCK)), "occurrence": F.coalesce(F.last("seen", True).over(at), F.lit(0))}).where("header is null")
-    filled = filled.withColumn("idx", F.row_number().over(W.partitionBy("file", "block_no").orderBy("pos")))
+    filled = scan.blocks(used, ["file"], "pos", "header", F.floor(F.col("pos") / SLAB_LINES), NO_BLOCK)
     text = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
     parsed = filled.select("file", "pos", "block", "occurrence", "idx", names.trimmed(text(0)).alias("cmm_id"), names.trimmed(text(1)).alias("characteristic"), *(names.number(text(i)).alias(n) for i, n in ((3, "nominal"), (4, "tol_sup"), (5, "tol_inf"), (6, "measured"), (7, "deviation"), (8, "excess"))), names.trimmed(text(9)).alias("bar"))
     return parsed.withColumns({
@@ -260,14 +258,23 @@ def of_lots(scans: DataFrame, samples: DataFrame) -> DataFrame:
     return scans.join(samples, "lot")
 
 
-def cached(spark: SparkSession, folder: str, signature: dict, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``compute`` gives, kept in ``folder`` under a hash of its signature; unread or broken ones are made anew."""
-    path = f"{folder}/{hashlib.sha256(json.dumps(signature, sort_keys=True).encode()).hexdigest()}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+def cached(spark: SparkSession, folder: str, signature: dict, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The table that ``compute`` gives, kept in ``folder`` beside a manifest with its signature and the size of its files.
+
+    It is made anew where there is none, where the signature differs, where its files are not those that the manifest
+    states, and where that is forced. The manifest is written last, so a broken write has none. A signature names
+    what the table depends on: the size and time of its input (``folders.stat``) and the parameters.
+    """
+    manifest = f"{folder}/manifest.json"
+    known = folders.read_json(spark, manifest)
+    wanted = json.loads(json.dumps(signature))
+    if not force and known is not None and known.get("signature") == wanted and folders.stat(spark, f"{folder}/{known['data']}") == known["files"]:
+        return spark.read.parquet(f"{folder}/{known['data']}")
+    data = f"data-{uuid.uuid4().hex}"  # readers of the old table keep it
+    compute().write.parquet(f"{folder}/{data}")
+    found = {"signature": wanted, "data": data, "files": folders.stat(spark, f"{folder}/{data}")}
+    folders.write_bytes(spark, manifest, json.dumps(found).encode())
+    return spark.read.parquet(f"{folder}/{data}")
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
