@@ -1,134 +1,12 @@
-"""Queries on raw formats: fixture files are written to a folder and read through the readers; the SQL states the rows.
-
-The formats have no table among the tests' ones, so these queries read none. Spark leaves files of 0 bytes out.
-"""
+"""Queries on raw formats whose files, boxes and lines stand for rows of the given tables; tables that are written and read again."""
 
 from __future__ import annotations
 
-import hashlib
-import struct
-import tempfile
-
 from pyspark.sql import functions as F
 
-from gauge.functions import names
-from gauge.plans.measurements import measurements, nok, table
-from gauge.plans.measurements import M, NOK
+from gauge.plans.measurements import M, NOK, measurements, nok, table
 from gauge.plans.registry import query
-from gauge.plans.text_queries import BLOCKS, CONTOUR_WORDS, OLD, REPORT, _values, rows
-from gauge.sources import reports
-
-
-def folder(spark, files: dict[str, bytes], name: str) -> str:
-    """A folder with these files, written by Hadoop's file system: below the cluster's shared folder, or a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    root = f"{shared}/gauge-{name}-{hashlib.sha256(repr(sorted(files.items())).encode()).hexdigest()[:16]}"
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    system = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for path, content in files.items():
-        at = hadoop.Path(f"{root}/{path}")
-        if not system.exists(at):
-            out = system.create(at)
-            out.write(bytearray(content))
-            out.close()
-    return root
-
-
-def below(column: str, name: str) -> F.Column:
-    """A path below the fixtures' folder."""
-    return F.regexp_extract(column, rf"gauge-{name}-[0-9a-f]+/(.*)$", 1).alias("file")
-
-
-LINES = REPORT[1].encode("cp1252")
-REPORTS = {"support intern.01/c13/3212_c13.csv": LINES, "support intern.08/14_3212.csv": "N1 Ø;\r\n1;Posición;;1.0;0.1;-0.1;1.2;0.2;0.1;--->>".encode("cp1252"), "support intern.01/3212_totes.csv": LINES, "support intern.02/3212_c17.csv": LINES, "none/3212_c16.csv": b"\n"}
-
-
-def report_files(spark):
-    return reports.files(spark, folder(spark, REPORTS, "reports"), "*.[cC][sS][vV]")
-
-
-@query(_values(["file", "sample", "cavity", "reason"], [("support intern.01/c13/3212_c13.csv", "01", "c13", None), ("support intern.08/14_3212.csv", "08", "c14", None), ("none/3212_c16.csv", "??", "c16", None), ("support intern.01/3212_totes.csv", None, None, "all cavities"), ("support intern.02/3212_c17.csv", None, None, "no cavity")]))
-def s2_reports(spark, sf_dir):
-    found = report_files(spark)
-    kept = reports.discover_reports(found).orderBy("sample", "cavity").select(below("path", "reports"), "sample", "cavity", F.lit(None).cast("string").alias("reason"))
-    return kept.union(reports.skipped_reports(found).select(below("path", "reports"), F.lit(None), F.lit(None), "reason"))
-
-
-READ = [("01", "c13", b[0], f"{b[1]}#{b[2]}||{b[3]}", b[7], b[9]) for b in BLOCKS] + [("08", "c14", 1, "N1 Ø#1||1", 1.2, True)]
-
-
-@query("SELECT sample, cavity, pos, key, CAST(measured AS DOUBLE) AS measured, nok FROM (" + _values(["sample", "cavity", "pos", "key", "measured", "nok"], READ) + ")")
-def s6_read_reports(spark, sf_dir):
-    return reports.read_reports(spark, folder(spark, REPORTS, "reports")).select("sample", "cavity", "pos", "key", "measured", "nok")
-
-
-@query(_values(["pos", "block"], [(b[0], b[1]) for b in BLOCKS]))
-def w2_header_fill(spark, sf_dir):
-    return reports.read_reports(spark, folder(spark, REPORTS, "reports")).where("cavity = 'c13'").select("pos", "block")
-
-
-@query(_values(["pos", "idx"], [(b[0], b[3]) for b in BLOCKS]))
-def w3_block_index(spark, sf_dir):
-    return reports.read_reports(spark, folder(spark, REPORTS, "reports")).where("cavity = 'c13'").select("pos", "idx")
-
-
-CLOUDS = {"intern.01/c13/PUNTS_NOUS.txt": b"+0000.0392 +0000.0203 +0027.7390\n\n -0001.5\t2 3", "intern.01/c13/perfil.txt": b"1 2 3\r\n4 5 6\r\n", "intern.5/Cav_15/punts.txt": b"7 8 9", "intern.05/notes.txt": b"1 2 3"}
-
-
-@query(_values(["file", "sample", "cavity", "family", "rank"], [("intern.01/c13/PUNTS_NOUS.txt", "01", "c13", "nous", 2), ("intern.01/c13/perfil.txt", "01", "c13", "perfil", 0), ("intern.5/Cav_15/punts.txt", "05", "c15", "punts", 1)]))
-def s3_clouds(spark, sf_dir):
-    found = reports.discover_clouds(reports.files(spark, folder(spark, CLOUDS, "clouds"), "*.[tT][xX][tT]"))
-    return found.select(below("path", "clouds"), "sample", "cavity", "family", "rank")
-
-
-@query("SELECT cavity, family, pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM (" + _values(["cavity", "family", "pos", "x", "y", "z"], [("c13", "nous", 0, 0.0392, 0.0203, 27.739), ("c13", "nous", 2, -1.5, 2.0, 3.0), ("c13", "perfil", 0, 1, 2, 3), ("c13", "perfil", 1, 4, 5, 6), ("c15", "punts", 0, 7, 8, 9)]) + ")")
-def s7_read_clouds(spark, sf_dir):
-    return reports.read_clouds(spark, folder(spark, CLOUDS, "clouds")).select("cavity", "family", "pos", "x", "y", "z")
-
-
-@query(_values(["file", "sample"], [("intern.5/Cav_15/punts.txt", "05")]))
-def f7_chosen(spark, sf_dir):
-    found = reports.discover_clouds(reports.files(spark, folder(spark, CLOUDS, "clouds"), "*.[tT][xX][tT]"))
-    return reports.chosen(found, ["1", "5"], ["C15", "c16"], "punts").select(below("path", "clouds"), "sample")
-
-
-CONTOURS = {"intern.03/C14/PA_3.pdf": b"x", "intern.03/C14/PB_12.pdf": b"x", "intern.03/C14/PC_1.pdf": b"x", "intern.03/C14/PA_3 copy.pdf": b"x"}
-
-
-@query(_values(["file", "sample", "cavity", "element"], [("intern.03/C14/PA_3.pdf", "03", "c14", "PA_3"), ("intern.03/C14/PB_12.pdf", "03", "c14", "PB_12")]))
-def s4_contours(spark, sf_dir):
-    found = reports.discover_contours(reports.files(spark, folder(spark, CONTOURS, "contours"), "*.pdf"))
-    return found.select(below("path", "contours"), "sample", "cavity", names.element(F.col("profile"), F.col("index")).alias("element"))
-
-
-@query(_values(["name", "element"], [("PA_3", "PA_3"), ("PB_12", "PB_12")]))
-def p15_element(spark, sf_dir):
-    found = reports.discover_contours(reports.files(spark, folder(spark, CONTOURS, "contours"), "*.pdf"))
-    return found.select(names.stem(F.col("path")).alias("name"), names.element(F.col("profile"), F.col("index")).alias("element"))
-
-
-DRAWINGS = {"3212 Pump/1-2D y 3D Pieza/plan.pdf": b"12345", "3051/1-2D y 3D Pieza/plan b.pdf": b"1", "3051/other/plan.pdf": b"1"}
-
-
-@query(_values(["project", "code", "length"], [("3212 Pump", "3212", 5), ("3051", "3051", 1)]))
-def s5_drawings(spark, sf_dir):
-    found = reports.files(spark, folder(spark, DRAWINGS, "drawings"), "*.pdf")
-    return reports.discover_drawings(found).select("project", "code", "length")
-
-
-MESHES = {"3212-315346-c13.stl": b"\0" * 80 + struct.pack("<I", 2) + b"\0" * 100, "09-12-2024_C1-3051.stl": b"\0" * 80 + struct.pack("<I", 70000) + b"\0" * 10}
-
-
-@query(_values(["file", "triangles", "whole"], [("3212-315346-c13.stl", 2, True), ("09-12-2024_C1-3051.stl", 70000, False)]))
-def d_s22_mesh(spark, sf_dir):
-    found = reports.mesh_headers(reports.files(spark, folder(spark, MESHES, "meshes"), "*.stl"))
-    return found.select(below("path", "meshes"), "triangles", "whole")
-
-
-@query(_values(["file", "project", "lot", "cavity", "date"], [("3212-315346-c13.stl", "3212", "315346", "c13", None), ("09-12-2024_C1-3051.stl", "3051", None, "C1", "09-12-2024")]))
-def d_p32_scan_name(spark, sf_dir):
-    found = reports.files(spark, folder(spark, MESHES, "meshes"), "*.stl")
-    return found.select(below("path", "meshes"), names.scan_name(F.col("path")).alias("s")).select("file", "s.*")
+from gauge.sources import folders, reports
 
 
 @query("WITH a AS (SELECT l_orderkey AS file, l_linenumber AS image, CAST(l_quantity AS INT) AS w, CAST(l_suppkey AS INT) AS h FROM lineitem), b AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY w * h DESC, image) AS turn FROM a) SELECT file, image, w * h AS area FROM b WHERE turn = 1")
@@ -163,8 +41,8 @@ def f15_box_filter(spark, sf_dir):
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 def s12_cache(spark, sf_dir):
-    """The second call reads what the first one wrote."""
-    at, signature = folder(spark, {}, "cache"), {"table": sf_dir, "what": "brands"}
+    """The second call reads what the first one wrote, as the table's size and time are the same."""
+    at, signature = f"{folders.fresh(spark, 'cache')}/brands", {"input": folders.stat(spark, f"{sf_dir}/part.parquet"), "what": "brands"}
     compute = lambda: table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
     reports.cached(spark, at, signature, compute)
     return reports.cached(spark, at, signature, lambda: spark.range(0))
@@ -172,65 +50,7 @@ def s12_cache(spark, sf_dir):
 
 @query(M + f"SELECT sample, cavity, count(*) FILTER ({NOK}) AS nok FROM m GROUP BY ALL")
 def s15_tables(spark, sf_dir):
-    at = folder(spark, {}, f"tables-{hashlib.sha256(sf_dir.encode()).hexdigest()[:8]}")
+    at = folders.fresh(spark, "tables")
     index = measurements(spark, sf_dir).groupBy("sample", "cavity").agg(F.count_if(nok()).alias("nok"))
     reports.write_tables({"index": index}, at)
     return spark.read.parquet(f"{at}/index")
-
-
-HISTORY = [("09", 6, "Date", "Responsable", "Remarks"), ("09", 7, "INFORME 1", None, None), ("09", 8, "12/03/2024", "DB", "FOT Batch 315252"), ("09", 9, None, None, "no date"), ("09", 12, "INFORME  8", None, None), ("09", 13, "02/04/2025", "MH", "ICL"), ("09", 14, "04/04/2025", "KK", "Update to 5 pcs"), ("09", 17, "INFORME 8", None, None), ("09", 18, "05/04/2025", "NV", None)]
-
-
-@query(_values(["row", "block", "report", "date", "responsible", "remarks"], [(8, 1, 1, "12/03/2024", "DB", "FOT Batch 315252"), (13, 2, 8, "02/04/2025", "MH", "ICL"), (14, 2, 8, "04/04/2025", "KK", "Update to 5 pcs"), (18, 3, 8, "05/04/2025", "NV", None)]))
-def d_w9_history(spark, sf_dir):
-    return reports.history(rows(spark, HISTORY, "file string, row int, a string, e string, f string")).drop("file")
-
-
-CELLS = [("DR(3D)", 13, "A", "Nr"), ("DR(3D)", 14, "A", "N178"), ("DR(3D)", 14, "D", "4"), ("DR(3D)", 14, "F", "-0,10"), ("DR(3D)", 14, "H", "3,95"), ("DR(3D)", 15, "B", "max"), ("DR(3D)", 15, "H", "4,2"), ("DR(3D)", 15, "L", "X"), ("DR(3D)", 16, "A", "242"), ("DR(3D)", 16, "K", "n/a"), ("COVER", 14, "A", "N1")]
-
-
-@query("SELECT row, nr, CAST(nominal AS DOUBLE) AS nominal, CAST(tol_inf AS DOUBLE) AS tol_inf, CAST(c13 AS DOUBLE) AS c13, nok FROM (" + _values(["row", "nr", "nominal", "tol_inf", "c13", "nok"], [(14, "N178", 4.0, -0.1, 3.95, False), (15, "N178", None, None, 4.2, True), (16, "242", None, None, None, False)]) + ")")
-def d_s20_cells(spark, sf_dir):
-    cells = rows(spark, [("a", *c) for c in CELLS], "file string, sheet string, row int, col string, text string")
-    return reports.dimension_rows(cells).select("row", "nr", "nominal", "tol_inf", "c13", "nok")
-
-
-SLIDES = [(1, 0, "P3212 Tool correction nº1 14/03/2024"), (1, 1, "DIM. Nr.170 and DIM. Nr 117"), (1, 2, "Reduir el ferro 0,05 mm"), (1, 3, "OK"), (2, 0, "DIM. Nr.XX"), (2, 1, "Polir")]
-
-
-@query("SELECT slide, correction, project, date, numbers, CAST(magnitude_mm AS DOUBLE) AS magnitude_mm, sign, done FROM (" + _values(["slide", "correction", "project", "date", "numbers", "magnitude_mm", "sign", "done"], [(1, 1, "3212", "14/03/2024", "170,117", 0.05, "+", True), (2, None, None, None, "", None, "0", False)]) + ")")
-def d_s21_slides(spark, sf_dir):
-    found = reports.corrections(rows(spark, [("a", *s) for s in SLIDES], "file string, slide int, pos int, text string"))
-    return found.select("slide", "correction", "project", "date", F.array_join("n_numbers", ",").alias("numbers"), "magnitude_mm", "sign", "done")
-
-
-@query(_values(["header", "role"], [("N170 BOLT MIN/MAX H=5.0", "min/max"), ("N178 PLAN. 0.10 MAX.", "max"), ("GN MIN.", "min"), ("N1 MINIMUM", None)]))
-def d_p28_role(spark, sf_dir):
-    own = rows(spark, [("N170 BOLT MIN/MAX H=5.0",), ("N178 PLAN. 0.10 MAX.",), ("GN MIN.",), ("N1 MINIMUM",)], "header string")
-    return own.select("header", names.role(F.col("header")).alias("role"))
-
-
-@query(_values(["id", "code", "rest"], [(1, "3212", "Pump Housing"), (2, "3212", "Pump Housing"), (3, "3212", "lote 315346"), (4, "Valve", ""), (5, None, ""), (6, "", "")]))
-def p22_split_ref(spark, sf_dir):
-    code, rest = names.split_reference(F.col("part_ref"))
-    return rows(spark, OLD, "id int, name string, kind string, part_ref string").select("id", code.alias("code"), rest.alias("rest"))
-
-
-@query(_values(["id", "kind"], [(1, "scan"), (2, "part"), (3, "drawing"), (4, "moldflow"), (5, "part"), (6, "scan")]))
-def p23_reclassify(spark, sf_dir):
-    return rows(spark, OLD, "id int, name string, kind string, part_ref string").select("id", names.reclassified(F.col("kind"), F.col("name")).alias("kind"))
-
-
-RESTS = [("lid", "Lote 9", "Pump"), ("lid lote 9", "Lote 9", "Pump"), ("lid", "Pump", "Pump"), ("x" * 250, "rest that is cut", None), ("lid", "", "Pump")]
-
-
-@query(_values(["name", "rest", "told"], [("lid", "Lote 9", "lid - Lote 9"), ("lid lote 9", "Lote 9", "lid lote 9"), ("lid", "Pump", "lid"), ("x" * 250, "rest that is cut", "x" * 250 + " - re"), ("lid", "", "lid")]))
-def p24_append_rest(spark, sf_dir):
-    own = rows(spark, RESTS, "name string, rest string, chosen string")
-    return own.select("name", "rest", names.with_rest(F.col("name"), F.col("rest"), F.col("chosen")).alias("told"))
-
-
-@query(_values(["file", "lines"], [("a", 6)]))
-def w5_contour_lines(spark, sf_dir):
-    own = rows(spark, [("a", x, y, w) for w, x, y in CONTOUR_WORDS], "file string, x0 double, y0 double, word string")
-    return reports.anchor_rows(own).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))

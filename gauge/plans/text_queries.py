@@ -194,143 +194,6 @@ def s16_text_files(spark, sf_dir):
     return search.read_text(spark, "doc_id", at).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "line")
 
 
-def rows(spark, data, schema):
-    return spark.createDataFrame(data, schema)
-
-
-PATHS = ["r/support intern.01/3212_c13.csv", "r/support.intern.8/13_3212.csv", "r/support.intern.05/c15/3212_Cav_.txt", "r/C16/PA_3.pdf", "r/INTERN 3/3212c14.csv", "r/intern.01/3212_totes.csv", "r/intern.02/3212_c17.csv", "r/none/PUNTS_NOUS_c13.txt", "r/Cav_14/punts.txt"]
-
-
-def _values(names_, found):
-    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in found)}) v({', '.join(names_)})"
-
-
-@query(_values(["path", "sample"], zip(PATHS, ["01", "08", "05", "??", "03", "01", "02", "??", "??"], strict=True)))
-def p1_sample(spark, sf_dir):
-    return rows(spark, [(p,) for p in PATHS], "path string").select("path", names.sample_number(F.col("path")).alias("sample"))
-
-
-def _cavities(kind):
-    return lambda spark: rows(spark, [(p,) for p in PATHS], "path string").select("path", names.cavity(F.col("path"), kind).alias("cavity"))
-
-
-@query(_values(["path", "cavity"], zip(PATHS, ["c13", "c13", "c15", "c16", "c14", None, None, "c13", None], strict=True)))
-def p2_cavity_csv(spark, sf_dir):
-    return _cavities("report")(spark)
-
-
-@query(_values(["path", "cavity"], zip(PATHS, ["c13", "c13", "c15", "c16", "c14", None, None, "c13", "c14"], strict=True)))
-def p2_cavity_txt(spark, sf_dir):
-    return _cavities("cloud")(spark)
-
-
-@query(_values(["path", "cavity"], zip(PATHS, ["c13", "c13", "c15", "c16", "c14", None, None, "c13", "c14"], strict=True)))
-def p2_cavity_pdf(spark, sf_dir):
-    return _cavities("contour")(spark)
-
-
-@query(_values(["path", "family"], zip(PATHS, ["perfil"] * 7 + ["nous", "punts"], strict=True)))
-def p3_family(spark, sf_dir):
-    return rows(spark, [(p,) for p in PATHS], "path string").select("path", names.family(F.col("path")).alias("family"))
-
-
-NUMBERS = [" 1.5 ", "", "abc", "-0.25", "+3", "1d", "1_0", ".5", "1e3", "1.", "-"]
-
-
-@query(_values(["text", "value"], zip(NUMBERS, [1.5, None, None, -0.25, 3.0, None, None, 0.5, 1000.0, 1.0, None], strict=True)).replace("SELECT *", "SELECT text, CAST(value AS DOUBLE) AS value"))
-def p4_tolerant_cast(spark, sf_dir):
-    return rows(spark, [(n,) for n in NUMBERS], "text string").select("text", names.number(F.col("text")).alias("value"))
-
-
-REPORT = ["r/a.csv", "orphan;Pla;;1.0;0.1;-0.1;1.05;0.05\r\n****\r\nN178 PLAN. 0.10 MAX.;;\r\n11;Planitud;;0.000;0.100;0.000;0.061;0.061; ;-----**----\r\n*** POS H=5.0 ***\r\n31;Pos X;;31.000;0.100;-0.100;-30.990;-61.990;61.89;<<---\r\n32;Pos Z; ;x;0.1;-0.1;5.0;0.0;;--*--;extra\r\n;;;;\r\n////\r\nN178 PLAN. 0.10 MAX.\r\n;Planitud;;0.000;0.100;0.000;0.2;0.2;0.1;\r\n7;seven;;1;2;3;4\r\n8; ;;1;2;3;4;5"]
-BLOCKS = [
-    (0, "(sin bloque)", 0, 1, "orphan", "Pla", 1.0, 1.05, None, False, False), (3, "N178 PLAN. 0.10 MAX.", 1, 1, "11", "Planitud", 0.0, 0.061, None, False, False),
-    (5, "*** POS H=5.0 ***", 1, 1, "31", "Pos X", 31.0, -30.99, 61.89, True, True), (6, "*** POS H=5.0 ***", 1, 2, "32", "Pos Z", None, 5.0, None, False, False), (10, "N178 PLAN. 0.10 MAX.", 2, 1, "", "Planitud", 0.0, 0.2, 0.1, True, False),
-]
-
-
-def report(spark):
-    return reports.parse_blocks(reports.lines(rows(spark, [REPORT], "file string, text string")))
-
-
-@query("SELECT pos, block, occurrence, idx, cmm_id, characteristic, CAST(nominal AS DOUBLE) AS nominal, CAST(measured AS DOUBLE) AS measured, CAST(excess AS DOUBLE) AS excess, nok, sign_suspect FROM (" + _values(["pos", "block", "occurrence", "idx", "cmm_id", "characteristic", "nominal", "measured", "excess", "nok", "sign_suspect"], BLOCKS) + ")")
-def s6_block_parse(spark, sf_dir):
-    return report(spark).select("pos", "block", "occurrence", "idx", "cmm_id", "characteristic", "nominal", "measured", "excess", "nok", "sign_suspect")
-
-
-@query(_values(["pos", "block", "occurrence", "idx"], [b[:4] for b in BLOCKS]))
-def w1_occurrence(spark, sf_dir):
-    return report(spark).select("pos", "block", "occurrence", "idx")
-
-
-@query(_values(["pos", "label"], [(b[0], f"{b[1]}  [{b[3]}] {b[5]}" + (f"  #{b[4]}" if b[4] else "")) for b in BLOCKS]))
-def p9_label(spark, sf_dir):
-    return report(spark).select("pos", "label")
-
-
-@query(_values(["pos", "key"], [(b[0], f"{b[1]}#{b[2]}||{b[3]}") for b in BLOCKS]))
-def p10_key(spark, sf_dir):
-    return report(spark).select("pos", "key")
-
-
-@query("SELECT pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM (" + _values(["pos", "x", "y", "z"], [(0, 0.0392, 0.0203, 27.739), (2, -1.5, 2.0, 3.0)]) + ")")
-def s7_cloud(spark, sf_dir):
-    own = rows(spark, [("a", "+0000.0392 +0000.0203 +0027.7390\n\n -0001.5\t2 3")], "file string, text string")
-    return reports.parse_cloud(reports.lines(own)).select("pos", "x", "y", "z")
-
-
-CONTOUR_WORDS = [(w, float(x), y) for y, line in ((1.0, "Contorno (21) -0.025 -0.242 -0.217"), (20.0, "CONTORN (10) 0.025 -0.038 0.000"), (40.5, "YZ(X) 0.181"), (60.0, "LD=0.5 12.03.2024 10:15"), (80.0, "PERFIL_A"), (90.0, "Contorno (22) -0.030 -0.1 -0.2")) for x, w in enumerate(line.split())]
-
-
-@query("SELECT '22' AS contour, '10' AS nominal, -0.03::DOUBLE AS tol_inf, -0.2::DOUBLE AS infr_inf, 0.025::DOUBLE AS tol_sup, 0.0::DOUBLE AS infr_sup, 0.181::DOUBLE AS mean, 0.5::DOUBLE AS ld, '10:15' AS time, 'PERFIL_A' AS profile_name")
-def s8_contour(spark, sf_dir):
-    own = rows(spark, [("a", x, y, w) for w, x, y in CONTOUR_WORDS], "file string, x0 double, y0 double, word string")
-    return reports.parse_contours(reports.anchor_rows(own)).select("contour", "nominal", "tol_inf", "infr_inf", "tol_sup", "infr_sup", "mean", "ld", "time", "profile_name")
-
-
-@query(_values(["row", "text"], [(1, "a b"), (2, "c"), (3, "d")]))
-def w5_anchor_rows(spark, sf_dir):
-    own = rows(spark, [("f", 2.0, 1.0, "b"), ("f", 1.0, 3.5, "a"), ("f", 0.0, 4.2, "c"), ("f", 0.0, 9.0, "d")], "file string, x0 double, y0 double, word string")
-    return reports.anchor_rows(own).select("row", "text")
-
-
-PHRASE = [(0, "PRESSURE", 0.0, 1.0, 5.0, 1.0), (1, "TEST", 6.6, 1.7, 2.0, 1.0), (2, "TEST", 4.7, 1.0, 1.0, 1.0), (3, "pressure", 20.0, 1.0, 5.0, 1.0), (4, "test", 26.61, 1.0, 2.0, 1.0), (5, "PRESSURES", 40.0, 5.0, 5.0, 1.0), (6, "TEST", 45.5, 5.71, 2.0, 1.0), (7, "TESTS", 45.5, 5.5, 2.0, 1.0)]
-
-
-@query("SELECT i0, t, mode, CAST(x AS DOUBLE) AS x, CAST(w AS DOUBLE) AS w FROM (" + _values(["i0", "t", "mode", "x", "w"], [(0, "PRESSURE TEST", "exact", 0.0, 5.7), (5, "PRESSURES TESTS", "partial", 40.0, 7.5)]) + ")")
-def j6_phrase(spark, sf_dir):
-    own = rows(spark, [("p", *w) for w in PHRASE], "page string, i int, t string, x double, y double, w double, h double")
-    return search.phrase(own, ["pressure", "test"], "page").select("i0", "t", "mode", "x", F.round("w", 6).alias("w"))
-
-
-OLD = [(1, "scan of lid", "part", "3212 Pump Housing"), (2, "model", "part", "3212 Pump Housing"), (3, "drawing", "drawing", "3212 lote 315346"), (4, "flow", "moldflow", "Valve"), (5, "none", "part", None), (6, "file.stl", "part", " ")]
-
-
-@query(_values(["id", "name", "kind", "part_code"], [(1, "scan of lid", "scan", "3212"), (2, "model", "part", "3212"), (3, "drawing - lote 315346", "drawing", "3212"), (4, "flow", "moldflow", "Valve"), (5, "none", "part", None), (6, "file.stl", "scan", None)]))
-def m8_backfill(spark, sf_dir):
-    return catalog.backfilled(rows(spark, OLD, "id int, name string, kind string, part_ref string"))[1]
-
-
-@query(_values(["code", "name"], [("3212", "Pump Housing"), ("Valve", None)]))
-def m8_backfilled_parts(spark, sf_dir):
-    return catalog.backfilled(rows(spark, OLD, "id int, name string, kind string, part_ref string"))[0]
-
-
-ACTIONS = [("Fer créixer el plàstic", "+"), ("Reduir el ferro", "+"), ("incrementar acer", "-"), ("Reduir plàstic", "-"), ("Polir", "0"), ("No fer res", "0"), ("altres", None)]
-
-
-@query(_values(["action", "sign"], ACTIONS))
-def d_p31_sign(spark, sf_dir):
-    return rows(spark, [(a,) for a, _ in ACTIONS], "action string").select("action", names.action_sign(F.col("action")).alias("sign"))
-
-
-@query(_values(["header", "numbers", "height"], [("N170 BOLT 1 MIN/MAX H=5.0 mm", "170", 5.0), ("N12, N13 PLAN", "12,13", None)]).replace("SELECT *", "SELECT header, numbers, CAST(height AS DOUBLE) AS height"))
-def d_p27_n_number(spark, sf_dir):
-    own = rows(spark, [("N170 BOLT 1 MIN/MAX H=5.0 mm",), ("N12, N13 PLAN",)], "header string")
-    return own.select("header", F.array_join(names.dimensions(F.col("header")), ",").alias("numbers"), names.height(F.col("header")).alias("height"))
-
-
 FILL = "SELECT l_orderkey, l_linenumber, l_partkey, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS filled FROM lineitem"
 
 

@@ -111,13 +111,18 @@ def parse_blocks(rows: DataFrame) -> DataFrame:
     })
 
 
-def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """All measurements of the reports below a folder, with sample and cavity."""
-    found = discover_reports(files(spark, root, "*.[cC][sS][vV]"))
+def measured_in(found: DataFrame) -> DataFrame:
+    """All measurements of the reports among some files (path, length, content), with sample and cavity."""
+    found = discover_reports(found)
     parsed = parse_blocks(lines(found.select(F.col("path").alias("file"), decode_windows(F.col("content")).alias("text"))))
     return parsed.join(found.select(F.col("path").alias("file"), "sample", "cavity"), "file")
 
 
+def read_reports(spark: SparkSession, root: str) -> DataFrame:
+    """All measurements of the reports below a folder."""
+    return measured_in(files(spark, root, "*.[cC][sS][vV]"))
+
+
 def parse_cloud(rows: DataFrame) -> DataFrame:
     """Points of (file, pos, line): three numbers a line, in the order of measurement."""
     f = F.split(names.trimmed(F.col("line")), r"\s+")
@@ -125,13 +130,17 @@ def parse_cloud(rows: DataFrame) -> DataFrame:
     return rows.where(names.trimmed(F.col("line")) != "").select("file", "pos", *xyz)
 
 
-def read_clouds(spark: SparkSession, root: str) -> DataFrame:
-    found = files(spark, root, "*.[tT][xX][tT]")
+def points_in(found: DataFrame) -> DataFrame:
+    """The points of the clouds among some files (path, length, content), with sample, cavity and family."""
     points = parse_cloud(lines(found.select(F.col("path").alias("file"), decode_windows(F.col("content")).alias("text"))))
     path = F.col("file")
     return points.withColumns({"sample": names.sample_number(path), "cavity": names.cavity(path, "cloud"), "family": names.family(path)}).where("cavity is not null")
 
 
+def read_clouds(spark: SparkSession, root: str) -> DataFrame:
+    return points_in(files(spark, root, "*.[tT][xX][tT]"))
+
+
 def anchor_rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     """Lines of text from words (file, x0, y0, word): a word further than ``gap`` from its line's first one starts another.
 
