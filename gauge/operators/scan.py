@@ -77,13 +77,29 @@ def blocks(rows: DataFrame, by: list[str], pos: str, header: str, slab: Column,
     """Data rows with their block, from rows of which those with a ``header`` start one.
 
     ``block`` is the header before a row, or ``none``; ``occurrence`` counts how often that header came up to then, 0
-    before any; ``idx`` numbers the rows of a block from 1.
+    before any; ``idx`` numbers the rows of a block from 1. Slabs are passed on as in ``scan``, all at once.
     """
-    heads = rows.where(F.col(header).isNotNull()).select(*by, pos, header)
-    seen = scan(heads, [*by, header], [pos], slab, seen=total(F.lit(1))).select(*(F.col(k).alias(f"_h_{k}") for k in by), F.col(pos).alias("_h_pos"), "seen")
-    marked = rows.join(seen, [*(F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in by), F.col(pos) == F.col("_h_pos")], "left").drop(*(f"_h_{k}" for k in by), "_h_pos")
-    is_data = F.col(header).isNull().cast("long")
-    counted = scan(marked, by, [pos], slab, block=last(header), occurrence=last("seen"), n=total(is_data))
-    based = scan(counted, by, [pos], slab, base=last(F.when(F.col(header).isNotNull(), F.col("n"))))
-    data = based.where(F.col(header).isNull())
-    return data.withColumns({"block": F.coalesce("block", F.lit(none)), "occurrence": F.coalesce("occurrence", F.lit(0)).cast("int"), "idx": (F.col("n") - F.coalesce("base", F.lit(0))).cast("int")}).drop(header, "seen", "n", "base")
+    own, names = rows.withColumn("_at", F.struct(F.struct(*by).alias("key"), slab.alias("slab"))), rows.columns
+    at = W.partitionBy("_at").orderBy(pos)
+    so_far = at.rowsBetween(W.unboundedPreceding, 0)
+    is_head = F.col(header).isNotNull()
+    # within a slab: how many data rows there are so far, the last header, its number, and the data rows before it
+    own = own.withColumns({"_n": F.count_if(~is_head).over(so_far), "_turn": F.when(is_head, F.row_number().over(W.partitionBy("_at", header).orderBy(pos)))})
+    own = own.withColumns({"_head": F.last(header, True).over(so_far), "_seen": F.last("_turn", True).over(so_far), "_base": F.last(F.when(is_head, F.col("_n")), True).over(so_far)})
+    # how often each header of a slab came in earlier ones
+    before = lambda *key: W.partitionBy(*key).orderBy("_at.slab").rowsBetween(W.unboundedPreceding, -1)
+    times = own.where(is_head).groupBy("_at", F.col(header).alias("_head")).agg(F.count(F.lit(1)).alias("_times"))
+    times = times.select("_at", "_head", F.coalesce(F.sum("_times").over(before("_at.key", "_head")), F.lit(0)).alias("_times"))
+    # what a slab starts from: the last row of each tells what it passes on
+    ends = own.groupBy("_at").agg(F.max_by(F.struct("_n", "_head", "_seen", "_base"), pos).alias("e")).select("_at", "e.*")
+    ends = ends.join(times, ["_at", "_head"], "left").withColumn("_sum", F.coalesce(F.sum("_n").over(before("_at.key")), F.lit(0)))
+    last_ = lambda c: F.last(c, True).over(before("_at.key"))
+    starts = ends.select("_at", "_sum", last_(F.col("_head")).alias("_head_0"), last_(F.col("_seen") + F.col("_times")).alias("_seen_0"), last_(F.col("_sum") + F.col("_base")).alias("_base_0"))
+    data = own.where(~is_head).join(starts, "_at").join(times, ["_at", "_head"], "left")
+    here = F.col("_head").isNotNull()
+    found = {
+        "block": F.coalesce("_head", "_head_0", F.lit(none)),
+        "occurrence": F.when(here, F.col("_seen") + F.col("_times")).otherwise(F.coalesce("_seen_0", F.lit(0))).cast("int"),
+        "idx": F.when(here, F.col("_n") - F.col("_base")).otherwise(F.col("_sum") + F.col("_n") - F.coalesce("_base_0", F.lit(0))).cast("int"),
+    }
+    return data.select(*(c for c in names if c != header), *(v.alias(k) for k, v in found.items()))
