@@ -213,3 +213,156 @@ def test_op13_confidence_spreads_over_rounds(spark):
 def test_op13_is_native(spark):
     plan = queries.op13_personal_data(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def rows_of(spark, name):
+    return queries.queries()[name](spark, SMALL).collect()
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def test_op1_contract(spark, texts):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    rows = rows_of(spark, "op1_secret_crf")
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        joined = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+        assert r.base_sha256 == sha(",".join(joined)) and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in found) for i in range(3))
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("crf")] == joined and len(spans) == len(joined) + r.n_crf
+
+
+def test_op2_contract(spark, texts):
+    rows = rows_of(spark, "op2_toxicity_ftrl")
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
+def test_op3_contract(spark, texts):
+    rows, source = rows_of(spark, "op3_source_mix"), {r.doc_id: r.source for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    size = {i: len(words_of(t)) for i, t in texts.items()}
+    whole: dict = {}
+    for i, s in source.items():
+        whole[s] = whole.get(s, 0) + size[i]
+    order = sorted(whole, key=lambda s: (s is None, s or ""))
+    weight = {s: Fraction((5, 2, 1)[k % 3]) for k, s in enumerate(order)}
+    target, left, over = {}, Fraction(sum(whole.values())), dict(weight)
+    while over:
+        share = {s: left * w / sum(over.values()) for s, w in over.items()}
+        full = [s for s in over if share[s] > 3 * whole[s]]
+        for s in full or list(over):
+            target[s] = Fraction(3 * whole[s]) if full else share[s]
+            del over[s]
+            left -= target[s]
+    taken: dict = {}
+    for r in rows:
+        s = source[r.doc_id]
+        assert r["size"] == size[r.doc_id] and r.source_size == whole[s] and abs(r.target - float(target[s])) < 1e-6 * max(1, r.target) and 0 <= r.taken <= 3 * r["size"]
+        taken[s] = taken.get(s, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= max(70, 0.02 * target[s]) for s in target)
+    assert rows_of(spark, "op3_source_mix") and sorted(rows) == sorted(rows_of(spark, "op3_source_mix"))
+
+
+def test_op4_contract(spark, texts):
+    groups: dict = {}
+    for i, t in texts.items():
+        groups.setdefault(lower(t), []).append(i)
+    wanted = {(i, max(g), len(g), i == max(g), sha(t)) for t, g in groups.items() for i in g}
+    assert {tuple(r)[:5] for r in rows_of(spark, "op4_lsm_dedup")} == wanted
+
+
+def test_op5_contract(spark, texts):
+    for r in rows_of(spark, "op5_jpeg_media"):
+        data = texts[r.doc_id].encode()
+        payload = data + b" " * (-len(data) % 192 or (192 if not data else 0))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+
+
+def test_op6_contract(spark, texts):
+    sets = {}
+    for i, t in texts.items():
+        w = lower(t).split(" ") and words_of(lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows_of(spark, "op6_ngram_group_join")} == {(i, len(sets[i]), find(i)) for i in ids}
+
+
+def test_op7_and_op8_contracts(spark, texts):
+    tokenizers = pytest.importorskip("tokenizers")
+    import sys
+
+    sys.path.insert(0, "/opt/tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    word, byte = (tokenizers.Tokenizer.from_file(str(public.path(f))) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    start = 0
+    for r in sorted(rows_of(spark, "op8_content_store")):
+        ids = byte.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+    rows, pieces, filled = rows_of(spark, "op7_nnls_packing"), {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, t in texts.items():
+        ids, at = word.encode(t, add_special_tokens=False).ids + [1], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    assert all([o for o, _ in sorted(s)] == np.cumsum([0, *(n for _, n in sorted(s))])[:-1].tolist() and sum(n for _, n in s) <= 2048 for s in filled.values())
+
+
+def test_op9_and_op10_contracts(spark, texts):
+    rows = rows_of(spark, "op9_importance_resampling")
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and any(r.selected for r in rows)
+    assert min(r.key for r in rows if r.selected) >= max(r.key for r in rows if not r.selected)
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    rows = rows_of(spark, "op10_wrapper_induction")
+    assert {(r.page_id, r.url) for r in rows} == set(pages.items()) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_ftrl_equals_a_plain_loop():
+    """The update by single coordinates in Python's own numbers."""
+    from gauge.llm import toxicity_ftrl as model
+
+    r = np.random.default_rng(5)
+    rows = [(np.unique(r.integers(0, 40, 12)).astype(np.int32), int(r.random() < 0.4)) for _ in range(60)]
+    passes = 3
+    found = model.train_shard(rows, passes=passes)
+    z, n, order = {}, {}, np.random.default_rng(11)
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= model.L1:
+            return 0.0
+        return (math.copysign(model.L1, z[i]) - z[i]) / ((model.BETA + math.sqrt(n.get(i, 0.0))) / model.ALPHA + model.L2)
+
+    for _ in range(passes):
+        for k in order.permutation(len(rows)):
+            x = [*rows[k][0].tolist(), model.PRIOR]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - rows[k][1]
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / model.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    assert {int(i): pytest.approx(found[i], abs=1e-9) for i in np.flatnonzero(found)} == {i: weight(i) for i in z if weight(i)}
