@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from gauge.plans import all_queries
 
-HEADLINE = ["a5_nok_by_sample_cavity", "p8_fraction", "j3_align", "l6_top_movers", "w7_evolution_matrix", "d_a20_thresholds", "a7_levels", "d_j12_next_sample", "f1_global_search", "f6_combined", "j4_nested_children", "a11_matrix", "a13_mode", "m5_cascade", "u4_tiers"]
+HEADLINE = ["a5_nok_by_sample_cavity", "p8_fraction", "j3_align", "l6_top_movers", "w7_evolution_matrix", "d_a20_thresholds", "a7_levels", "d_j12_next_sample", "f1_global_search", "f6_combined", "j4_nested_children", "a11_matrix", "a13_mode", "m5_cascade", "u4_tiers", "a16_phrase_box", "casa_partial", "j9_many_terms", "w1_w3_blocks"]
 
 
 def main() -> None:

@@ -11,11 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gauge.functions import text
+from gauge.sources.folders import cut
 
 #: Gap between neighbours of a phrase, in percent of the page; vertical shift in heights of a word.
 GAP_LEAST, GAP_MOST, SHIFT = -0.3, 1.6, 0.7
 #: Side of the cells by which words meet, in percent of the page; what rounding may add.
 CELL, SLACK = 2.0, 1e-6
+#: Distinct words whose matches are sent to all tasks, at most.
+SENT_WORDS = 200_000
 
 
 def spellings(spark: SparkSession, term: str) -> list[str]:
@@ -40,20 +43,29 @@ def reach(form: Column, other: str) -> Column:
     return F.try_divide(2.0 * common, F.length(form) + len(other))
 
 
+def points(form: Column, theirs: list[str]) -> Column:
+    """3 where a spelling is one of others, 2 where one contains the other and both are long enough, else null."""
+    inside = F.lit(False)
+    for o in theirs:
+        if len(o) >= text.PARTIAL_LENGTH:
+            inside = inside | form.contains(o) | F.lit(o).contains(form)
+    return F.when(form.isin(*theirs), 3.0).when((F.length(form) >= text.PARTIAL_LENGTH) & inside, 2.0)
+
+
+def placed(words: DataFrame, found: DataFrame) -> DataFrame:
+    """Words with what was found of each distinct one; few enough, that is sent to the words, which stay where they are."""
+    return words.join(F.broadcast(found) if found.count() <= SENT_WORDS else found, "t")
+
+
 def matched(distinct: DataFrame, theirs: list[str]) -> DataFrame:
     """(t, v, score, most): words with their spellings, 3 for an exact, 2 for a partial match, else null, and what an approximate one can reach.
 
     Spellings are rows, so each is made once and compared by plain expressions.
     """
     f = F.col("f")
-    inside = F.lit(False)
-    for o in theirs:
-        if len(o) >= text.PARTIAL_LENGTH:
-            inside = inside | f.contains(o) | F.lit(o).contains(f)
-    points = F.when(f.isin(*theirs), 3.0).when((F.length(f) >= text.PARTIAL_LENGTH) & inside, 2.0)
     forms = distinct.select("t", F.explode(text.variants(F.col("t"))).alias("f"))
     most = F.greatest(*(reach(f, o) for o in theirs), F.lit(0.0), F.lit(0.0))
-    return forms.groupBy("t").agg(F.collect_list("f").alias("v"), F.max(points).alias("score"), F.max(most).alias("most"))
+    return forms.groupBy("t").agg(F.collect_list("f").alias("v"), F.max(points(f, theirs)).alias("score"), F.max(most).alias("most"))
 
 
 def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "blocks") -> DataFrame:
@@ -78,11 +90,12 @@ def tiers(words: DataFrame, query: str, by: list[str], fuzzy: str | None = "bloc
     elif fuzzy == "dice":
         best = F.array_max(F.flatten(F.transform("v", lambda a: F.array(*(text.dice(a, F.lit(o)) for o in theirs)))))
         found = found.select("t", F.coalesce("score", best).alias("score"))
-    good = found.where(F.col("score") >= text.SIMILAR).select("t", "score")
-    hits = words.join(good, "t").withColumn("tier", F.when(F.col("score") == 3, 1).when(F.col("score") == 2, 2).otherwise(3))
-    best = hits.groupBy(*by).agg(F.min("tier").alias("tier"))
+    good = cut(found.where(F.col("score") >= text.SIMILAR).select("t", "score"))
+    tier = F.when(F.col("score") == 3, 1).when(F.col("score") == 2, 2).otherwise(3)
+    hits = placed(words, good).withColumn("tier", tier)
+    best = hits.withColumn("best", F.min("tier").over(W.partitionBy(*by))).where("tier = best")
     mode = F.when(F.col("tier") == 1, "exact").when(F.col("tier") == 2, "partial").otherwise("approximate")
-    return hits.join(best, [*by, "tier"], "left_semi").withColumn("mode", mode).drop("tier")
+    return best.withColumn("mode", mode).drop("tier", "best")
 
 
 def ranked(hits: DataFrame, n: int = 10, ties: tuple[str, ...] = ("i",)) -> DataFrame:
@@ -105,12 +118,14 @@ def phrase(words: DataFrame, terms: list[str], by: str) -> DataFrame:
     and on cells that a neighbour can lie in, so only words near one another meet.
     """
     spark = words.sparkSession
-    # each distinct word is compared once, and only the words that match are placed
-    vocabulary = words.select("t").distinct()
+    # each distinct word is compared once with all terms, and only the words that match are placed
+    forms = words.select("t").distinct().select("t", F.explode(text.variants(F.col("t"))).alias("f"))
+    scores = {k: F.max(points(F.col("f"), spellings(spark, term))).alias(f"s{k}") for k, term in enumerate(terms)}
+    found = cut(forms.groupBy("t").agg(*scores.values()).where(F.coalesce(*(F.col(f"s{k}") for k in scores)).isNotNull()))
     chain = None
-    for term in terms:
-        fits = matched(vocabulary, spellings(spark, term)).where("score is not null").select("t", F.when(F.col("score") == 3, "exact").otherwise("partial").alias("m"))
-        fit = words.join(fits, "t")
+    for k in scores:
+        fits = found.where(F.col(f"s{k}").isNotNull()).select("t", F.when(F.col(f"s{k}") == 3, "exact").otherwise("partial").alias("m"))
+        fit = placed(words, fits)
         if chain is None:
             chain = fit.select(by, F.col("i").alias("i0"), "i", "x", "y", "w", "h", F.col("t").alias("found"), (F.col("m") == "exact").alias("exact"), F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("bottom"))
             continue
