@@ -36,6 +36,8 @@ from gauge.llm.tokens import encoder, groups
 END_ID = 2
 #: Ids that the rolling hash sees; a mark comes every 2 ** MARK_BITS ids in the mean; ids of a chunk at most.
 ROLL, MARK_BITS, MOST_IDS = 16, 9, 8192
+#: Bytes of texts whose distinct words are looked up together; words that a worker keeps.
+GROUP_BYTES, KEPT_WORDS = 1 << 23, 500_000
 
 
 def vocabulary() -> str:
@@ -80,7 +82,7 @@ def _encoded(documents: DataFrame, path: str) -> DataFrame:
 
     @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced=True)
+        encode = encoder(path, spaced=True, words=KEPT_WORDS)
         wide = encode.tokenizer.get_vocab_size() > 1 << 16
         width, mark = (4, b"\x04") if wide else (2, b"\x02")
         roots, addresses = set(), set()
@@ -98,7 +100,7 @@ def _encoded(documents: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             doc_ids = batch.column(0)
-            for lo, hi, texts in groups(batch.column(1)):
+            for lo, hi, texts in groups(batch.column(1), GROUP_BYTES):
                 raw = encode.ids(texts)
                 ids = np.frombuffer(end.join(raw) + end, "<u4")
                 ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4 + 1)
