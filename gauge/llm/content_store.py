@@ -37,7 +37,7 @@ END_ID = 2
 #: Ids that the rolling hash sees; a mark comes every 2 ** MARK_BITS ids in the mean; ids of a chunk at most.
 ROLL, MARK_BITS, MOST_IDS = 16, 9, 8192
 #: Bytes of texts whose distinct words are looked up together; words that a worker keeps.
-GROUP_BYTES, KEPT_WORDS = 1 << 23, 500_000
+GROUP_BYTES, KEPT_WORDS = 1 << 22, 300_000
 
 
 def vocabulary() -> str:
