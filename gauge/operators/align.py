@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gauge.operators import scan
+
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that several rows have, with their number; alignment needs that there are none."""
@@ -80,11 +82,12 @@ def threshold_counts(changes: DataFrame, by: list[str], limits: dict[str, float]
     return changes.groupBy(*by).agg(*(F.count_if(size >= v).alias(n) for n, v in limits.items()), F.max(size).alias("largest"))
 
 
-def next_matching(df: DataFrame, key: str, order: list[str], wanted: Column, value: str) -> DataFrame:
-    """For each row the value of the next row of its key for which ``wanted`` holds, or null."""
-    # seen from the end, what is needed is the last one so far: a frame that only grows
-    later = W.partitionBy(key).orderBy(*(F.desc(c) for c in order)).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn(f"next_{value}", F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(later))
+def next_matching(df: DataFrame, key: str, order: list[str], wanted: Column, value: str, slab: Column | None = None) -> DataFrame:
+    """For each row the value of the next row of its key for which ``wanted`` holds, or null.
+
+    ``slab`` cuts a key's order into stretches that tasks hold apart; it changes no result.
+    """
+    return scan.scan(df, [key], order, F.lit(0) if slab is None else slab, **{f"next_{value}": scan.following(F.when(wanted, F.col(value)))})
 
 
 def all_out(df: DataFrame, key: str, flag: str) -> DataFrame:

@@ -24,6 +24,8 @@ class Running:
     passed: Callable[[Column], Column]
     carried: Callable[[Column, W], Column]
     both: Callable[[Column, Column, Column], Column]
+    #: From a key's end to its start: the windows given are in descending order.
+    backwards: bool = False
 
 
 def total(value: Column | str) -> Running:
@@ -59,17 +61,29 @@ def previous(value: Column | str) -> Running:
     )
 
 
+def following(value: Column | str) -> Running:
+    """The first value after this row that is not null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return Running(
+        lambda w: F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),  # a frame that only grows
+        lambda order: F.min_by(value, F.when(value.isNotNull(), order)),
+        lambda part, w: F.last(part, ignorenulls=True).over(w),
+        lambda own, carry, first: F.coalesce(own, carry),
+        backwards=True,
+    )
+
+
 def scan(rows: DataFrame, by: list[str], order: list[str], slab: Column, **columns: Running) -> DataFrame:
     """``rows`` with a column for each of ``columns``, running within each key's order."""
     # structs, in which nulls are equal: a null is a key, too
     key, columns_before = F.struct(*by) if by else F.struct(F.lit(0).alias("all")), rows.columns
     rows = rows.withColumn("_at", F.struct(key.alias("key"), slab.alias("slab")))
-    at = W.partitionBy("_at").orderBy(*order)
-    own = rows.withColumns({f"_{n}": c.within(at) for n, c in columns.items()} | {"_first": F.row_number().over(at) == 1})
+    at, back = (W.partitionBy("_at").orderBy(*o) for o in (order, [F.desc(c) for c in order]))
+    own = rows.withColumns({f"_{n}": c.within(back if c.backwards else at) for n, c in columns.items()} | {"_first": F.row_number().over(at) == 1})
     sequence = F.struct(*order)
     parts = rows.groupBy("_at").agg(*(c.passed(sequence).alias(f"_p_{n}") for n, c in columns.items()))
-    before = W.partitionBy("_at.key").orderBy("_at.slab").rowsBetween(W.unboundedPreceding, -1)
-    carry = parts.select("_at", *(c.carried(F.col(f"_p_{n}"), before).alias(f"_c_{n}") for n, c in columns.items()))
+    before, after = (W.partitionBy("_at.key").orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in ("_at.slab", F.desc("_at.slab")))
+    carry = parts.select("_at", *(c.carried(F.col(f"_p_{n}"), after if c.backwards else before).alias(f"_c_{n}") for n, c in columns.items()))
     return own.join(carry, "_at").select(*columns_before, *(c.both(F.col(f"_{n}"), F.col(f"_c_{n}"), F.col("_first")).alias(n) for n, c in columns.items()))
 
 

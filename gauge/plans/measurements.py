@@ -250,7 +250,7 @@ def p14_axes(spark, sf_dir):
 
 @query("SELECT event_id, user_id, (SELECT arg_min(p.event_id, (p.ts, p.event_id)) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts > e.ts OR (p.ts = e.ts AND p.event_id > e.event_id))) AS next_event_id FROM events e WHERE event_type = 'error'")
 def d_j12_next_sample(spark, sf_dir):
-    found = align.next_matching(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", "event_id")
+    found = align.next_matching(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", "event_id", F.date_trunc("day", "ts"))
     return found.where("event_type = 'error'").select("event_id", "user_id", "next_event_id")
 
 

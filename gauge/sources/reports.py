@@ -203,10 +203,10 @@ def wide_cavities(wide: DataFrame, key: str) -> DataFrame:
     return wide.unpivot(key, [c for c in wide.columns if c != key], "cavity", "value")
 
 
-def filled_down(cells: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
-    """A column that only the first row of a group states, carried down to the others."""
-    at = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return cells.withColumn(column, F.last(column, ignorenulls=True).over(at))
+def filled_down(cells: DataFrame, by: list[str], order: list[str], column: str, slab: Column | None = None) -> DataFrame:
+    """A column that only the first row of a group states, carried down to the others; ``slab`` as in ``scan``."""
+    found = scan.scan(cells, by, order, F.lit(0) if slab is None else slab, _down=scan.last(column))
+    return found.withColumn(column, F.col("_down")).drop("_down")
 
 
 def latest(versions: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -229,8 +229,7 @@ def largest_image(images: DataFrame) -> DataFrame:
 def history(cells: DataFrame) -> DataFrame:
     """Rows of a history sheet (file, row, a, e, f) below each ``INFORME n`` of column a: there can be several."""
     title = F.nullif(F.regexp_extract("a", r"INFORME\s+(\d+)", 1), F.lit(""))
-    at = W.partitionBy("file").orderBy("row")
-    named = cells.withColumns({"title": title, "block": F.count(title).over(at), "report": F.last(title, ignorenulls=True).over(at)})
+    named = scan.scan(cells.withColumn("title", title), ["file"], ["row"], F.floor(F.col("row") / SLAB_LINES), block=scan.total(F.when(F.col("title").isNotNull(), 1)), report=scan.last("title"))
     kept = named.where(F.col("title").isNull() & F.col("report").isNotNull() & F.col("a").rlike(r"\d{1,2}/\d{1,2}/\d{4}"))
     return kept.select("file", "row", "block", F.col("report").cast("int").alias("report"), F.col("a").alias("date"), F.col("e").alias("responsible"), F.col("f").alias("remarks"))
 
@@ -241,7 +240,7 @@ def dimension_rows(cells: DataFrame, first_row: int = 14) -> DataFrame:
     wide = cells.where(F.col("sheet").like("DR%") & (F.col("row") >= first_row)).groupBy("file", "sheet", "row").pivot("col", list(columns)).agg(F.first("text"))
     named = wide.select("file", "sheet", "row", *(F.col(c).alias(n) for c, n in columns.items()))
     numbers = [names.number(F.translate(n, ",", ".")).alias(n) for n in ("nominal", "tol_sup", "tol_inf", "c13", "c14", "c15", "c16")]
-    filled = filled_down(named, ["file", "sheet"], ["row"], "nr")
+    filled = filled_down(named, ["file", "sheet"], ["row"], "nr", F.floor(F.col("row") / SLAB_LINES))
     return filled.select("file", "sheet", "row", "nr", "ltr", "type", *numbers, F.coalesce(F.col("nok") == "X", F.lit(False)).alias("nok"), "comment")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gauge.functions import names, text
-from gauge.operators import catalog, points, scan, search
+from gauge.operators import align, catalog, points, scan, search
 from gauge.sources import folders, reports
 
 
@@ -27,9 +27,27 @@ def test_running_values_equal_a_plain_loop(spark):
     for width in (1, 7, 1000):
         found = scan.scan(df, ["k"], ["pos"], F.floor(F.col("pos") / width), total=scan.total("v"), last=scan.last("v"), before=scan.previous("v"))
         assert {x.pos: (x.total, x.last, x.before) for x in found.collect()} == wanted
+        downs = reports.filled_down(df, ["k"], ["pos"], "v", F.floor(F.col("pos") / width))
+        assert downs.columns == df.columns and {x.pos: x.v for x in downs.collect()} == {i: w[1] for i, w in wanted.items()}
     assert scan.scan(df.limit(0), ["k"], ["pos"], F.col("pos"), total=scan.total("v")).collect() == []
 
 
+def test_next_matching_equals_a_plain_loop(spark):
+    """Whatever the slabs: null keys and values, rows after the last match, equal first parts of the order."""
+    r = random.Random(7)
+    rows = [(r.choice(["a", "b", None]), i // 3, i, r.choice([None, 1, 2, 5])) for i in range(240)]
+    df = spark.createDataFrame(rows, "k string, day int, pos int, v int").repartition(5)
+    wanted, ahead = {}, {}
+    for k, _, i, v in reversed(rows):
+        wanted[i] = ahead.get(k)
+        if v is not None and v > 1:
+            ahead[k] = v
+    for slab in (None, F.col("day"), F.floor(F.col("day") / 30)):
+        found = align.next_matching(df, "k", ["day", "pos"], F.col("v") > 1, "v", slab)
+        assert found.columns == [*df.columns, "next_v"] and {x.pos: x.next_v for x in found.collect()} == wanted
+    assert align.next_matching(df.limit(0), "k", ["day", "pos"], F.col("v") > 1, "v").collect() == []
+
+
 def test_blocks_equal_a_plain_loop(spark):
     r = random.Random(2)
     rows = [(r.choice("xy"), i, r.choice(["A", "B", None, None, None])) for i in range(200)]
