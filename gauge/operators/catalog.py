@@ -170,9 +170,9 @@ def files_of_parts(tables: Catalog) -> DataFrame:
     return declared.join(counted, ["feature_id", "part_id"], "left").select("feature_id", "part_id", F.coalesce("n", F.lit(0)).alias("files"))
 
 
-def insert_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The table with the rows whose key it lacks; of equal new keys one is added."""
-    return table.unionByName(rows.dropDuplicates([key]).join(table, key, "left_anti").select(*table.columns))
+def insert_new(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """The table with the rows whose key, of one column or more, it lacks; of equal new keys one is added."""
+    return table.unionByName(rows.dropDuplicates([*key]).join(table.select(*key), [*key], "left_anti").select(*table.columns))
 
 
 def update(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:

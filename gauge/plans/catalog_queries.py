@@ -200,9 +200,10 @@ def p33_initials(spark, sf_dir):
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier")
 def m1_insert(spark, sf_dir):
-    have = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.col("s_name").alias("name"))
-    return catalog.insert_new(have, new.union(have.limit(3)), "id")
+    """Suppliers are new, whatever numbers parts have: a key is the kind and the number. Three parts are there already."""
+    have = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    new = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), (F.col("s_suppkey") + 1000000).alias("id"), F.col("s_name").alias("name"))
+    return catalog.insert_new(have, new.union(have.limit(3)), "kind", "id").select("id", "name")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 1 THEN 'new' ELSE p_name END AS p_name, CASE WHEN p_partkey % 10 < 2 THEN NULL ELSE p_brand END AS p_brand FROM part")
