@@ -144,9 +144,11 @@ def read_clouds(spark: SparkSession, root: str) -> DataFrame:
 def anchor_rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
     """Lines of text from words (file, x0, y0, word): a word further than ``gap`` from its line's first one starts another.
 
-    The reference place is the first word's, not the one before, so it is a fold over one page's words.
+    The reference place is the first word's, not the one before, so it is a fold over one page's words. A page's words
+    are brought together once and joined with nothing: a table of lines, small as it looks to Spark, would be sent to all.
     """
-    page = words.groupBy("file").agg(F.array_sort(F.collect_list("y0")).alias("ys"))
+    known = words.where(F.col("file").isNotNull() & F.col("y0").isNotNull())
+    page = known.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "word"))).alias("words"))
     kind = "struct<anchor:double,starts:array<double>>"
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("starts")).cast(kind)
 
@@ -155,9 +157,8 @@ def anchor_rows(words: DataFrame, gap: float = ROW_GAP) -> DataFrame:
         return F.when(same, acc).otherwise(F.struct(y.alias("anchor"), F.concat(acc["starts"], F.array(y)).alias("starts")).cast(kind))
 
     # only where rows begin is carried along; a word's row is the number of beginnings down to it
-    rows = page.select("file", F.aggregate("ys", start, step)["starts"].alias("starts"))
-    lines_of = rows.select("file", F.posexplode("starts").alias("row", "begin")).select("file", (F.col("row") + 1).alias("row"), "begin", F.lead("begin").over(W.partitionBy("file").orderBy("row")).alias("next"))
-    placed = words.join(lines_of, "file").where((F.col("y0") >= F.col("begin")) & (F.col("next").isNull() | (F.col("y0") < F.col("next"))))
+    begun = page.select("file", "words", F.aggregate("words.y0", start, step)["starts"].alias("starts"))
+    placed = begun.select("file", "starts", F.explode("words").alias("w")).select("file", F.size(F.filter("starts", lambda s: s <= F.col("w.y0"))).alias("row"), "w.x0", "w.word")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word"))), lambda p: p["word"]), " ")
     return placed.groupBy("file", "row").agg(joined.alias("text"))
 
