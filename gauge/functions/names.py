@@ -47,11 +47,16 @@ def cavity(path: Column, kind: str = "report") -> Column:
     """``c13`` to ``c16`` from the file's name or its folder's, or null. ``kind``: report, cloud or contour."""
     letter = r"[cC][._\s]?(\d{2})" if kind == "report" else r"[cC](?:av)?[._\s]?(\d{2})"
     patterns = [r"^(\d{2})[_\s]", letter]
-    places = [stem(path), parent(path)]
+    order = ["stem", "parent"]
     if kind == "contour":
-        patterns, places = patterns[::-1], places[::-1]
-    found = [F.regexp_extract(place, pattern, 1) for place in places for pattern in patterns]
-    return F.coalesce(*(F.when(x.isin(*CAVITIES), F.concat(F.lit("c"), x)) for x in found))
+        patterns, order = patterns[::-1], order[::-1]
+
+    def said(places: Column) -> Column:
+        found = F.array(*(F.regexp_extract(places[place], pattern, 1) for place in order for pattern in patterns))
+        return F.concat(F.lit("c"), F.get(F.filter(found, lambda x: x.isin(*CAVITIES)), F.lit(0)))
+
+    # in a loop over one value the file's and the folder's names are made once, not for each pattern
+    return F.get(F.transform(F.array(F.struct(stem(path).alias("stem"), parent(path).alias("parent"))), said), F.lit(0))
 
 
 def family(path: Column) -> Column:

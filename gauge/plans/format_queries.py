@@ -22,11 +22,12 @@ FILES = """WITH p AS (SELECT p_partkey AS k, p_size AS s, 12 + p_size % 6 AS c,
 
 
 def paths(spark, sf_dir):
+    """A path a part. The table is few bytes a row, so it is read in few partitions: paths are dealt to all cores before they are taken apart."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), (12 + F.col("p_size") % 6).alias("c"), (F.col("p_partkey") % 6).alias("shape"))
     s, c, said = F.col("s"), F.col("c").cast("string"), lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
     stem = F.when(s % 10 == 0, "totes").otherwise(said("c", c))
     made = [said("r/support intern.", s % 12, "/3212_", stem, ".csv"), said("r/support.intern.0", s % 10, "/", c, "_3212.csv"), said("r/none/c", c, "/3212_Cav_.txt"), said("r/INTERN ", s, "/PUNTS_NOUS_c", c, ".txt"), said("r/intern.5/Cav_", c, "/punts.txt"), said("r/intern.7/C", c, "/PA_", s, ".pdf")]
-    return part.select("k", "s", "c", F.element_at(F.array(*made), (F.col("shape") + 1).cast("int")).alias("path"), F.lit(1).alias("length"), F.lit(b"x").alias("content"))
+    return part.select("k", "s", "c", F.element_at(F.array(*made), (F.col("shape") + 1).cast("int")).alias("path"), F.lit(1).alias("length"), F.lit(b"x").alias("content")).repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 @query(FILES + "SELECT k, path, sample FROM f")
@@ -61,7 +62,7 @@ def p3_family(spark, sf_dir):
 @query(FILES + ", g AS (SELECT *, CASE WHEN totes THEN 'all cavities' WHEN cavity IS NULL OR shape = 4 THEN 'no cavity' END AS reason FROM f) SELECT path, CASE WHEN reason IS NULL THEN sample END AS sample, CASE WHEN reason IS NULL THEN cavity END AS cavity, reason FROM g")
 def s2_reports(spark, sf_dir):
     found = paths(spark, sf_dir)
-    kept = reports.discover_reports(found).orderBy("sample", "cavity").select("path", "sample", "cavity", F.lit(None).cast("string").alias("reason"))
+    kept = reports.discover_reports(found).select("path", "sample", "cavity", F.lit(None).cast("string").alias("reason"))
     return kept.union(reports.skipped_reports(found).select("path", F.lit(None), F.lit(None), "reason"))
 
 
