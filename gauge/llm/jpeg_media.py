@@ -1,8 +1,8 @@
 """Media columns of baseline JPEG: bytes kept losslessly as quantised coefficients, and thumbnails read back.
 
 A JPEG's unit is the quantised coefficient. ``encode`` writes 192 payload bytes as one unit of three 8 x 8
-blocks (Y, Cb, Cr), byte b at zigzag place k as the coefficient ``b - ORIGIN``, Huffman-coded, with a
-restart marker after each unit. ``decode`` parses any baseline Huffman JPEG whose restart interval is a
+blocks (Y, Cb, Cr), the byte at zigzag place k as a coefficient that is the smaller the more frequent the byte is in
+texts, Huffman-coded, with a restart marker after each unit. ``decode`` parses any baseline Huffman JPEG whose restart interval is a
 number of units, or that has none: markers, tables, entropy-coded scan. Media are stored as files of their
 bytes below a folder, each once per row, and read back from there. Restart intervals are independent,
 so those of many images are decoded side by side in numpy. The direct-current luminance coefficients make
@@ -33,21 +33,43 @@ BATCH = 1 << 20
 THUMB = 8
 
 
+def byte_table() -> tuple[np.ndarray, np.ndarray]:
+    """The coefficient of each byte, and the byte of each coefficient from -128 on: a bijection.
+
+    Frequent bytes of texts get small coefficients, of both signs, which have few bits; ORIGIN gets 0, as runs of it
+    are coded together. Two bytes have one bit, the next four two, and so on.
+    """
+    first = b" etaoinhsrdlucmfgpywbvk.,\nTAISxjqzEONHRCDLMPWBUFG0123456789\"'-" + bytes([0xC3, 0xC2, 0xE2, *range(0x21, 0x7F), *range(0x80, 0xC0), *range(256)])
+    order = [b for b in dict.fromkeys(first) if b != ORIGIN]
+    coefficient, byte = np.zeros(256, np.int16), np.full(257, ORIGIN, np.uint8)
+    for i, b in enumerate(order, 2):
+        coefficient[b] = i // 2 if i % 2 == 0 else -(i // 2)
+    byte[coefficient + 128] = np.arange(256)
+    return coefficient, byte
+
+
+_COEFFICIENT, _BYTE = byte_table()
+
+
 def zigzag() -> np.ndarray:
     """Natural place (row * 8 + column) of each zigzag place."""
     places = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
     return np.array([r * 8 + c for r, c in places])
 
 
+#: Bits of the twelve most frequent codes of a table, in its order.
+SIZE_LENGTHS = [2, 2, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12]
+
+
 def code_table() -> tuple[bytes, bytes]:
     """A Huffman table for these coefficients: (codes of each length 1 to 16, symbols by length).
 
-    Letters are small coefficients, so single coefficients of one to five bits come first; all symbols
-    that a baseline scan can hold follow, so that any payload can be coded.
+    Frequent bytes are small coefficients, so single coefficients come first, by size; all symbols that a
+    baseline scan can hold follow, so that any payload can be coded.
     """
-    order = [0x03, 0x04, 0x05, 0x02, 0x01, 0x07, 0x06, 0x00, 0x08, 0x09, 0x0A, 0xF0]
+    order = [0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x00, 0x08, 0x09, 0x0A, 0xF0]
     order += [r << 4 | s for r in range(1, 16) for s in range(1, 11)]
-    lengths = [2, 3, 3, 3, 4, 4, 5, 6, 8, 9, 10, 11]
+    lengths = list(SIZE_LENGTHS)
     lengths += [16] * (len(order) - len(lengths))
     return bytes(lengths.count(n) for n in range(1, 17)), bytes(s for _, s in sorted(zip(lengths, order, strict=True), key=lambda x: x[0]))
 
@@ -70,8 +92,8 @@ _CODE, _LENGTH = codes(_COUNTS, _SYMBOLS)
 
 
 def direct_table() -> tuple[bytes, bytes]:
-    """The table of direct-current coefficients: the twelve sizes that baseline allows, letters' ones first."""
-    order, lengths = [3, 4, 5, 2, 1, 7, 6, 0, 8, 9, 10, 11], [2, 3, 3, 3, 4, 4, 5, 6, 8, 9, 10, 11]
+    """The table of direct-current coefficients: the twelve sizes that baseline allows, small ones first."""
+    order, lengths = [1, 2, 3, 4, 5, 6, 7, 0, 8, 9, 10, 11], SIZE_LENGTHS
     return bytes(lengths.count(n) for n in range(1, 17)), bytes(s for _, s in sorted(zip(lengths, order, strict=True), key=lambda x: x[0]))
 
 
@@ -106,10 +128,10 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     value = np.zeros((int(total.sum()), UNIT), np.int16)  # units that only fill the last row are 0
     first = np.concatenate([[0], np.cumsum(total)])
     if np.array_equal(total * UNIT, sizes):
-        value[:] = (data.astype(np.int16) - ORIGIN).reshape(-1, UNIT)
+        value[:] = _COEFFICIENT[data].reshape(-1, UNIT)
     else:
         for i, n in enumerate(sizes // UNIT):
-            value[first[i] : first[i] + n] = (data[offsets[i] : offsets[i + 1]].astype(np.int16) - ORIGIN).reshape(-1, UNIT)
+            value[first[i] : first[i] + n] = _COEFFICIENT[data[offsets[i] : offsets[i + 1]]].reshape(-1, UNIT)
     flat = value.reshape(-1)
     place = np.arange(len(flat)) % BLOCK
     on = np.flatnonzero((flat != 0) | (place == 0))  # a direct-current coefficient is always coded
@@ -320,7 +342,7 @@ def _decode_alike(images: list[Image], media: list[bytes]) -> list[np.ndarray]:
 def payload(image: Image, coefficients: np.ndarray) -> bytes:
     """The bytes that ``encode`` was given."""
     size = struct.unpack(">Q", image.comment)[0]
-    return (coefficients.reshape(-1)[:size] + ORIGIN).astype(np.uint8).tobytes()
+    return _BYTE[coefficients.reshape(-1)[:size].astype(np.int64) + 128].tobytes()
 
 
 def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:

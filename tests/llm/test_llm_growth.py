@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from gauge.llm import source_mix
+from gauge.llm import jpeg_media, source_mix
 
 
 def plan(df):
@@ -24,3 +26,17 @@ def test_slots_of_the_mix_are_not_sent_to_all(spark):
     documents = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("a word "), 50).alias("text"))
     for mixed in (source_mix.taken_words, source_mix.taken_texts, source_mix.mixed_texts):
         assert joins_of_blocks(mixed(documents)) == {"SortMergeJoin"}
+
+
+def test_media_of_texts_are_small():
+    """op5_jpeg_media: a space was a coefficient of seven bits, a letter one of up to five; media took 9 bits a byte."""
+    texts = [t.encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    filled = [t.ljust(-(-len(t) // jpeg_media.UNIT) * jpeg_media.UNIT) for t in texts]
+    media = jpeg_media.encode(np.frombuffer(b"".join(filled), np.uint8), np.cumsum([0, *map(len, filled)]))
+    assert 8 * sum(map(len, media)) < 7 * sum(map(len, texts))
+    assert [jpeg_media.payload(*x) for x in jpeg_media.decode(media[:50])] == filled[:50]
+
+
+def test_every_byte_has_a_coefficient_of_its_own():
+    assert sorted(jpeg_media._BYTE[jpeg_media._COEFFICIENT.astype(int) + 128]) == list(range(256)) and len(set(jpeg_media._COEFFICIENT)) == 256
+    assert jpeg_media._COEFFICIENT[jpeg_media.ORIGIN] == 0
