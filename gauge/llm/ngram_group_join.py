@@ -169,8 +169,7 @@ def verified(pairs: DataFrame, documents: DataFrame, tables: Tables, words: int
     Texts travel to their pairs, not shingle sets: they are smaller, and repeats of one text compress.
     """
     pairs = tables.keep("pairs", pairs)
-    texts = texts_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * pairs.count())
-
+    n_ids = 2 * pairs.count()
     @trimmed
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +180,14 @@ def verified(pairs: DataFrame, documents: DataFrame, tables: Tables, words: int
                     good[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
-    left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
-    return tables.keep("found", pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"))
+    if n_ids <= BROADCAST_IDS:  # few pairs are sent to the texts of a, which then only travel to those of b
+        whole = documents.select(F.col("doc_id").cast("long").alias("a"), text_bytes().alias("a_text"))
+        left, others = whole.join(F.broadcast(pairs), "a"), pairs.select(F.col("b").alias("doc_id"))
+    else:
+        others = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        left = pairs.join(texts_of(documents, others, n_ids).select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    right = texts_of(documents, others, n_ids).select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    return tables.keep("found", left.join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"))
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:

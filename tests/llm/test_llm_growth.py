@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from gauge.llm import jpeg_media, source_mix
+from gauge.llm import jpeg_media, ngram_group_join, source_mix
+from gauge.llm.common import Tables
 
 
 def plan(df):
@@ -40,3 +42,26 @@ def test_media_of_texts_are_small():
 def test_every_byte_has_a_coefficient_of_its_own():
     assert sorted(jpeg_media._BYTE[jpeg_media._COEFFICIENT.astype(int) + 128]) == list(range(256)) and len(set(jpeg_media._COEFFICIENT)) == 256
     assert jpeg_media._COEFFICIENT[jpeg_media.ORIGIN] == 0
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_one_text_of_a_pair_travels_to_the_other(spark, monkeypatch, most):
+    """op6_ngram_group_join: the texts of both ends were dealt out, and then those of one end once more."""
+    documents = spark.createDataFrame([(i, f"a b c d e f g h i j {'x' if i == 3 else 'k'}") for i in range(4)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "a long, b long")
+    plans, keep = {}, Tables.keep
+
+    def kept(self, name, df):
+        plans[name] = plan(df)
+        return keep(self, name, df)
+
+    monkeypatch.setattr(Tables, "keep", kept)
+    monkeypatch.setattr(ngram_group_join, "BROADCAST_IDS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where pairs are too many for Spark to send them by itself
+    try:
+        found = ngram_group_join.verified(pairs, documents, Tables(spark, "near"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (1, 2)]
+    if most:
+        assert "[a#" in plans["found"] and plans["found"].count("hashpartitioning(") == 2 and "hashpartitioning(a#" not in plans["found"]
