@@ -370,6 +370,22 @@ def test_word_cache_equals_whole_texts(texts, spaced):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(all_texts)] == [plain_ids(path, t) for t in all_texts]
 
 
+@pytest.mark.parametrize("spaced", [True, False])
+def test_word_cache_merges_letters_once(spaced, monkeypatch):
+    """Letters, accented ones too, go to the merges alone, each once, also when the cache forgets others in between."""
+    path = content_store.vocabulary() if spaced else nnls_packing.vocabulary()
+    own, merged, encoded = WordEncoder(path, spaced, words=8), [], []
+    merge, encode = own._merged, own._encode
+    monkeypatch.setattr(own, "_merged", lambda x, lead: (merged.extend(map(str, x)), merge(x, lead))[1])
+    monkeypatch.setattr(own, "_encode", lambda x: (encoded.extend(x), encode(x))[1])
+    text = "a Ñandú, Übermut. déjà ñandú, déjà; Ñandú"
+    for turn in range(6):
+        for t in (text, f"{text} w{'xyz'[turn % 3] * 5} v{'xyz'[turn // 3] * 5}"):
+            assert np.frombuffer(own.ids([t])[0], "<u4").tolist() == plain_ids(path, t)
+    assert merged.count("déjà") == 1 and {"Übermut", "übermut"} & set(merged)
+    assert not [x for x in encoded if any(c.isalpha() for c in x.strip("a"))]
+
+
 def test_packing(spark, documents, empty, texts):
     rows = nnls_packing.pack(documents).collect()
     by, sequences = defaultdict(list), defaultdict(list)
