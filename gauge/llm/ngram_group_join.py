@@ -42,8 +42,8 @@ BROADCAST_IDS = 2_000_000
 #: Rounds of pivots at most; pairs for each member of large blocks beyond which another round comes before pairing; blocks that a document remembers ahead of each of its blocks.
 PIVOT_ROUNDS, PAIRS_EACH, BEFORE = 4, 8, 32
 
-#: Bytes of texts that are verified at once.
-VERIFIED_BYTES = 2 << 20
+#: Bytes of texts that are verified at once; pairs up to which texts are sent without a look at their sketches.
+VERIFIED_BYTES, FEW_PAIRS = 2 << 20, 1000
 
 _LONGS = pa.list_(pa.int64())
 
@@ -163,13 +163,56 @@ def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return [sets[i] for i in coded.indices.to_numpy()]
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each range of hashes, 2 to 4 in the mean, a byte a range; empty if a byte can't hold one."""
+    bits = max(6, len(shingles).bit_length() - 2)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_reach(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
+    """False only if no sets with these sketches reach the similarity: they share at most the lesser count of each range."""
+    if not x or not y:
+        return True
+    p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    n = min(len(p), len(q))
+    p, q = p.reshape(n, -1).sum(axis=1), q.reshape(n, -1).sum(axis=1)
+    both = int(np.minimum(p, q).sum())
+    return 100 * both >= percent * (int(p.sum() + q.sum()) - both)
+
+
+def likely(pairs: DataFrame, documents: DataFrame, n_ids: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule out the similarity; a sketch has a small part of its text's bytes."""
+
+    @trimmed
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(s) for s in shingle_sets(*binary_column(batch.column(1)), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "sketch"])
+
+    @trimmed
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([may_reach(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    one, two = (texts_of(documents, pairs.select(F.col(k).alias("doc_id")), n_ids).mapInArrow(sketches, "doc_id long, sketch binary").select(F.col("doc_id").alias(k), F.col("sketch").alias(f"{k}_sketch")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, documents: DataFrame, tables: Tables, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the similarity, from a table.
 
-    Texts travel to their pairs, not shingle sets: they are smaller, and repeats of one text compress.
+    Texts travel to their pairs, not shingle sets: they are smaller, and repeats of one text compress. Pairs that
+    meet by chance grow faster than the documents do, so sketches travel first, and rule out most of them.
     """
     pairs = tables.keep("pairs", pairs)
     n_ids = 2 * pairs.count()
+    if n_ids > 2 * FEW_PAIRS:
+        pairs = tables.keep("likely", likely(pairs, documents, n_ids, words, percent))
+        tables.drop("pairs")
+        n_ids = 2 * pairs.count()
+
     @trimmed
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -386,6 +386,32 @@ def test_word_cache_merges_letters_once(spaced, monkeypatch):
     assert not [x for x in encoded if any(c.isalpha() for c in x.strip("a"))]
 
 
+def test_sketches_rule_out_chance_pairs_only(spark, tmp_path, monkeypatch):
+    """Two sets that reach the similarity always pass; pairs far below it send no texts."""
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 63, 64, 300, 4000):
+        for share in (0, 0.5, 0.85, 0.9, 1):
+            s = np.unique(rng.integers(0, 1 << 64, 2 * n, np.uint64))
+            x, y = np.sort(s[rng.permutation(len(s))[:n]]), None
+            y = np.unique(np.concatenate([rng.permutation(x)[: int(share * n)], np.setdiff1d(s, x)[: n - int(share * n)]]))
+            both = len(np.intersect1d(x, y))
+            reaches = 100 * both >= 80 * (len(x) + len(y) - both)
+            passes = ngram_group_join.may_reach(ngram_group_join.sketch(x), ngram_group_join.sketch(y))
+            assert passes or not reaches
+            assert not passes or share > 0.5 or n < 64
+    low = np.arange(1000, dtype=np.uint64)  # one range beyond a byte
+    assert ngram_group_join.may_reach(ngram_group_join.sketch(low), ngram_group_join.sketch(low[:900]))
+    monkeypatch.setattr(ngram_group_join, "FEW_PAIRS", 0)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:390])), (2, " ".join(words[:20] + [f"x{i}" for i in range(370)])), (3, "A b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "a long, b long")
+    tables = ngram_group_join.Tables(spark, "near")
+    found = ngram_group_join.verified(pairs, docs, tables)
+    assert {(r.a, r.b) for r in found.collect()} == {(0, 1)}
+    assert {(r.a, r.b) for r in spark.read.parquet(tables.paths["likely"]).collect()} == {(0, 1)}
+
+
 def test_packing(spark, documents, empty, texts):
     rows = nnls_packing.pack(documents).collect()
     by, sequences = defaultdict(list), defaultdict(list)
